@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 #: Rows that a slot of a source's key range holds on average.
 SLOT_ROWS = 4096
+#: Up to so many sources (one row each) the targets are broadcast, which spares hot sources a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def words(text: Column) -> Column:
@@ -67,6 +69,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     the key go by ``doc_id`` and ``size``; rows repeated in all columns can
     stand in either order.
     """
+    sized = written(sized.select("doc_id", "source", "size", "quality"), "sized")
     u = (F.conv(F.substring(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     # equal sources meet under one name without nulls; a null's name differs from all others'
     rows = sized.select("doc_id", "size", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("group"), (-F.ln(u) / F.col("quality")).alias("key"))
@@ -76,6 +79,9 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
     )
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goal = written(goal, "targets")
+    if goal.count() <= BROADCAST_SOURCES:
+        goal = F.broadcast(goal)
     # the slots of the keys' range: 1 - exp(-key) rises with the key and stays within 0 and 1
     slots = F.greatest(F.lit(1), F.ceil(F.col("n") / SLOT_ROWS))
     rows = rows.join(goal, "group").withColumn("slot", F.floor((1 - F.exp(-F.col("key"))) * slots).cast("long"))
