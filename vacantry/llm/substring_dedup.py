@@ -37,7 +37,8 @@ FAR = np.int64(1) << 40
 
 def mix(a: np.ndarray, b: np.ndarray | int, key: int) -> np.ndarray:
     """A 64-bit hash of two numbers."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (np.asarray(b, np.uint64) ^ np.uint64(key)) * np.uint64(0xD6E8FEB86659FD93)
+    with np.errstate(over="ignore"):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + (np.asarray(b, np.uint64) ^ np.uint64(key)) * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
