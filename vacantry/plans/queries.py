@@ -635,3 +635,107 @@ def change_summary(spark, sf_dir):
     last, pending = t.last_change(changes).select(F.col("at").alias("last_at")), t.pending_new(changes, F.expr("TIMESTAMP '2024-01-20 00:00:00'"))
     total = changes.agg(F.sum("inserted").alias("inserted"), F.sum("merged").alias("merged"))
     return last.crossJoin(F.broadcast(pending)).crossJoin(F.broadcast(total))  # one row each
+
+
+def by_key(key, *columns):
+    """One of the columns, by the key's remainder."""
+    return F.element_at(F.array(*columns), (key % len(columns) + 1).cast("int"))
+
+
+@register(
+    "dates",
+    "SELECT o_orderkey AS id, date_trunc('day', o_orderdate)::TIMESTAMP AS day, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1970-01-01 00:00:00' + to_seconds(o_orderkey) END AS moment FROM orders",
+)
+def dates(spark, sf_dir):
+    """Order dates written in eight forms and read back; keys as seconds since 1970, every third as a bad number."""
+    o = W.table(spark, sf_dir, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = [F.date_format(d, p) for p in ("yyyy-MM-dd", "dd MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM dd, yyyy", "dd/MM/yyyy", "yyyy/MM/dd")]
+    written = by_key(k, *forms, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    return o.select(k.alias("id"), D.parse_date(written).alias("day"), D.from_epoch(F.when(k % 3 == 0, F.concat(F.lit("-"), k.cast("string"))).otherwise(k.cast("string"))).alias("moment"))
+
+
+@register(
+    "durations",
+    """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN greatest(1, (2001 - year(o_orderdate)) * 12 + 5 - (month(o_orderdate) - 1)) WHEN 1 THEN greatest(1, (2024 - year(o_orderdate)) * 12 - (month(o_orderdate) - 1))
+  WHEN 2 THEN month(o_orderdate) * 12 + day(o_orderdate) ELSE greatest(1, (2003 - year(o_orderdate)) * 12) END::INT AS months FROM orders""",
+)
+def durations(spark, sf_dir):
+    """Periods that begin with the order's month, written in four ways."""
+    o = W.table(spark, sf_dir, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    month, year = F.date_format(d, "MMMM yyyy"), F.date_format(d, "yyyy")
+    span = by_key(k, F.concat(month, F.lit(" – Jun 2001")), F.concat(F.lit("Clerk, "), month, F.lit(" to present")), F.concat(F.month(d).cast("string"), F.lit(" years "), F.dayofmonth(d).cast("string"), F.lit(" mos")), F.concat(year, F.lit(" - 2003")))
+    return o.select(k.alias("id"), D.duration_months(span, F.expr("DATE '2024-01-15'")).alias("months"))
+
+
+@register(
+    "clean_texts",
+    r"""SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS one_line, len(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> ''))::INT AS n_paragraphs,
+  'We hire.' || chr(10) || chr(10) || 'End ' || doc_id AS tidy FROM documents""",
+)
+def clean_texts(spark, sf_dir):
+    board = F.concat(F.lit("Apply Now\nWe hire.\n\nViews: 10\n \nshare on X\nEnd "), F.col("doc_id").cast("string"), F.lit("\nBack to jobs"))
+    return W.table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("one_line"), F.size(X.paragraphs(F.col("text"))).alias("n_paragraphs"), X.tidy_description(board).alias("tidy"))
+
+
+@register("link_hosts", r"SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]+)', 1), '^www\.', '') AS host FROM pages")
+def link_hosts(spark, sf_dir):
+    return W.table(spark, sf_dir, "pages").select("page_id", X.link_host(F.col("url")).alias("host"))
+
+
+@register("requirements", f"WITH {W.POSTINGS_SQL} SELECT seq::VARCHAR AS job_id, len(required_skills)::INT AS n_required, experience_level FROM postings SEMI JOIN (SELECT (c_custkey * 3)::VARCHAR AS dedupe_hash FROM customer) USING (dedupe_hash)")
+def requirements(spark, sf_dir):
+    """What scoring needs of the postings that a list of ids names."""
+    ids = W.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).cast("string").alias("dedupe_hash"))
+    return Q.requirements_of(W.postings(spark, sf_dir), ids).select("job_id", F.size("required_skills").alias("n_required"), "experience_level")
+
+
+@register("posting_by_id", f"WITH {W.POSTINGS_SQL} SELECT dedupe_hash, title, company FROM postings WHERE dedupe_hash = (SELECT max(o_orderkey)::VARCHAR FROM orders)")
+def posting_by_id(spark, sf_dir):
+    key = W.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").cast("string")).first()[0]
+    return Q.by_id(W.postings(spark, sf_dir), key).select("dedupe_hash", "title", "company")
+
+
+@register(
+    "contacts",
+    "SELECT c_custkey AS cv_id, 'user' || c_custkey || '@example.com' AS email, '+977 98' || lpad((c_custkey % 100000000)::VARCHAR, 8, '0') AS phone FROM customer",
+)
+def contacts(spark, sf_dir):
+    """Mail address and likeliest phone number of CV texts; a year and a short number stand before it."""
+    texts = cv_texts(spark, sf_dir).select("cv_id", F.concat(F.lit("2019-2021, 01-4412345\n"), "text").alias("text"))
+    return V.emails(texts).join(texts.select("cv_id", V.phone_of(F.col("text")).alias("phone")), "cv_id")
+
+
+@register(
+    "extracted_lists",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'React,React Native' ELSE 'Python,SQL' END || ',' || c_mktsegment AS skills FROM customer""",
+)
+def extracted_lists(spark, sf_dir):
+    k = F.col("c_custkey")
+    values = F.array(F.when(k % 2 == 0, "we know react native").otherwise("SQL, python3"), F.col("c_mktsegment"), F.when(k % 2 == 0, "ReactJS").otherwise("T-SQL"))
+    rows = W.table(spark, sf_dir, "customer").select(k.alias("id"), values.alias("values"))
+    return K.canonicalise_by_extraction(rows, K.alias_table(spark, K.POSTING_SKILLS), "id", "values").select("id", F.array_join("skills", ",").alias("skills"))
+
+
+@register(
+    "stream_ingest",
+    f"""WITH {W.DOCUMENT_POSTINGS_SQL} SELECT count(*) AS received, count(DISTINCT dedupe_hash) FILTER (title <> '') AS stored, count(*) FILTER (title = '') AS skipped, count(DISTINCT source_url) FILTER (title <> '') AS sources
+FROM (SELECT * REPLACE (trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title) FROM doc_postings)""".replace("\\\\", "\\"),
+)
+def stream_ingest(spark, sf_dir):
+    """Documents landed as JSON in batches, streamed into a fresh store; totals of the log and of the store."""
+    import uuid
+
+    from vacantry.schemas import RAW_POSTING
+    from vacantry.streaming import store as T
+
+    root = f"{T.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    d = W.document_postings(spark, sf_dir)
+    raw = d.select("seq", "title", "company", "description", "location", "salary", "source_platform", "source_url", "experience_level", F.col("posted_date").cast("string").alias("posted_date"))
+    raw.repartition(4, "seq").write.json(f"{root}/landed")
+    store = T.PostingStore(spark, f"{root}/store")
+    store.stream(T.read_batches(spark, f"{root}/landed", "seq long, " + RAW_POSTING, 2), f"{root}/checkpoint", W.now())
+    log = store.changes().agg(F.sum("received").alias("received"), F.sum("skipped").alias("skipped"))
+    kept = store.postings().agg(F.count("*").alias("stored"), F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("sources"))
+    return log.crossJoin(F.broadcast(kept)).select("received", "stored", "skipped", "sources")  # one row each
