@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,14 +25,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import signed, table
+from .packing import pack, packed, split_by, unpack
 
 SPACE = "▁"
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Units of more characters (no space, all neighbours known to the pieces) are merged by a heap instead of the fold.
 LONGEST_UNIT = 128
 
@@ -121,11 +124,42 @@ def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return np.concatenate(parts) if parts else place, list(known), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def units_in(batch: pa.Table, near: frozenset[str]) -> pa.Table:
-    """The distinct units of a bucket that Spark encodes."""
-    _, unique, _ = split(batch["text"].combine_chunks())
-    units = list({u for w in unique for u in cut(w, near) if len(u) <= LONGEST_UNIT})
-    return pa.table({"bucket": pa.array([batch["bucket"][0].as_py()] * len(units), pa.int32()), "unit": pa.array(units, pa.string())})
+def part_of(units: list[str], parts: int) -> np.ndarray:
+    """Which part of the units each belongs to, by hash; ``part_column`` is the same in Spark."""
+    hashes = np.fromiter((signed(xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42)) for u in units), np.int64, len(units))
+    return hashes % parts
+
+
+def part_column(unit: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int")
+
+
+def units_in(batch: pa.Table, near: frozenset[str], parts: int) -> pa.Table:
+    """The distinct units of a bucket that Spark encodes, packed by part."""
+    _, unique, _ = split(unpack(batch["blob"])["text"].combine_chunks())
+    units = sorted({u for w in unique for u in cut(w, near) if len(u) <= LONGEST_UNIT})
+    found = list(split_by(pa.table({"unit": pa.array(units, pa.string())}), part_of(units, parts)))
+    return pa.table({
+        "part": pa.array([k for k, _ in found], pa.int32()), "bucket": pa.array([batch["bucket"][0].as_py()] * len(found), pa.int32()),
+        "blob": pa.array([pack(t) for _, t in found], pa.binary()),
+    })
+
+
+def distinct_units(batch: pa.Table) -> pa.Table:
+    """The distinct units of a part."""
+    return pa.table({"unit": pc.unique(unpack(batch["blob"])["unit"].combine_chunks())})
+
+
+def answers_to(asked: pa.Table, coded: pa.Table) -> pa.Table:
+    """For each bucket that asked this part: its units with their ids, packed."""
+    if asked.num_rows == 0:
+        return pa.table({"bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+    known = unpack(coded["blob"])
+    blobs = []
+    for blob in asked["blob"]:
+        units = pa.ipc.open_stream(blob.as_buffer()).read_all()["unit"].combine_chunks()
+        blobs.append(pack(known.take(pc.index_in(units, value_set=known["unit"].combine_chunks()))))
+    return pa.table({"bucket": asked["bucket"], "blob": pa.array(blobs, pa.binary())})
 
 
 def byte_ids(model: Model, char: str) -> list[int]:
@@ -258,37 +292,42 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return edges.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids_of)).alias("ids"))
 
 
+def gather(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``chosen`` of a ragged array (``values`` cut at ``starts``) one after the other, and their lengths."""
+    n = (starts[1:] - starts[:-1])[chosen]
+    before = np.cumsum(n) - n
+    return values[np.repeat(starts[chosen] - before, n) + np.arange(n.sum())], n
+
+
 def assemble(batch: pa.Table, coded: pa.Table, model: Model, near: frozenset[str], id_col: str) -> pa.Table:
     """The ids of every text of a bucket, from its units' ids."""
-    place, unique, starts = split(batch["text"].combine_chunks())
-    known = dict(zip(coded["unit"].to_pylist(), coded["ids"].to_pylist())) if coded.num_rows else {}
+    rows, known = unpack(batch["blob"]), unpack(coded["blob"])
+    place, unique, starts = split(rows["text"].combine_chunks())
+    units = {u: i for i, u in enumerate(known["unit"].to_pylist())} if known is not None else {}
+    lists = known["ids"].combine_chunks() if known is not None else pa.array([], pa.list_(pa.int32()))
+    values, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    long_ids: list[list[int]] = []
     rank, longest = {}, 0
-    flat: list[int] = []
-    sizes = np.zeros(len(unique), np.int64)
-    for i, w in enumerate(unique):
-        before = len(flat)
-        for u in cut(w, near):
-            if len(u) > LONGEST_UNIT:
+    chosen, counts = array("q"), array("q")
+    for w in unique:
+        own = cut(w, near)
+        for u in own:
+            if u not in units:  # a long unit
                 if not rank:
                     rank = {p: (s, k) for k, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok}
                     longest = max(map(len, rank))
-                flat += heap_merge(u, rank, model) if model.kind == "bpe" else viterbi(u, rank, model, longest)
-            else:
-                flat += known[u]
-        sizes[i] = len(flat) - before
-    ids, begins = np.array(flat, np.int32), np.concatenate([[0], np.cumsum(sizes)])
-    offsets, out = [0], []
-    for a, b in zip(starts, starts[1:]):
-        own = place[a:b]
-        n = sizes[own]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        # positions in ``ids``: each word's begin, counted on within the word
-        at = np.repeat(begins[own] - np.concatenate([[0], ends[:-1]]) if total else begins[own], n) + np.arange(total)
-        out.append(ids[at])
-        offsets.append(offsets[-1] + total)
-    values = np.concatenate(out) if out else ids[:0]
-    return pa.table({id_col: batch[id_col], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))})
+                units[u] = len(sizes) + len(long_ids)
+                long_ids.append(heap_merge(u, rank, model) if model.kind == "bpe" else viterbi(u, rank, model, longest))
+            chosen.append(units[u])
+        counts.append(len(own))
+    values = np.concatenate([values, *[np.array(x, np.int32) for x in long_ids]]).astype(np.int32)
+    unit_starts = np.concatenate([[0], np.cumsum(np.concatenate([sizes, [len(x) for x in long_ids]]))]).astype(np.int64)
+    flat, n = gather(values, unit_starts, np.frombuffer(chosen, np.int64))
+    word_units = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))]).astype(np.int64)
+    word_starts = np.concatenate([[0], np.cumsum(n)])[word_units]
+    ids, lengths = gather(flat, word_starts, place)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])[starts]
+    return pa.table({id_col: rows[id_col], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -304,11 +343,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(id_col, "text"), F.lit(buckets)).cast("int"))
-    asked = rows.groupBy("bucket").applyInArrow(lambda t: units_in(t, near), "bucket int, unit string")
-    coded = encode_units(asked.select("unit").distinct(), model)
-    answers = asked.join(coded, "unit").select("bucket", "unit", "ids")
+    parts = buckets + 7
+    texts = packed(rows, "bucket")
+    asked = texts.groupBy("bucket").applyInArrow(lambda t: units_in(t, near, parts), "part int, bucket int, blob binary")
+    units = asked.groupBy("part").applyInArrow(distinct_units, "unit string")
+    coded = packed(encode_units(units.repartition("unit"), model).withColumn("part", part_column(F.col("unit"), parts)), "part")
+    answers = asked.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(answers_to, "bucket int, blob binary")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col), schema)
+    return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", model: Model | None = None) -> DataFrame:
