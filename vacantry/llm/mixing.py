@@ -28,9 +28,8 @@ def words(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     """From 0.25 to 1: higher for a larger share of letters; empty texts have 0.25."""
-    size = F.length(text)
-    share = F.length(F.regexp_replace(text, r"[^a-zA-ZÀ-ɏ]", "")) / F.nullif(size, F.lit(0))
-    return F.coalesce(F.least(F.lit(1.0), F.lit(0.25) + share * 0.75), F.lit(0.25))
+    share = F.length(F.regexp_replace(text, r"[^a-zA-ZÀ-ɏ]", "")) / F.nullif(F.length(text), F.lit(0))
+    return F.least(F.lit(1.0), F.lit(0.25) + F.coalesce(share, F.lit(0.0)) * 0.75)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -112,3 +111,27 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     many = docs.join(counts.withColumnRenamed("doc_id", "mix_id"), docs["doc_id"].eqNullSafe(F.col("mix_id")))
     repeated = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")
     return many.where("mix_copies > 0").select(*[docs[c] for c in docs.columns], repeated).drop("mix_copy")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         -ln((('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+         / least(1.0::DOUBLE, 0.25::DOUBLE + coalesce(length(regexp_replace(text, '[^a-zA-ZÀ-ɏ]', '', 'g'))::DOUBLE / nullif(length(text), 0), 0.0::DOUBLE) * 0.75::DOUBLE) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS weight, 3.0::DOUBLE * source_size / weight AS fill FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ()) - 3 * coalesce(sum(source_size) OVER (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (sum(weight) OVER (ORDER BY fill, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM w
+), t AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * coalesce((SELECT arg_min(level, (fill, place)) FROM l WHERE fill >= level), 'infinity'::DOUBLE)) AS target FROM l
+), k AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, size * least(3, epochs + (upto - size / 2.0::DOUBLE < target - epochs * source_size)::BIGINT) AS taken FROM k
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op8_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
 }
