@@ -229,7 +229,7 @@ def merge_fold(n: Column, edges: Column) -> Column:
 
     def step(cuts: Column, _: Column) -> Column:
         joins = F.filter(
-            edges, lambda e: (F.array_position(cuts, e["s"]) > 0) & (F.array_position(cuts, e["e"]) == F.array_position(cuts, e["s"]) + 2)
+            edges, lambda e: (F.array_position(cuts, e["e"]) == F.array_position(cuts, e["s"]) + 2) & (F.array_position(cuts, e["s"]) > 0)
         )
         best = F.array_min(F.transform(joins, lambda e: F.struct((-e["score"]).alias("cost"), e["s"].alias("s"))))
         return bound(best, lambda b: F.when(b.isNull(), cuts).otherwise(F.array_remove(cuts, F.element_at(cuts, (F.array_position(cuts, b["s"]) + 1).cast("int")))))
@@ -267,8 +267,10 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
         )
     ).alias("x")
     lattice = units.select("unit", span).select("unit", "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
-    # the piece table has as many rows as the model's vocabulary; units are joined outer, so that units of unknown characters stay
-    edges = lattice.join(F.broadcast(table_), "piece", "left").groupBy("unit").agg(
+    # the piece table has as many rows as the model's vocabulary; the join is outer and each unit's first character
+    # stays, so that units of unknown characters stay
+    met = lattice.join(F.broadcast(table_), "piece", "left").where("id IS NOT NULL OR s = 0 AND e = 1")
+    edges = met.groupBy("unit").agg(
         F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score", F.col("id").cast("int").alias("id")))).alias("edges")
     )
     edges = edges.withColumn("n", F.length("unit"))
