@@ -34,7 +34,7 @@ from .common import signed, table
 from .packing import pack, packed, split_by, unpack
 
 SPACE = "▁"
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Units of more characters (no space, all neighbours known to the pieces) are merged by a heap instead of the fold.
 LONGEST_UNIT = 128
 
@@ -349,7 +349,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     texts = packed(rows, "bucket")
     asked = texts.groupBy("bucket").applyInArrow(lambda t: units_in(t, near, parts), "part int, bucket int, blob binary")
     units = asked.groupBy("part").applyInArrow(distinct_units, "unit string")
-    coded = packed(encode_units(units.repartition("unit"), model).withColumn("part", part_column(F.col("unit"), parts)), "part")
+    # a fixed number of partitions: the units are few bytes but much work, which coalescing would not see
+    coded = packed(encode_units(units.repartition(2 * parts, "unit"), model).withColumn("part", part_column(F.col("unit"), parts)), "part")
     answers = asked.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(answers_to, "bucket int, blob binary")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col), schema)
