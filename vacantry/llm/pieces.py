@@ -225,17 +225,30 @@ def bound(value: Column, body) -> Column:
 
 
 def merge_fold(n: Column, edges: Column) -> Column:
-    """The cuts that are left when no two neighbours make a piece; best score first, then leftmost."""
+    """The cuts that are left when no two neighbours make a piece; best score first, then leftmost.
 
-    def step(cuts: Column, _: Column) -> Column:
-        joins = F.filter(
-            edges, lambda e: (F.array_position(cuts, e["e"]) == F.array_position(cuts, e["s"]) + 2) & (F.array_position(cuts, e["s"]) > 0)
-        )
+    A merge takes away the cut between its two pieces, and with it all edges that
+    begin or end there, so the edges to look at become fewer with every step.
+    """
+
+    def state(cuts: Column, live: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), live.alias("live"))
+
+    def step(st: Column, _: Column) -> Column:
+        cuts, live = st["cuts"], st["live"]
+        joins = F.filter(live, lambda e: (F.array_position(cuts, e["e"]) == F.array_position(cuts, e["s"]) + 2) & (F.array_position(cuts, e["s"]) > 0))
         best = F.array_min(F.transform(joins, lambda e: F.struct((-e["score"]).alias("cost"), e["s"].alias("s"))))
-        return bound(best, lambda b: F.when(b.isNull(), cuts).otherwise(F.array_remove(cuts, F.element_at(cuts, (F.array_position(cuts, b["s"]) + 1).cast("int")))))
+
+        def merged(b: Column) -> Column:
+            gone = F.element_at(cuts, (F.array_position(cuts, b["s"]) + 1).cast("int"))
+            return F.when(b.isNull(), state(cuts, F.slice(live, 1, 0))).otherwise(
+                bound(gone, lambda c: state(F.array_remove(cuts, c), F.filter(live, lambda e: (e["s"] != c) & (e["e"] != c))))
+            )
+
+        return bound(best, merged)
 
     steps = F.when(F.size(edges) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), F.greatest(n, F.lit(2))))
-    return F.aggregate(steps, F.sequence(F.lit(0), n), step)
+    return F.aggregate(steps, state(F.sequence(F.lit(0), n), edges), step)["cuts"]
 
 
 def viterbi_fold(n: Column, edges: Column, floor: float) -> Column:
@@ -301,8 +314,23 @@ def gather(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[
     return values[np.repeat(starts[chosen] - before, n) + np.arange(n.sum())], n
 
 
-def assemble(batch: pa.Table, coded: pa.Table, model: Model, near: frozenset[str], id_col: str) -> pa.Table:
-    """The ids of every text of a bucket, from its units' ids."""
+def piece_bytes(model: Model) -> list[bytes]:
+    """The bytes that each id stands for; control and unknown ids have none."""
+    first = model.first_byte
+    return [
+        p.replace(SPACE, " ").encode() if ok else bytes([i - first]) if first >= 0 and 0 <= i - first < 256 else b"" for i, (p, ok) in enumerate(zip(model.pieces, model.plain))
+    ]
+
+
+def decoded_texts(ids: np.ndarray, offsets: np.ndarray, parts: pa.Array) -> pa.Array:
+    """The texts of id lists one after the other, cut at ``offsets``."""
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), parts.take(pa.array(ids)))
+    texts = (t.as_py().decode("utf-8", "replace") for t in pc.binary_join(lists, pa.scalar(b"", pa.large_binary())))
+    return pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
+
+
+def assemble(batch: pa.Table, coded: pa.Table, model: Model, near: frozenset[str], id_col: str, decoding: bool) -> pa.Table:
+    """The ids of every text of a bucket, from its units' ids; and, if asked for, their decoded text."""
     rows, known = unpack(batch["blob"]), unpack(coded["blob"])
     place, unique, starts = split(rows["text"].combine_chunks())
     units = {u: i for i, u in enumerate(known["unit"].to_pylist())} if known is not None else {}
@@ -329,11 +357,14 @@ def assemble(batch: pa.Table, coded: pa.Table, model: Model, near: frozenset[str
     word_starts = np.concatenate([[0], np.cumsum(n)])[word_units]
     ids, lengths = gather(flat, word_starts, place)
     offsets = np.concatenate([[0], np.cumsum(lengths)])[starts]
-    return pa.table({id_col: rows[id_col], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
+    out = {id_col: rows[id_col], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
+    if decoding:
+        out["decoded"] = decoded_texts(ids, offsets, pa.array(piece_bytes(model), pa.large_binary()))
+    return pa.table(out)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``id_col, ids`` for each row: the ids that the tokenizer gives for the whole text, without control ids.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, decoding: bool = False) -> DataFrame:
+    """``id_col, ids`` for each row (with ``decoding`` also ``decoded``): the ids that the tokenizer gives for the whole text, without control ids.
 
     A null text counts as empty and has no ids. Rows repeated are all returned;
     other columns are ignored. A space mark in the text itself is read as a space,
@@ -352,15 +383,15 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     # a fixed number of partitions: the units are few bytes but much work, which coalescing would not see
     coded = packed(encode_units(units.repartition(2 * parts, "unit"), model).withColumn("part", part_column(F.col("unit"), parts)), "part")
     answers = asked.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(answers_to, "bucket int, blob binary")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col), schema)
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, T.StructField("decoded", T.StringType())] if decoding else fields)
+    return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col, decoding), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", model: Model | None = None) -> DataFrame:
     """``coded`` with a column ``decoded``: the text of the ids; control and unknown ids have none."""
     model = model or load(path or default_path())
-    first, pieces, plain = model.first_byte, model.pieces, model.plain
-    parts = [p.replace(SPACE, " ").encode() if ok else bytes([i - first]) if 0 <= i - first < 256 and first >= 0 else b"" for i, (p, ok) in enumerate(zip(pieces, plain))]
+    parts = piece_bytes(model)
 
     @F.pandas_udf("string")
     def text_of(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -373,7 +404,7 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", mode
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, a digest of the ids (as written with commas) and of the decoded text."""
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = encode(table(spark, sf_dir, "documents"), decoding=True)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
