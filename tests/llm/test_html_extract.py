@@ -34,6 +34,24 @@ def test_article_only(spark, parts):
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_blocks_that_one_page_has_are_kept(spark, parts):
+    """A text that one page of 30 has is no template text; one that all share goes only in its own place."""
+    rows, want = [], {}
+    for i in range(30):
+        sections = 5 if i == 7 else i % 3 + 1
+        body = f"<h1>Title {i}</h1>" + "".join(f"<h2>Part {k} of {i}</h2><p>Words {k} of {i}</p>" for k in range(sections))
+        lines = [f"Title {i}"] + [x for k in range(sections) for x in (f"Part {k} of {i}", f"Words {k} of {i}")]
+        if i == 11:
+            body += "<blockquote>Said once</blockquote><ul><li>One item</li></ul><figure><figcaption>A figure</figcaption></figure><h3>Always the same words.</h3>"
+            lines += ["Said once", "One item", "A figure", "Always the same words."]
+        rows.append((i, f"https://h.example.com/{i}", f"<html><body><article>{body}<div><p>Always the same words.</p></div></article></body></html>"))
+        want[i] = "\n".join(lines)
+    rows.append((30, "https://h.example.com/30", ""))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == want | {30: ""}
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "not an address", "plain text &lt;b&gt; only"), (4, "http://a/", "<p>one<p>two<div>three"), (5, "http://a/", "<article><p>cut of"), (6, "http://a/", "<article><!-- open"),

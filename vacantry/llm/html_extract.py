@@ -44,8 +44,9 @@ ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search aler
 #: Words in class or id, and beginnings of words, that mark what is not the article.
 ASIDE_WORDS = frozenset("ad ads nav menu side foot header masthead banner notice alert popup modal overlay signup login search pager widget toolbar copyright legal disclaimer disqus replies reply respond".split())
 ASIDE_STARTS = ("advert", "comment", "sidebar", "footer", "navig", "navbar", "breadcrumb", "cookie", "consent", "promo", "sponsor", "newsletter", "subscri", "social", "shar", "related", "recommend", "paginat")
-#: Pages from which on a text that never changes counts as part of the template.
-TEMPLATE_PAGES = 10
+#: Pages from which on a text that never changes counts as part of the template,
+#: and the tenths of a host's pages that must have exactly this text in its place.
+TEMPLATE_PAGES, MOST_TENTHS = 10, 9
 #: Wrappers of more nodes than this are generalised; partial wrappers that a task holds at once.
 LARGE, HELD = 1500, 2000
 BROADCAST_BYTES = 4 << 20
@@ -132,20 +133,33 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
 
 
 # A wrapper is a list of [node, optional]. A node is a string, or a list (the wrapper of a
-# repeated group). Strings: "<sig" opens, ">" closes, "#" is a slot, "=n" a text with checksum n.
+# repeated group). Strings: "<sig" opens, ">" closes, "#" is a slot, "=n:k" a text with checksum n that
+# k pages had in this place, "~n:k" several texts that k pages had there alike.
 
 
 def key(node) -> str:
     """What alignment compares: all texts are alike, groups are alike if they begin alike."""
     if isinstance(node, list):
         return "+" + key(node[0][0])
-    return "#" if node[0] == "=" else node
+    return "#" if node[0] in "=~" else node
 
 
-def merged_node(a, b):
+def checksum(path: str, text: str) -> int:
+    return zlib.crc32(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
+
+
+def merged_node(a, b, of: str):
+    """``of`` tells what the sides are: of two "pages", of one "page", or perhaps of the same pages ("any")."""
     if isinstance(a, list):
-        return merged(a, b)
-    return a if a == b else "#" if a[0] in "#=" else a
+        return merged(a, b, of)
+    if a[0] in "#=~":
+        if a == "#" or b == "#":
+            return "#"
+        (x, m), (y, n) = a.split(":"), b.split(":")
+        if x == y:
+            return f"{x}:{int(m) + int(n) if of == 'pages' else max(int(m), int(n))}"
+        return f"~{zlib.crc32((x + y).encode())}:1" if of == "page" else "#"
+    return a
 
 
 def grouped(nodes: list, units: set[str]) -> list:
@@ -173,29 +187,29 @@ def heads(nodes: list) -> set[str]:
     return {n[0][0] for n, _ in nodes if isinstance(n, list) and isinstance(n[0][0], str)}
 
 
-def merged(a: list, b: list) -> list:
+def merged(a: list, b: list, of: str = "pages") -> list:
     """The wrapper of both: aligned nodes stay, all others become optional."""
     if a == b:
-        return a
+        return a if of != "pages" else [[merged_node(x, x, of), p] for x, p in a]
     units = heads(a) | heads(b)
     if units:
         a, b = grouped(a, units), grouped(b, units)
     out = []
     for op, a1, a2, b1, b2 in SequenceMatcher(None, [key(n) for n, _ in a], [key(n) for n, _ in b], autojunk=False).get_opcodes():
         if op == "equal":
-            out += [[merged_node(x, y), p or q] for (x, p), (y, q) in zip(a[a1:a2], b[b1:b2])]
+            out += [[merged_node(x, y, of), p or q] for (x, p), (y, q) in zip(a[a1:a2], b[b1:b2])]
         else:
             out += [[n, True] for n, _ in a[a1:a2] + b[b1:b2]]
-    out = folded(out)
+    out = folded(out, "page" if of == "page" else "any")
     return generalised(out) if len(out) > LARGE else out
 
 
-def folded(nodes: list) -> list:
+def folded(nodes: list, of: str) -> list:
     """Neighbouring groups that begin alike become one."""
     out: list = []
     for node, optional in nodes:
         if out and isinstance(node, list) and isinstance(out[-1][0], list) and key(node) == key(out[-1][0]):
-            out[-1] = [merged(out[-1][0], node), out[-1][1] and optional]
+            out[-1] = [merged(out[-1][0], node, of), out[-1][1] and optional]
         else:
             out.append([node, optional])
     return out
@@ -206,7 +220,7 @@ def generalised(nodes: list) -> list:
     distinct: dict[str, object] = {}
     for node, _ in nodes:
         k = key(node)
-        distinct[k] = merged_node(distinct[k], node) if k in distinct else node
+        distinct[k] = merged_node(distinct[k], node, "any") if k in distinct else node
     return [[[[n, True] for n in distinct.values()], False]]
 
 
@@ -218,8 +232,9 @@ def page_wrapper(page: str) -> tuple[list, dict[str, list[int]]]:
     for kind, what in stream(page):
         if kind == "text":
             text, links = what
-            levels[-1].append([f"={zlib.crc32(text.encode('utf-8', 'surrogatepass'))}", False])
-            e = extent.setdefault(" ".join(path), [0, 0, 1])
+            place = " ".join(path)
+            levels[-1].append([f"={checksum(place, text)}:1", False])
+            e = extent.setdefault(place, [0, 0, 1])
             e[0] += len(text)
             e[1] += links
         elif kind == "open":
@@ -233,7 +248,7 @@ def page_wrapper(page: str) -> tuple[list, dict[str, list[int]]]:
             # repeated elements become one group at once; a single one stays as it is
             if above and isinstance(above[-1][0], list) and key(above[-1][0]) == "+" + own[0][0]:
                 last = above[-1][0]
-                above[-1] = [merged(last, own), False]
+                above[-1] = [merged(last, own, "page"), False]
                 continue
             start = len(above)
             depth = 0
@@ -247,7 +262,7 @@ def page_wrapper(page: str) -> tuple[list, dict[str, list[int]]]:
                     break
             before = above[start:] if above and above[-1][0] == ">" else []
             if before and before[0][0] == own[0][0]:
-                above[start:] = [[merged(before, own), False]]
+                above[start:] = [[merged(before, own, "page"), False]]
             else:
                 above.extend(own)
     return root, extent
@@ -300,7 +315,9 @@ def rules(wrapper: list, extent: dict[str, list[int]], pages: int) -> dict:
     inside = {p: e for p, e in inside.items() if not root or under(p, root)}
     drop = sorted(p for p, e in inside.items() if not root and e[1] * 2 > e[0])
     places = [(p, kind) for p, kind, _ in slots(wrapper) if p in inside]
-    fixed = sorted({kind[1:] for _, kind in places if kind[0] == "="})
+    # the checksum holds the path, so the wrapper's own path, which alignment can shift, is not asked
+    texts = (kind[1:].split(":") for _, kind, _ in slots(wrapper) if kind[0] == "=")
+    fixed = sorted({n for n, k in texts if int(k) * 10 >= pages * MOST_TENTHS})
     changing = any(kind == "#" for _, kind in places)
     return {"root": root, "drop": drop, "same": fixed if pages >= TEMPLATE_PAGES and changing else []}
 
@@ -357,7 +374,7 @@ def main_text(page: str, rule: dict) -> str:
         else:
             p = " ".join(path)
             if not aside(p) and p not in drop and (not root or under(p, root)):
-                if not same or str(zlib.crc32(what[0].encode("utf-8", "surrogatepass"))) not in same:
+                if not same or str(checksum(p, what[0])) not in same:
                     blocks.append(what[0])
     return "\n".join(blocks)
 
