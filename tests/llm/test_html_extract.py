@@ -52,6 +52,18 @@ def test_blocks_that_one_page_has_are_kept(spark, parts):
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want | {30: ""}
 
 
+@pytest.mark.parametrize("mark", ["class='sidebar'", "id=comments", "role=\"banner\"", "hidden", "aria-hidden='true'", "style='display: none'"])
+def test_attributes_behind_long_ones_are_read(mark):
+    for first in ("", f"data-v2='{'x hidden ' * 500}' ", f"srcset=\"{'a.png 1x, ' * 400}\" data_w={'y' * 5000} "):
+        assert H.signature(f"<div {first}{mark}>")[1][-1] == "!"
+        assert H.signature(f"<div {first}class='text body'>") == ("div", "div.body.text")
+    H.signature("<div " + "a" * 200000 + "'>")  # ends soon
+    kinds = [k for k, w in H.stream(f"<article><div data-x='{'z' * 900}' {mark}><p>out</p></div><p>in</p></article>") if k == "open"]
+    assert len(kinds) == 4
+    rule = {"root": "article", "drop": [], "same": []}
+    assert H.main_text(f"<article><div data-x='{'z' * 900}' {mark}><p>out</p></div><p>in</p></article>", rule) == "in"
+
+
 def test_odd_pages(spark):
     rows = [
         (1, None, None), (2, "", ""), (3, "not an address", "plain text &lt;b&gt; only"), (4, "http://a/", "<p>one<p>two<div>three"), (5, "http://a/", "<article><p>cut of"), (6, "http://a/", "<article><!-- open"),

@@ -32,7 +32,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b")
+#: A name begins where none goes on, so that a long run of other characters is read once.
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/=])([^\s\"'>/=]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run within a line of text; all others begin a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -50,15 +51,20 @@ TEMPLATE_PAGES, MOST_TENTHS = 10, 9
 #: Wrappers of more nodes than this are generalised; partial wrappers that a task holds at once.
 LARGE, HELD = 1500, 2000
 BROADCAST_BYTES = 4 << 20
+#: Tags up to this length have their signature cached; all are read whole.
+KNOWN_CHARS = 400
 
 
-@lru_cache(maxsize=4096)
 def signature(tag_text: str) -> tuple[str, str]:
-    """Tag name and signature ``name.words``; ``!`` marks what is not the article."""
+    """Tag name and signature ``name.words``; ``!`` marks what is not the article. Only short tags are remembered."""
+    return known_signature(tag_text) if len(tag_text) <= KNOWN_CHARS else read_signature(tag_text)
+
+
+def read_signature(tag_text: str) -> tuple[str, str]:
     name = TAG.match(tag_text)[1].lower()
     words, aside = [], name in ASIDE_TAGS
-    for m in ATTRIBUTE.finditer(tag_text[len(name) + 1 :]):
-        key, value = (m[1] or m[3]).lower(), (m[2] or "").strip("\"'").lower()
+    for m in ATTRIBUTE.finditer(tag_text[TAG.match(tag_text).end() :]):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
             words += [w for w in re.split(r"[^a-z]+", value) if w]
         elif key == "role":
@@ -70,6 +76,9 @@ def signature(tag_text: str) -> tuple[str, str]:
     return name, name + "".join("." + w for w in sorted(set(words))) + "!" * aside
 
 
+known_signature = lru_cache(maxsize=4096)(read_signature)
+
+
 def stream(page: str) -> Iterator[tuple[str, object]]:
     """Balanced events: ("open", signature), ("close", None), ("text", (string, characters in links))."""
     stack: list[tuple[str, str]] = []  # open blocks
@@ -90,7 +99,7 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
             continue
         if m[1] or token[1] in "!?":
             continue
-        name, sig = signature(token[:400])
+        name, sig = signature(token)
         closing = token[1] == "/"
         if name in INLINE:
             if name == "a":
