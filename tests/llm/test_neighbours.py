@@ -46,6 +46,38 @@ def test_few_candidates(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in N.search(df).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
 
 
+def found(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in N.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_few_candidates_are_all_found(spark):
+    """Fewer vectors than asked for, far apart: every query gets all the others."""
+    x = np.random.default_rng(3).normal(size=(15, 64))
+    x[:, 0] *= np.arange(1, 16)
+    got = found(spark, x)
+    assert got == {0: sorted(range(1, 15), key=lambda i: -(x[0] * x[i]).sum())}
+
+
+def test_a_long_vector_leaves_no_query_short(spark):
+    """One vector 100 times as long: every query still gets 20, and recall stays."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[1] *= 100
+    x[20] = -x[1] / 100
+    got, hit = found(spark, x), 0
+    assert set(got) == set(range(0, 3000, 20)) and all(len(best) == 20 for best in got.values())
+    for q, best in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(best))
+    assert hit / (20 * len(got)) >= 0.95
+
+
 def test_empty_table(spark):
     assert N.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

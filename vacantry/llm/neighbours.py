@@ -4,7 +4,9 @@ Largest inner product becomes smallest distance by one more component. Every
 vector is hashed by rounded projections on normal directions into a bucket of
 each table. A query visits its own bucket and perturbed ones, in order of how
 likely neighbours are there; the buckets' candidates merge and are ranked by the
-exact measure.
+exact measure. Vectors are hashed in layers of like length, so that a long one
+doesn't push the others together, and a query that found too few is compared
+with all of them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ TABLES, HASHES, WIDTH, PROBES = 6, 5, 2.0, 16
 NEAREST, QUERY_STEP = 20, 20
 #: Vectors of one bucket that a task compares with queries at once; larger buckets are dealt into parts.
 PART = 4096
+#: Queries that found too few and are compared with all vectors: so many to a block, and so many blocks of vectors.
+SHORT_BLOCK, ALL_BLOCKS = 1024, 64
 #: Candidates this close to the last place are ranked exactly with it.
 SLACK = 1e-9
 
@@ -87,8 +91,23 @@ def frame(tables, keys, ids, vectors) -> pa.RecordBatch:
 ENTRY = "t int, key long, id long, v array<double>"
 
 
-def index(vectors: DataFrame, longest: float) -> DataFrame:
-    """``t, key, id, v``: every vector's bucket in each table."""
+def length(v: str = "v"):
+    """Euclidean length, without overflow of the squares."""
+    most = F.array_max(F.transform(v, F.abs))
+    return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+
+
+def layered(vectors: DataFrame) -> DataFrame:
+    """``vec_id, v, length, layer``: lengths of a layer differ by a factor of two at most; unit vectors lie amid one."""
+    return vectors.select("vec_id", "v", length().alias("length")).withColumn("layer", F.floor(F.log2("length") + 0.5))
+
+
+def layer_keys(keys: np.ndarray, layers: np.ndarray) -> np.ndarray:
+    return bucket_key(np.stack([keys, np.broadcast_to(layers, keys.shape)], axis=-1))
+
+
+def index(vectors: DataFrame, longest: dict[int, float]) -> DataFrame:
+    """``t, key, id, v``: every vector's bucket in each table, scaled by the longest of its layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,17 +115,24 @@ def index(vectors: DataFrame, longest: float) -> DataFrame:
                 continue
             x = stack(batch.column(1))
             a, b = directions(x.shape[1])
-            unit = x / longest
+            layers = batch.column(2).to_numpy()
+            unit = x / np.array([longest[n] for n in layers.tolist()])[:, None]
             rest = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1, keepdims=True)))
             cells = np.floor((np.concatenate([unit, rest], axis=1) @ a + b) / WIDTH).astype(np.int64)
             for t in range(TABLES):
-                yield frame(np.full(len(x), t), bucket_key(cells[:, t * HASHES : (t + 1) * HASHES]), batch.column(0), x)
+                yield frame(np.full(len(x), t), layer_keys(bucket_key(cells[:, t * HASHES : (t + 1) * HASHES]), layers), batch.column(0), x)
+
+    return vectors.select("vec_id", "v", "layer").mapInArrow(run, ENTRY)
+
 
-    return vectors.select("vec_id", "v").mapInArrow(run, ENTRY)
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without overflow of the squares."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return most[:, 0] * np.sqrt(((x / most) ** 2).sum(axis=1))
 
 
-def probes(queries: DataFrame) -> DataFrame:
-    """``t, key, id, v``: the buckets that each query visits."""
+def probes(queries: DataFrame, layers: list[int]) -> DataFrame:
+    """``t, key, id, v``: the buckets that each query visits, in every layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +140,7 @@ def probes(queries: DataFrame) -> DataFrame:
                 continue
             x = stack(batch.column(1))
             a, b = directions(x.shape[1])
-            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            unit = x / lengths(x)[:, None]
             place = (unit @ a[:-1] + b) / WIDTH
             cells = np.floor(place).astype(np.int64)
             for t in range(TABLES):
@@ -122,7 +148,8 @@ def probes(queries: DataFrame) -> DataFrame:
                 keys = [bucket_key(cells[i, own] + np.array(perturbations(place[i, own] - cells[i, own]))) for i in range(len(x))]
                 many = np.repeat(np.arange(len(x)), [len(k) for k in keys])
                 ids = batch.column(0).to_numpy()
-                yield frame(np.full(len(many), t), np.concatenate(keys), ids[many], x[many])
+                for layer in layers:
+                    yield frame(np.full(len(many), t), layer_keys(np.concatenate(keys), np.array(layer)), ids[many], x[many])
 
     return queries.select("vec_id", "v").mapInArrow(run, ENTRY)
 
@@ -156,6 +183,20 @@ def compare(entries: pa.Table, asked: pa.Table, nearest: int) -> pa.Table:
     return pa.table({"query": queries[rows], "vec_id": ids[places], "score": scores})
 
 
+def compared_with_all(queries: DataFrame, vectors: DataFrame, nearest: int) -> DataFrame:
+    """``query, vec_id, score``: the best of all vectors for each query, by blocks of both."""
+    count = queries.count()
+    if count == 0:
+        return queries.sparkSession.createDataFrame([], "query long, vec_id long, score double")
+    blocks = -(-count // SHORT_BLOCK)
+    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(ALL_BLOCKS)).cast("int").alias("part")
+    every = vectors.select(dealt, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("id"), "v")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(ALL_BLOCKS - 1))).alias("part"), block, F.col("vec_id").alias("id"), "v")
+    names = ["part", "block"]
+    return every.groupBy(names).cogroup(asked.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest), "query long, vec_id long, score double")
+
+
 def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", step: int = QUERY_STEP, nearest: int = NEAREST) -> DataFrame:
     """Nearest vectors by inner product: ``query_id, rank, vec_id, score``.
 
@@ -167,19 +208,25 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     id count once. Other columns are ignored.
     """
     vectors = written(usable(rows, id_col, vec_col).dropDuplicates(["vec_id"]), "ann-vectors")
-    longest = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
     same = Window.partitionBy("v").orderBy("vec_id")
-    kept = vectors.withColumn("n", F.row_number().over(same)).where(F.col("n") <= nearest + 1)
+    kept = written(layered(vectors.withColumn("n", F.row_number().over(same)).where(F.col("n") <= nearest + 1)), "ann-kept")
+    longest = {r["layer"]: r["m"] for r in kept.groupBy("layer").agg(F.max("length").alias("m")).collect()}  # one for each power of two at most
     entries = written(index(kept, longest), "ann-index")
     asked = vectors.where(F.col("vec_id") % step == 0)
-    first = asked.withColumn("n", F.row_number().over(same)).where("n = 1")
+    first = written(asked.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n"), "ann-queries")
     # large buckets are dealt into parts, and their visitors go to each part
     parts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = entries.join(parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    visits = probes(first).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    visits = probes(first, sorted(longest)).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     names = ["t", "key", "part"]
     found = dealt.groupBy(names).cogroup(visits.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
-    merged = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= nearest + 1)
+    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    probed = written(found.distinct().withColumn("n", ranked).where(F.col("n") <= nearest + 1), "ann-found")
+    # a query that found fewer than there are meets all vectors
+    enough = probed.where(F.col("n") == min(nearest + 1, kept.count())).select(F.col("query").alias("vec_id"))
+    short = first.join(enough, "vec_id", "left_anti").select("vec_id", "v")
+    rest = compared_with_all(short, kept, nearest + 1).withColumn("n", ranked).where(F.col("n") <= nearest + 1)
+    merged = probed.join(short.select(F.col("vec_id").alias("query")), "query", "left_anti").unionByName(rest)
     # every query of identical ones gets the list without itself
     lists = merged.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
     heads = first.select("v", F.col("vec_id").alias("query")).join(lists, "query")
