@@ -149,6 +149,33 @@ def test_merge_duplicates_order_of_richness(spark):
     assert [s.url for s in out[0].sources] == ["u1", "u2"]
 
 
+def test_merge_duplicates_gathers_no_copies(spark):
+    """A group's copies never meet in one row, and only distinct addresses are counted."""
+    lines = lambda df: df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    df = spark.createDataFrame(random_postings(4, 40, 3), POSTING)
+    for line in lines(U.merge_duplicates(df)):
+        assert "collect_list" not in line or "description" not in line.split("collect_list", 1)[1]
+    count = U.duplicate_count(df)
+    assert not any("collect_list" in line for line in lines(count))
+    assert count.first()[0] == sum(len(r.sources) - 1 for r in U.merge_duplicates(df).collect())
+
+
+def test_merge_duplicates_ties_follow_the_order(spark):
+    """Of equally long texts, more skills than were united, a salary or a deadline makes a later copy show."""
+    rows = [
+        posting(seq=1, title="a", description="12", salary=None, required_skills=["A", "A"], source_url="u1", dedupe_hash="h"),
+        posting(seq=2, title="b", description="1", salary="", required_skills=["B"], source_url="u2", dedupe_hash="h"),
+        posting(seq=3, title="c", description="12", salary="9", required_skills=["b", "a"], source_url="u1", dedupe_hash="h"),
+        posting(seq=4, title="d", description="21", salary="8", required_skills=["C", "D"], source_url="u3", dedupe_hash="h"),
+        posting(seq=5, title="e", description="21", salary=None, required_skills=["A", "B", "C", "D", "E"], preferred_skills=["F", "e"], source_url="u3", dedupe_hash="h"),
+        posting(seq=6, title="one", required_skills=["A", "A"], source_url="u1", dedupe_hash="g"),
+    ]
+    got = {r.dedupe_hash: r for r in U.merge_duplicates(spark.createDataFrame(rows[::-1], POSTING)).collect()}
+    h = got["h"]
+    assert (h.seq, h.title, h.salary, h.required_skills, h.preferred_skills) == (5, "e", "9", ["A", "B", "C", "D", "E"], ["F"])
+    assert [s.url for s in h.sources] == ["u1", "u2", "u3"] and got["g"].required_skills == ["A", "A"]
+
+
 def test_store_is_idempotent(spark, tmp_path):
     raw = "seq long, " + RAW_POSTING
     cols = ["seq", *columns(RAW_POSTING)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantry.functions import classify as C
@@ -23,42 +23,73 @@ def merge_duplicates(postings: DataFrame) -> DataFrame:
 
     A copy is richer by length of description, number of required skills (the
     united ones for the copy that shows so far), a salary and a deadline. Rows
-    without a hash are dropped. The fold depends on the order, so a group is
-    folded by one task; see ``fold_batch`` for the form with partial aggregation.
+    without a hash are dropped. Copies of one ``seq`` follow in the order of a hash.
     Returns the posting's columns and ``sources``.
+
+    Lists are united by a second aggregation on (hash, value). Which copy shows
+    depends on the order: a window over lengths, counts and marks alone leaves
+    the few copies that can replace the one that shows or fill its gaps, and
+    these are folded. No group gathers its copies in one row.
     """
     cols = [c for c in postings.columns if c not in ("sources", "dedupe_hash", "seq")]
-    row = F.struct("seq", *cols)
-
-    def score(j: Column) -> Column:
-        return F.struct(
-            F.length(F.coalesce(j["description"], F.lit(""))), F.size(F.coalesce(j["required_skills"], F.array().cast("array<string>"))),
-            (X.text(j["salary"]) != "").cast("int"), j["deadline"].isNotNull().cast("int"),
-        )
-
-    def merged(acc: Column, j: Column) -> Column:
-        required = X.union_lists(acc["required_skills"], j["required_skills"])
-        preferred = X.without(X.union_lists(acc["preferred_skills"], j["preferred_skills"]), required)
-        richer = score(j) > score(acc)
-        pick = {c: F.when(richer, j[c]).otherwise(acc[c]) for c in ["seq", *cols]}
-        pick["required_skills"], pick["preferred_skills"] = required, preferred
-        for c in ("salary", "deadline"):
-            pick[c] = F.coalesce(pick[c], j[c], acc[c])
-        return F.struct(*[pick[c].alias(c) for c in ["seq", *cols]])
-
-    groups = postings.where("dedupe_hash IS NOT NULL AND dedupe_hash <> ''").groupBy("dedupe_hash").agg(F.array_sort(F.collect_list(row)).alias("copies"))
-    folded = groups.select(
-        "dedupe_hash",
-        F.aggregate(F.slice("copies", 2, 1 << 30), F.element_at("copies", 1), merged).alias("j"),
-        F.transform("copies", lambda c: F.struct(F.coalesce(c["source_platform"], F.lit("")).alias("platform"), F.coalesce(c["source_url"], F.lit("")).alias("url"))).alias("all"),
-    )
-    urls = F.transform("all", lambda s: s["url"])
-    firsts = F.filter(F.transform("all", lambda s, i: F.when(F.array_position(urls, s["url"]) == i + 1, s)), lambda s: s.isNotNull())
-    return folded.select("dedupe_hash", *[F.col("j")[c].alias(c) for c in ["seq", *cols]], firsts.alias("sources"))
-
+    rows = postings.where("dedupe_hash IS NOT NULL AND dedupe_hash <> ''").withColumn("at", F.struct("seq", F.xxhash64(*cols).alias("mark")))
+    none = F.array().cast("array<string>")
 
-def duplicate_count(merged: DataFrame) -> DataFrame:
-    return merged.agg(F.coalesce(F.sum(F.greatest(F.size("sources") - 1, F.lit(0))), F.lit(0)).alias("duplicates"))
+    def firsts(values: str) -> DataFrame:
+        items = rows.select("dedupe_hash", "at", F.posexplode(X.union_lists(F.col(values))).alias("pos", "v"))
+        return items.groupBy("dedupe_hash", F.lower("v").alias("k")).agg(F.min(F.struct("at", "pos", "v")).alias("f"))
+
+    def united(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("dedupe_hash").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["v"]).alias(name))
+
+    required = firsts("required_skills")
+    news = required.groupBy("dedupe_hash", F.col("f.at").alias("at")).agg(F.count("*").alias("news"))
+    narrow = rows.select(
+        "dedupe_hash", "at", F.length(F.coalesce("description", F.lit(""))).alias("chars"), F.size(F.coalesce("required_skills", none)).alias("skills"),
+        (X.text(F.col("salary")) != "").cast("int").alias("paid"), F.col("deadline").isNotNull().cast("int").alias("dated"), "salary", "deadline",
+    ).distinct()
+    order = Window.partitionBy("dedupe_hash").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    seen = narrow.join(news, ["dedupe_hash", "at"], "left").select(
+        "*", F.row_number().over(order).alias("place"), F.max("chars").over(before).alias("most"), F.lag("skills").over(order).alias("last_skills"),
+        F.coalesce(F.sum("news").over(before), F.lit(0)).alias("united"), *[((F.count(c).over(before) == 0) & F.col(c).isNotNull()).alias(f"first_{c}") for c in ("salary", "deadline")],
+    )
+    # the first copy's list counts as it stands until it is united with another
+    seen = seen.withColumn("united", F.when(F.col("place") == 2, F.col("last_skills")).otherwise(F.col("united")).cast("int")).withColumn("early", F.least("place", F.lit(3)))
+    tie = (F.col("chars") == F.col("most")) & ((F.col("skills") > F.col("united")) | (F.col("skills") == F.col("united")) & (F.col("paid") + F.col("dated") > 0))
+    able = seen.where((F.col("place") <= 2) | (F.col("chars") > F.col("most")) | tie | F.col("first_salary") | F.col("first_deadline"))
+    # of copies that are alike in all that is compared, only the first can change anything
+    fields = ["at", "chars", "skills", "paid", "dated", "united", "salary", "deadline"]
+    alike = able.groupBy("dedupe_hash", "early", "chars", "skills", "paid", "dated", "united", "first_salary", "first_deadline").agg(F.min(F.struct("at", "salary", "deadline")).alias("f"))
+    events = alike.select("dedupe_hash", F.struct("f.at", *fields[1:6], "f.salary", "f.deadline").alias("e")).groupBy("dedupe_hash").agg(F.array_sort(F.collect_list("e")).alias("events"))
+
+    def step(acc: Column, j: Column) -> Column:
+        richer = F.struct(j["chars"], j["skills"], j["paid"], j["dated"]) > F.struct(acc["chars"], j["united"], acc["paid"], acc["dated"])
+        pick = {c: F.when(richer, j[c]).otherwise(acc[c]) for c in fields}
+        for c, mark in (("salary", "paid"), ("deadline", "dated")):
+            own = F.when(richer, j[c].isNotNull()).otherwise(acc[c].isNull())
+            pick[c], pick[mark] = F.when(own, j[c]).otherwise(acc[c]), F.when(own, j[mark]).otherwise(acc[mark])
+        return F.struct(*[pick[c].alias(c) for c in fields])
+
+    shown = events.select("dedupe_hash", F.aggregate(F.slice("events", 2, 1 << 30), F.element_at("events", 1), step).alias("j"))
+    shown = shown.select("dedupe_hash", F.col("j.at").alias("at"), F.col("j.salary").alias("j_salary"), F.col("j.deadline").alias("j_deadline"))
+    places = rows.groupBy("dedupe_hash", F.coalesce("source_url", F.lit("")).alias("url")).agg(F.min(F.struct("at", F.coalesce("source_platform", F.lit("")).alias("platform"))).alias("f"), F.count("*").alias("n"))
+    sources = places.groupBy("dedupe_hash").agg(F.array_sort(F.collect_list(F.struct("f.at", "f.platform", "url"))).alias("all"), F.sum("n").alias("n"))
+    sources = sources.select("dedupe_hash", "n", F.transform("all", lambda s: F.struct(s["platform"].alias("platform"), s["url"].alias("url"))).alias("sources"))
+    out = rows.select("dedupe_hash", "at", *cols).join(shown, ["dedupe_hash", "at"]).dropDuplicates(["dedupe_hash"]).join(sources, "dedupe_hash")
+    out = out.join(united(required, "all_required"), "dedupe_hash", "left").join(united(firsts("preferred_skills"), "all_preferred"), "dedupe_hash", "left")
+    many, all_required = F.col("n") > 1, F.coalesce("all_required", none)
+    value = {c: F.col(c) for c in cols} | {
+        "salary": F.col("j_salary"), "deadline": F.col("j_deadline"), "required_skills": F.when(many, all_required).otherwise(F.col("required_skills")),
+        "preferred_skills": F.when(many, X.without(F.coalesce("all_preferred", none), all_required)).otherwise(F.col("preferred_skills")),
+    }
+    return out.select("dedupe_hash", F.col("at.seq").alias("seq"), *[value[c].alias(c) for c in cols], "sources")
+
+
+def duplicate_count(postings: DataFrame) -> DataFrame:
+    """How many sources ``merge_duplicates`` would unite with others, from the distinct addresses alone."""
+    urls = postings.where("dedupe_hash IS NOT NULL AND dedupe_hash <> ''").groupBy("dedupe_hash").agg((F.countDistinct(F.coalesce("source_url", F.lit(""))) - 1).alias("more"))
+    return urls.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("duplicates"))
 
 
 def validate(raw: DataFrame, now: Column) -> DataFrame:

@@ -76,7 +76,7 @@ def merge_duplicates(spark, sf_dir):
 
 @register("duplicate_count", f"WITH {W.DOCUMENT_POSTINGS_SQL} SELECT coalesce(sum(n - 1), 0)::BIGINT AS duplicates FROM (SELECT count(DISTINCT source_url) AS n FROM doc_postings GROUP BY dedupe_hash)")
 def duplicate_count(spark, sf_dir):
-    return U.duplicate_count(U.merge_duplicates(W.document_postings(spark, sf_dir)))
+    return U.duplicate_count(W.document_postings(spark, sf_dir))
 
 
 def _upserted(spark, sf_dir):
