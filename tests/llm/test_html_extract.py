@@ -17,7 +17,7 @@ def pages():
         extra = ["", "<aside>side</aside>", "<section id='comments'><article class='comment'><p>reader</p></article></section>", "<form><p>send</p></form>"][i % 4]
         note = "<div class='cookie-notice'>take cookies</div><p>Always the same words.</p>"
         rows.append((i, f"https://h.example.com/{i}", page(i, body + note, extra)))
-        want[i] = "\n".join([f"Title &amp; {i}", *[f"Par {k} of {i} next" for k in range(i % 3 + 1)]])
+        want[i] = "\n".join([f"Title &amp; {i}", *[f"Par {k} of {i} next" for k in range(i % 3 + 1)], "Always the same words."])
     return rows, want
 
 
@@ -28,28 +28,71 @@ def run(spark, rows):
 
 @pytest.mark.parametrize("parts", [1, 6])
 def test_article_only(spark, parts):
-    """Menus, adverts, notices, comments, forms and a text that all pages share are left out."""
+    """Menus, adverts, notices, comments and forms are left out; a paragraph of the article that all pages share is not."""
     rows, want = pages()
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
     assert {r.page_id: r.text for r in H.extract(df).collect()} == want
 
 
-@pytest.mark.parametrize("parts", [1, 6])
-def test_blocks_that_one_page_has_are_kept(spark, parts):
-    """A text that one page of 30 has is no template text; one that all share goes only in its own place."""
+@pytest.mark.parametrize("n", [1, 9, 10, 500])
+def test_nothing_in_an_article_is_lost(spark, n):
+    """Texts that one page has, and texts that all have, at any number of pages and parts."""
     rows, want = [], {}
-    for i in range(30):
+    for i in range(n):
         sections = 5 if i == 7 else i % 3 + 1
         body = f"<h1>Title {i}</h1>" + "".join(f"<h2>Part {k} of {i}</h2><p>Words {k} of {i}</p>" for k in range(sections))
         lines = [f"Title {i}"] + [x for k in range(sections) for x in (f"Part {k} of {i}", f"Words {k} of {i}")]
-        if i == 11:
+        if i == n // 2:
             body += "<blockquote>Said once</blockquote><ul><li>One item</li></ul><figure><figcaption>A figure</figcaption></figure><h3>Always the same words.</h3>"
             lines += ["Said once", "One item", "A figure", "Always the same words."]
-        rows.append((i, f"https://h.example.com/{i}", f"<html><body><article>{body}<div><p>Always the same words.</p></div></article></body></html>"))
+        rows.append((i, f"https://h.example.com/{i}", f"<html><body><p>Outside</p><article>{body}<div><p>Always the same words.</p></div></article></body></html>"))
+        want[i] = "\n".join([*lines, "Always the same words."])
+    rows.append((n, "https://h.example.com/e", ""))
+    for parts in (1, 50):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r.page_id: r.text for r in H.extract(df).collect()} == want | {n: ""}
+
+
+def unmarked(n):
+    """Pages without an article element, whose classes mean nothing."""
+    rows, want = [], {}
+    for i in range(n):
+        menu = "<div class='q'>" + "".join(f"<div class='r'><a href='/{k}'>Menu {k}</a></div>" for k in range(5)) + "</div>"
+        paragraphs = [f"Words {k} of page {i}, " + "more of them " * (i % 4 + 2) for k in range(i % 4 + 2)]
+        inner = f"<h1>Title {i}</h1>" + "".join(f"<div class='v'><p>{p}</p></div>" for p in paragraphs)
+        lines = [f"Title {i}", *(p.strip() for p in paragraphs)]
+        if i % 5 == 2:
+            inner += f"<div class='t'><blockquote>Said on {i}</blockquote></div><ul><li>x{i}<li>y{i}</ul>"
+            lines += [f"Said on {i}", f"x{i}", f"y{i}"]
+        side = f"<div class='z'><p>Our company sells hats.</p><p>Hat {i % 3}</p></div>" * (i % 2)
+        rows.append((i, f"https://u.example.com/{i}", f"<html><body class='page-{'abcdefg'[i % 7]}'><div class='w'>{menu}<div class='c'>{inner}<p>Read at your own risk.</p></div>{side}</div></body></html>"))
         want[i] = "\n".join(lines)
-    rows.append((30, "https://h.example.com/30", ""))
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
-    assert {r.page_id: r.text for r in H.extract(df).collect()} == want | {30: ""}
+    return rows, want
+
+
+@pytest.mark.parametrize("n", [9, 10, 200])
+def test_the_wrapper_finds_the_article_without_marks(spark, n):
+    """Menu, side column and a sentence that all pages share are left out, nothing else, in any number of parts."""
+    rows, want = unmarked(n)
+    for parts in (1, 50):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert {r.page_id: r.text for r in H.extract(df).collect()} == want
+
+
+def test_large_hosts_alike(spark, monkeypatch):
+    """A wrapper that forgets its order, and rules that are joined by salt, choose the same."""
+    rows, want = unmarked(40)
+    monkeypatch.setattr(H, "LARGE", 8)
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == want
+
+
+def test_near_copies_without_marks_keep_their_text(spark):
+    """What near copies share is no template."""
+    body = "<h1>A title</h1><p>A long paragraph of the article.</p><p>Another long paragraph of it.</p>"
+    got = run(spark, [(1, "http://n/1", f"<body>{body}</body>"), (2, "http://n/2", f"<body>{body}<p>One more.</p></body>")])
+    assert got[1] == "A title\nA long paragraph of the article.\nAnother long paragraph of it." and got[2] == got[1] + "\nOne more."
 
 
 @pytest.mark.parametrize("mark", ["class='sidebar'", "id=comments", "role=\"banner\"", "hidden", "aria-hidden='true'", "style='display: none'"])
@@ -80,7 +123,7 @@ def test_copies_of_one_page_keep_their_text(spark):
 
 
 def test_merging_gives_optional_repeated_and_slots():
-    a, b = (H.page_wrapper(t)[0] for t in ("<div><p>a</p><p>b</p><h2>same</h2></div>", "<div><p>c</p><h2>same</h2><ul><li>x</li><li>y</li></ul></div>"))
+    a, b = (H.page_wrapper(t) for t in ("<div><p>a</p><p>b</p><h2>same</h2></div>", "<div><p>c</p><h2>same</h2><ul><li>x</li><li>y</li></ul></div>"))
     flat = str(H.merged(a, b))
     assert "['<ul', True]" in flat and "'#'" in flat and [n for n, _ in H.merged(a, b)][0] == "<div"
     group = H.merged(a, b)[1]
@@ -89,9 +132,9 @@ def test_merging_gives_optional_repeated_and_slots():
 
 def test_large_wrappers_are_generalised(monkeypatch):
     monkeypatch.setattr(H, "LARGE", 10)
-    w = H.page_wrapper("<p>a</p><h1>b</h1><p>c</p><h2>d</h2>")[0]
+    w = H.page_wrapper("<p>a</p><h1>b</h1><p>c</p><h2>d</h2>")
     for k in range(6):
-        w = H.merged(w, H.page_wrapper("".join(f"<h{(i * k) % 5 + 1}>t</h{(i * k) % 5 + 1}>" for i in range(9)))[0])
+        w = H.merged(w, H.page_wrapper("".join(f"<h{(i * k) % 5 + 1}>t</h{(i * k) % 5 + 1}>" for i in range(9))))
     assert len(w) <= 10
 
 

@@ -1,11 +1,20 @@
 """Main text of web pages by union-free wrapper inference.
 
-The pages of a host are aligned one after the other: a page's stream of block
-tags and texts is merged into the host's wrapper, where repeats become repeated
-groups, parts that only some pages have become optional, and texts that differ
-become slots. The wrapper (a union-free regular expression) with the texts'
-extent in each place tells which places hold the article. Wrappers merge in any
-grouping, so tasks infer part wrappers that are merged by host.
+A page's stream of block tags and texts becomes a skeleton, in which neighbours
+that begin alike are a repeated group and texts are slots. The distinct skeletons
+of a host are aligned one after the other into the host's wrapper: what differs
+becomes optional or joins a repeated group. Counts of texts by place tell which
+texts never change.
+
+A page's ``article`` (else ``main``) element holds its article. On pages with
+neither, the wrapper chooses: the article stands in the innermost part that is no
+repeated group and holds most of the changing text; texts that never change and
+places of links are left out. Menus, notices and other parts that are marked as
+such by their tag, role, class or id are left out everywhere; these words are a
+fixed list.
+
+Skeletons are counted by Spark and merged in a tree whose groups follow from their
+content, so the result does not depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -13,13 +22,14 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,12 +55,14 @@ ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search aler
 #: Words in class or id, and beginnings of words, that mark what is not the article.
 ASIDE_WORDS = frozenset("ad ads nav menu side foot header masthead banner notice alert popup modal overlay signup login search pager widget toolbar copyright legal disclaimer disqus replies reply respond".split())
 ASIDE_STARTS = ("advert", "comment", "sidebar", "footer", "navig", "navbar", "breadcrumb", "cookie", "consent", "promo", "sponsor", "newsletter", "subscri", "social", "shar", "related", "recommend", "paginat")
-#: Pages from which on a text that never changes counts as part of the template,
-#: and the tenths of a host's pages that must have exactly this text in its place.
-TEMPLATE_PAGES, MOST_TENTHS = 10, 9
-#: Wrappers of more nodes than this are generalised; partial wrappers that a task holds at once.
-LARGE, HELD = 1500, 2000
-BROADCAST_BYTES = 4 << 20
+#: Elements of an article's text, which are no part of a layout.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th details summary address hgroup".split())
+#: A wrapper of more nodes than this forgets their order; no text or place is lost by it.
+LARGE = 1500
+#: Groups in which a host's skeletons meet before its wrapper is made of them.
+SALTS = 256
+#: Rows and rules that a task holds at once; hosts of a broadcast rule table in bytes; salts of the rows that meet a larger one.
+HELD, BROADCAST_BYTES, RULE_SALTS = 20_000, 4 << 20, 16
 #: Tags up to this length have their signature cached; all are read whole.
 KNOWN_CHARS = 400
 
@@ -65,13 +77,13 @@ def read_signature(tag_text: str) -> tuple[str, str]:
     words, aside = [], name in ASIDE_TAGS
     for m in ATTRIBUTE.finditer(tag_text[TAG.match(tag_text).end() :]):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id"):
+        if key in ("class", "id") and name not in ("html", "body"):  # those tell the page, not the layout
             words += [w for w in re.split(r"[^a-z]+", value) if w]
         elif key == "role":
             aside |= value in ASIDE_ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             aside = True
-    if name not in ("html", "body", "article", "main") or "comment" in words or "comments" in words:
+    if name not in ("article", "main") or "comment" in words or "comments" in words:
         aside |= any(w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) for w in words)
     return name, name + "".join("." + w for w in sorted(set(words))) + "!" * aside
 
@@ -142,33 +154,16 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
 
 
 # A wrapper is a list of [node, optional]. A node is a string, or a list (the wrapper of a
-# repeated group). Strings: "<sig" opens, ">" closes, "#" is a slot, "=n:k" a text with checksum n that
-# k pages had in this place, "~n:k" several texts that k pages had there alike.
+# repeated group). Strings: "<sig" opens, ">" closes, "#" is the slot of a text.
 
 
 def key(node) -> str:
-    """What alignment compares: all texts are alike, groups are alike if they begin alike."""
-    if isinstance(node, list):
-        return "+" + key(node[0][0])
-    return "#" if node[0] in "=~" else node
+    """What alignment compares: groups are alike if they begin alike."""
+    return "+" + key(node[0][0]) if isinstance(node, list) else node
 
 
-def checksum(path: str, text: str) -> int:
-    return zlib.crc32(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
-
-
-def merged_node(a, b, of: str):
-    """``of`` tells what the sides are: of two "pages", of one "page", or perhaps of the same pages ("any")."""
-    if isinstance(a, list):
-        return merged(a, b, of)
-    if a[0] in "#=~":
-        if a == "#" or b == "#":
-            return "#"
-        (x, m), (y, n) = a.split(":"), b.split(":")
-        if x == y:
-            return f"{x}:{int(m) + int(n) if of == 'pages' else max(int(m), int(n))}"
-        return f"~{zlib.crc32((x + y).encode())}:1" if of == "page" else "#"
-    return a
+def merged_node(a, b):
+    return merged(a, b) if isinstance(a, list) else a
 
 
 def grouped(nodes: list, units: set[str]) -> list:
@@ -196,71 +191,85 @@ def heads(nodes: list) -> set[str]:
     return {n[0][0] for n, _ in nodes if isinstance(n, list) and isinstance(n[0][0], str)}
 
 
-def merged(a: list, b: list, of: str = "pages") -> list:
+def merged(a: list, b: list) -> list:
     """The wrapper of both: aligned nodes stay, all others become optional."""
     if a == b:
-        return a if of != "pages" else [[merged_node(x, x, of), p] for x, p in a]
+        return a
     units = heads(a) | heads(b)
     if units:
         a, b = grouped(a, units), grouped(b, units)
     out = []
     for op, a1, a2, b1, b2 in SequenceMatcher(None, [key(n) for n, _ in a], [key(n) for n, _ in b], autojunk=False).get_opcodes():
         if op == "equal":
-            out += [[merged_node(x, y, of), p or q] for (x, p), (y, q) in zip(a[a1:a2], b[b1:b2])]
+            out += [[merged_node(x, y), p or q] for (x, p), (y, q) in zip(a[a1:a2], b[b1:b2])]
         else:
             out += [[n, True] for n, _ in a[a1:a2] + b[b1:b2]]
-    out = folded(out, "page" if of == "page" else "any")
+    out = folded(out)
     return generalised(out) if len(out) > LARGE else out
 
 
-def folded(nodes: list, of: str) -> list:
+def folded(nodes: list) -> list:
     """Neighbouring groups that begin alike become one."""
     out: list = []
     for node, optional in nodes:
         if out and isinstance(node, list) and isinstance(out[-1][0], list) and key(node) == key(out[-1][0]):
-            out[-1] = [merged(out[-1][0], node, of), out[-1][1] and optional]
+            out[-1] = [merged(out[-1][0], node), out[-1][1] and optional]
         else:
             out.append([node, optional])
     return out
 
 
+def elements(nodes: list) -> Iterator[list]:
+    """The balanced parts of a wrapper, one after the other; what was forgotten before falls apart again."""
+    own, depth = [], 0
+    for node, optional in nodes:
+        if not own and isinstance(node, list) and node[0][0] == "*":
+            yield from elements(node[1:])
+            continue
+        own.append([node, optional])
+        depth += 0 if isinstance(node, list) else (node[0] == "<") - (node == ">")
+        if depth <= 0:
+            yield own
+            own, depth = [], 0
+    if own:
+        yield own
+
+
 def generalised(nodes: list) -> list:
-    """A group of all distinct nodes, each optional, which any order of them matches."""
-    distinct: dict[str, object] = {}
-    for node, _ in nodes:
-        k = key(node)
-        distinct[k] = merged_node(distinct[k], node, "any") if k in distinct else node
-    return [[[[n, True] for n in distinct.values()], False]]
+    """A group (marked ``*``) of the distinct elements, each optional, which any order of them matches; what is nested stays nested."""
+    alike: dict[str, list[list]] = {}
+    for part in elements(nodes):
+        alike.setdefault(key(part[0][0]), []).append(part)
+    out = [["*", False]]
+    for k, parts in alike.items():
+        if k[0] == "<":
+            inner = [n for part in parts for n in part[1:-1]]
+            out += [[k, True], *(generalised(inner) if len(parts) > 1 or len(inner) > LARGE else inner), [">", True]]
+        else:
+            node = parts[0][0][0]
+            for part in parts[1:]:
+                node = merged_node(node, part[0][0])
+            out.append([node, True])
+    return [[out, False]]
 
 
-def page_wrapper(page: str) -> tuple[list, dict[str, list[int]]]:
-    """A page's own wrapper, and for each path of tags the texts' characters, those in links, and 1 page."""
+def skeleton(events: list[tuple[str, object]]) -> list:
+    """A page's own wrapper: neighbouring elements that begin alike are one group."""
     root: list = []
-    levels, path = [root], []
-    extent: dict[str, list[int]] = {}
-    for kind, what in stream(page):
+    levels = [root]
+    for kind, what in events:
         if kind == "text":
-            text, links = what
-            place = " ".join(path)
-            levels[-1].append([f"={checksum(place, text)}:1", False])
-            e = extent.setdefault(place, [0, 0, 1])
-            e[0] += len(text)
-            e[1] += links
+            levels[-1].append(["#", False])
         elif kind == "open":
-            path.append(what)
             levels.append([["<" + what, False]])
         else:
-            path.pop()
             own = levels.pop()
             own.append([">", False])
             above = levels[-1]
-            # repeated elements become one group at once; a single one stays as it is
             if above and isinstance(above[-1][0], list) and key(above[-1][0]) == "+" + own[0][0]:
-                last = above[-1][0]
-                above[-1] = [merged(last, own, "page"), False]
+                above[-1] = [merged(above[-1][0], own), False]
                 continue
-            start = len(above)
-            depth = 0
+            start, depth = len(above), 0
             while start > 0:  # does the element before this one begin alike?
                 n = above[start - 1][0]
                 if isinstance(n, list):
@@ -271,121 +280,172 @@ def page_wrapper(page: str) -> tuple[list, dict[str, list[int]]]:
                     break
             before = above[start:] if above and above[-1][0] == ">" else []
             if before and before[0][0] == own[0][0]:
-                above[start:] = [[merged(before, own, "page"), False]]
+                above[start:] = [[merged(before, own), False]]
             else:
                 above.extend(own)
-    return root, extent
+    return root
 
 
-def joined(a: tuple[list, dict, int], b: tuple[list, dict, int]) -> tuple[list, dict, int]:
-    extent = a[1]
-    for path, e in b[1].items():
-        own = extent.setdefault(path, [0, 0, 0])
-        for k in range(3):
-            own[k] += e[k]
-    return merged(a[0], b[0]), extent, a[2] + b[2]
+def page_wrapper(page: str) -> list:
+    return skeleton(list(stream(page)))
 
 
-def slots(nodes: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, str, bool]]:
-    """Path, kind and whether repeated, of every text place of a wrapper."""
+def repeated(nodes: list, path: tuple[str, ...] = ()) -> Iterator[str]:
+    """The paths of the elements that a wrapper repeats."""
     stack = list(path)
     for node, _ in nodes:
         if isinstance(node, list):
-            for p, kind, _ in slots(node, tuple(stack)):
-                yield p, kind, True
+            if isinstance(node[0][0], str) and node[0][0][0] == "<":
+                yield " ".join([*stack, node[0][0][1:]])
+            yield from repeated(node[1:] if node[0][0] == "*" else node, tuple(stack))
         elif node[0] == "<":
             stack.append(node[1:])
         elif node == ">":
-            if len(stack) > len(path):
-                stack.pop()
-        else:
-            yield " ".join(stack), node, False
+            stack.pop()
 
 
-def aside(path: str) -> bool:
-    """Outside the article by the signatures on the path; a header within an article is part of it."""
-    inside = False
-    for sig in path.split():
-        name = sig.rstrip("!").split(".")[0]
-        inside |= name in ("article", "main")
-        if sig[-1] == "!" or name == "header" and not inside:
-            return True
-    return False
+def tag(sig: str) -> str:
+    return sig.rstrip("!").split(".")[0]
 
 
-def under(path: str, name: str) -> bool:
-    return any(sig.rstrip("!").split(".")[0] == name for sig in path.split())
+def places(events: list[tuple[str, object]]) -> Iterator[tuple[str, str, str, int]]:
+    """``path, element, text, links`` of each text that no mark leaves out; the element is ``article``, ``main`` or empty.
 
+    A header within an article is part of it.
+    """
+    stack: list[tuple[str, bool, str]] = [("", False, "")]
+    for kind, what in events:
+        if kind == "text":
+            path, out, within = stack[-1]
+            if not out:
+                yield path, within, *what
+        elif kind == "open":
+            path, out, within = stack[-1]
+            name = tag(what)
+            out = out or what[-1] == "!" or name == "header" and not within
+            within = "article" if "article" in (name, within) else "main" if "main" in (name, within) else ""
+            stack.append((f"{path} {what}" if path else what, out, within))
+        else:
+            stack.pop()
 
-def rules(wrapper: list, extent: dict[str, list[int]], pages: int) -> dict:
-    """What extraction needs: ``root`` (texts stand under it), ``drop`` (paths of links), ``same`` (template texts)."""
-    inside = {p: e for p, e in extent.items() if not aside(p)}
-    root = next((t for t in ("article", "main") if sum(e[2] for p, e in inside.items() if under(p, t)) > 0), "")
-    inside = {p: e for p, e in inside.items() if not root or under(p, root)}
-    drop = sorted(p for p, e in inside.items() if not root and e[1] * 2 > e[0])
-    places = [(p, kind) for p, kind, _ in slots(wrapper) if p in inside]
-    # the checksum holds the path, so the wrapper's own path, which alignment can shift, is not asked
-    texts = (kind[1:].split(":") for _, kind, _ in slots(wrapper) if kind[0] == "=")
-    fixed = sorted({n for n, k in texts if int(k) * 10 >= pages * MOST_TENTHS})
-    changing = any(kind == "#" for _, kind in places)
-    return {"root": root, "drop": drop, "same": fixed if pages >= TEMPLATE_PAGES and changing else []}
 
+def text_key(path: str, text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
 
-def host(url: str = "url"):
-    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
+def rules(wrapper: list, chars: dict[str, int], links: dict[str, int], fixed: dict[str, tuple[str, int]], pages: int) -> dict:
+    """What extraction needs for pages without an element that holds the article.
+
+    ``chars`` and ``links`` count characters by place, ``fixed`` gives place and
+    characters of the texts that all these pages have. Gives ``root`` (the part that
+    holds the article), ``drop`` (places of links) and ``same`` (fixed texts).
+    """
+    drop = {p for p, n in links.items() if 2 * n > chars[p]}
+    weight = dict(chars)
+    for place, n in fixed.values():
+        weight[place] -= n * pages
+    if 2 * sum(n for p, n in weight.items() if p not in drop) < sum(n for p, n in chars.items() if p not in drop):
+        weight, fixed = dict(chars), {}  # one page, or copies of one: what they share is no template
+    under: dict[str, int] = defaultdict(int)
+    for place, n in weight.items():
+        steps = place.split() if place not in drop else []
+        for k in range(1, len(steps) + 1):
+            under[" ".join(steps[:k])] += n
+    groups, root, whole = set(repeated(wrapper)), "", sum(n for p, n in weight.items() if p not in drop)
+    while True:
+        inner = [p for p in under if p.rpartition(" ")[0] == root and tag(p.rpartition(" ")[2]) not in TEXT_TAGS and p not in groups and 2 * under[p] > whole]
+        if not inner:
+            return {"root": root, "drop": sorted(drop), "same": sorted(fixed)}
+        root = inner[0]
 
-PART = "host string, wrapper string, extent string, pages long"
 
+def host(url: str = "url"):
+    return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
-def merge_parts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for w, e, n in sorted(zip(frame["wrapper"], frame["extent"], frame["pages"])):
-        part = (json.loads(w), json.loads(e), int(n))
-        total = part if total is None else joined(total, part)
-    return pd.DataFrame([{"host": frame["host"].iloc[0], "wrapper": json.dumps(total[0]), "extent": json.dumps(total[1], sort_keys=True), "pages": total[2]}])
+
+FOUND = "host string, kind string, key string, place string, a long, b long, n long"
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper, extent, pages``: one wrapper for each host, from all its pages."""
+def observed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """Counts by host, of all its pages: ``w`` skeletons; and of pages without an element that holds the article:
+    ``p`` pages, ``e`` characters by place (``a``, of them ``b`` in links), ``t`` texts by place (``a`` characters each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, dict, int]] = {}
+        held: dict[tuple[str, str, str, str], list[int]] = {}
 
-        def out():
-            rows = [{"host": h, "wrapper": json.dumps(w), "extent": json.dumps(e), "pages": n} for h, (w, e, n) in held.items()]
+        def add(h: str, kind: str, key: str, place: str, a: int, b: int) -> None:
+            own = held.setdefault((h, kind, key, place), [0, 0, 0])
+            own[0] += a
+            own[1] += b
+            own[2] += 1
+
+        def out() -> pa.RecordBatch:
+            names, sums = list(zip(*held)) or [()] * 4, list(zip(*held.values())) or [()] * 3
+            columns = [pa.array(x, pa.string()) for x in names] + [pa.array(x, pa.int64()) for x in sums]
             held.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("extent", pa.string()), ("pages", pa.int64())]))
+            return pa.RecordBatch.from_arrays(columns, names=["host", "kind", "key", "place", "a", "b", "n"])
 
         for batch in batches:
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w, e = page_wrapper(page.as_py() or "")
-                held[h] = joined(held[h], (w, e, 1)) if h in held else (w, e, 1)
+                events = list(stream(page.as_py() or ""))
+                add(h, "w", json.dumps(skeleton(events)), "", 0, 0)
+                found = list(places(events))
+                if not any(within for _, within, _, _ in found):
+                    add(h, "p", "", "", 0, 0)
+                    for path, _, text, links in found:
+                        add(h, "e", "", path, len(text), links)
+                    for path, text in {(path, text) for path, _, text, _ in found}:
+                        add(h, "t", text_key(path, text), path, len(text), 0)
                 if len(held) > HELD:
                     yield out()
         yield out()
 
-    parts = pages.select(host(url_col).alias("host"), html_col).mapInArrow(run, PART)
-    # a host's parts meet in some groups first, then in one
-    some = parts.groupBy("host", F.pmod(F.xxhash64("wrapper", "extent"), F.lit(16)).alias("salt")).applyInPandas(merge_parts, PART)
-    return some.groupBy("host").applyInPandas(merge_parts, PART)
+    found = pages.select(host(url_col).alias("host"), html_col).mapInArrow(run, FOUND)
+    return found.groupBy("host", "kind", "key", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+
+
+def merge_skeletons(frame: pd.DataFrame) -> pd.DataFrame:
+    total = None
+    for text in sorted(frame["key"]):
+        total = json.loads(text) if total is None else merged(total, json.loads(text))
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "key": [json.dumps(total)]})
+
+
+def infer_wrappers(counts: DataFrame) -> DataFrame:
+    """``host, key``: one wrapper for each host, from its distinct skeletons; ``counts`` is what ``observed`` gives."""
+    own = counts.where("kind = 'w'").select("host", "key")
+    some = own.groupBy("host", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")).applyInPandas(merge_skeletons, "host string, key string")
+    return some.groupBy("host").applyInPandas(merge_skeletons, "host string, key string")
+
+
+def host_rules(counts: DataFrame) -> DataFrame:
+    """``host, rule`` for each host."""
+    bare = counts.where("kind = 'p'").select("host", F.col("n").alias("bare"))
+    # a text stands on all pages if it is counted as often as they are; the others need not be gathered
+    kept = counts.where("kind IN ('e', 't')").join(bare, "host").where("kind = 'e' OR n = bare").select("host", "kind", "key", "place", "a", "b", "bare")
+
+    def make(w: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        e, t = c[c["kind"] == "e"], c[c["kind"] == "t"]
+        chars, links = dict(zip(e["place"], e["a"].astype(int))), dict(zip(e["place"], e["b"].astype(int)))
+        pages = int(c["bare"].iloc[0]) if len(c) else 0
+        # a text's characters were added up over the pages that have it
+        fixed = {k: (p, int(n) // pages) for k, p, n in zip(t["key"], t["place"], t["a"])}
+        rule = rules(json.loads(w["key"].iloc[0]), chars, links, fixed, pages)
+        return pd.DataFrame({"host": [w["host"].iloc[0]], "rule": [json.dumps(rule)]})
+
+    return infer_wrappers(counts).groupBy("host").cogroup(kept.groupBy("host")).applyInPandas(make, "host string, rule string")
 
 
 def main_text(page: str, rule: dict) -> str:
     """The article's blocks, each with its white space made single, joined by line breaks."""
-    path: list[str] = []
-    blocks, same, drop, root = [], frozenset(rule["same"]), frozenset(rule["drop"]), rule["root"]
-    for kind, what in stream(page):
-        if kind == "open":
-            path.append(what)
-        elif kind == "close":
-            path.pop()
-        else:
-            p = " ".join(path)
-            if not aside(p) and p not in drop and (not root or under(p, root)):
-                if not same or str(checksum(p, what[0])) not in same:
-                    blocks.append(what[0])
-    return "\n".join(blocks)
+    found = list(places(stream(page)))
+    for element in ("article", "main"):
+        if any(within == element for _, within, _, _ in found):
+            return "\n".join(text for _, within, text, _ in found if within == element)
+    root, drop, same = rule["root"], frozenset(rule["drop"]), frozenset(rule["same"])
+    if any(f"{path} ".startswith(root + " ") for path, _, _, _ in found):  # else this page is laid out in another way
+        found = [f for f in found if not root or f"{f[0]} ".startswith(root + " ")]
+    return "\n".join(text for path, _, text, _ in found if path not in drop and (not same or text_key(path, text) not in same))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -393,19 +453,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null or empty page has an empty text. Pages without a host (null or odd
     addresses) share one wrapper. Repeated rows are all returned; other columns are
-    ignored. Character references are decoded once.
+    ignored. Character references are decoded once. Everything in an article (or
+    main) element that no mark leaves out is kept, however often it stands elsewhere.
     """
 
-    def to_rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [json.dumps(rules(json.loads(w), json.loads(e), int(n))) for w, e, n in zip(f["wrapper"], f["extent"], f["pages"])]
-            yield pd.DataFrame({"host": f["host"], "rule": made})
-
-
-    by_host = written(infer_wrappers(pages, url_col, html_col).mapInPandas(to_rules, "host string, rule string"), "wrapper-rules")
+    counts = written(observed(pages, url_col, html_col), "page-counts")
+    by_host = written(host_rules(counts), "wrapper-rules")
     size = by_host.agg(F.sum(F.length("rule") + F.length("host"))).first()[0] or 0
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    ruled = rows.join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "host").select(id_col, url_col, "html", "rule")
+    if size <= BROADCAST_BYTES:
+        ruled = rows.join(F.broadcast(by_host), "host")
+    else:  # a hot host's pages are dealt to several tasks
+        salt = F.pmod(F.xxhash64("html"), F.lit(RULE_SALTS)).alias("salt")
+        ruled = rows.select("*", salt).join(by_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)).cast("array<long>")).alias("salt")), ["host", "salt"])
+    ruled = ruled.select(id_col, url_col, "html", "rule")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, dict] = {}
