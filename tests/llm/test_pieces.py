@@ -51,25 +51,73 @@ def test_unigram_fold_finds_the_best_path(spark):
     df = spark.createDataFrame([(w,) for w in words], "unit string")
     score = {i: s for i, s in enumerate(model.scores)}
     floor = min(s for s, ok in zip(model.scores, model.plain) if ok) - 10
-    rank = {p: (s, i) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok}
     for r in P.encode_units(df, model).collect():
         total = lambda ids: sum(floor if i == 0 else score[i] for i in ids)
         assert total(r.ids) == pytest.approx(best(r.unit, model))
-        assert total(P.viterbi(r.unit, rank, model, 3)) == pytest.approx(best(r.unit, model))
 
 
-def test_fold_and_heap_agree(spark):
+def merged(unit, rank, model):
+    """The merges one by one: best score first, then leftmost."""
+    parts = list(unit)
+    while joins := [(-rank[a + b][0], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]:
+        k = min(joins)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return [i for p in parts for i in ([rank[p][1]] if p in rank else [model.first_byte + b for b in p.encode()])]
+
+
+@pytest.mark.parametrize("longest", [20, 400])
+def test_fold_is_merging_one_by_one(spark, longest):
+    """Long units too: their cuts are kept in several longs."""
     model, rng = P.load(P.default_path()), random.Random(2)
     rank = {p: (s, i) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok}
-    words = sorted({"▁" + "".join(rng.choice("eatinosr") for _ in range(rng.randrange(1, 20))) for _ in range(60)})
+    words = sorted({"▁" + "".join(rng.choice("eatinosr") for _ in range(rng.randrange(1, longest))) for _ in range(60)})
+    words += ["▁" * n + "a" for n in (1, 2, 15, 16, 17, 59, 60, 61, 62, 63, 92, 93, 94, 200)] + ["a" * n for n in (60, 61, 62, 1000)] + ["日本語テ" * 40]
     got = {r.unit: r.ids for r in P.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), model).collect()}
-    assert got == {w: P.heap_merge(w, rank, model) for w in words}
+    assert got == {w: merged(w, rank, model) for w in words}
+
+
+def test_merges_out_of_order(spark):
+    """Where a piece scores above what it arises from, one pass over the edges isn't enough."""
+    pieces = ["<unk>", "a", "b", "c", "d", "bc", "abc", "cd", "da"]
+    model = P.Model(tuple(pieces), (0.0, 0.0, 0.0, 0.0, 0.0, -5.0, -1.0, -2.0, -3.0), (False, *[True] * 8), -1, 0, "bpe")
+    assert P.late(model) == {"abc"} and all(set(p) == {"▁"} for p in P.late(P.load(P.default_path())))
+    rank = {p: (s, i) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok}
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 100))) for _ in range(80)})
+    got = {r.unit: r.ids for r in P.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), model).collect()}
+    assert got == {w: merged(w, rank, model) for w in words}
+
+
+def words_of(text):
+    out, start = [], 0
+    text = "▁" + text.replace(" ", "▁")
+    for k in range(1, len(text)):
+        if text[k] == "▁" and text[k - 1] != "▁":
+            out.append(text[start:k])
+            start = k
+    return [*out, text[start:]]
 
 
 def test_words_and_cuts():
-    place, unique, starts = P.split(pa.array(["a b", None, "", "a  b ", "b"]))
-    assert [[unique[i] for i in place[x:y]] for x, y in zip(starts, starts[1:])] == [["▁a", "▁b"], [], [], ["▁a", "▁▁b", "▁"], ["▁b"]]
-    assert P.cut("ab,c", frozenset({"ab"})) == ["ab", ",", "c"]
+    texts = [*TEXTS, "a b", None, "", "a  b ", "b", "  end  "]
+    place, words, starts = P.words_in(pa.array(texts))
+    own = [[words[int(i)].as_py() for i in place[x:y]] for x, y in zip(starts, starts[1:])]
+    assert own == [words_of(t) if t else [] for t in texts]
+    model = P.load(P.default_path())
+    near = {p[k : k + 2] for p, ok in zip(model.pieces, model.plain) if ok for k in range(len(p) - 1)}
+    place, units, starts = P.cut(words, P.Joints(model))
+    for w, x, y in zip(words.to_pylist(), starts, starts[1:]):
+        found = [units[int(i)].as_py() for i in place[x:y]]
+        assert "".join(found) == w and all(a[-1] + b[0] not in near for a, b in zip(found, found[1:]))
+        assert all(u[k : k + 2] in near for u in found for k in range(len(u) - 1))
+
+
+def test_units_of_one_hash_go_by_text(monkeypatch):
+    units = pa.array(["d", "b", "", "c", "a"], pa.large_string())
+    monkeypatch.setattr(P, "unit_hash", lambda u: P.np.array([5 if x in "bc" and x else 9 for x in u.to_pylist()], P.np.uint64))
+    for shuffled in (units, units.take(pa.array([4, 3, 2, 1, 0]))):
+        order, part = P.dealt(shuffled, 3)
+        assert [shuffled[int(k)].as_py() for k in order] == ["b", "c", "", "a", "d"] and set(part) == {0}
 
 
 def test_empty_table(spark):

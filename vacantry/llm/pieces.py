@@ -7,16 +7,15 @@ substrings up to the longest piece are exploded and equi-joined to the piece
 table, the joined edges are grouped by unit, and a fold over them gives the
 pieces. For a unigram model the fold is Viterbi's. A byte-pair model (the public
 one here) orders merges by score instead of summing scores, so there the fold
-joins the best two neighbours again and again; Viterbi would give other pieces.
+takes the edges by score and joins those whose two halves stand; Viterbi would
+give other pieces.
 
 Documents are dealt into buckets, and a bucket asks for each of its units once.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,18 +24,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import signed, table
-from .packing import pack, packed, split_by, unpack
+from .common import table
+from .packing import pack, packed, packed_by, split_by, unpack
 
 SPACE = "▁"
-BUCKET_BYTES = 8 << 20
-#: Units of more characters (no space, all neighbours known to the pieces) are merged by a heap instead of the fold.
-LONGEST_UNIT = 128
+#: Bytes of text in a bucket, whose texts one task reads at once, and in a part, whose distinct units are asked for at once.
+BUCKET_BYTES, PART_BYTES = 8 << 20, 64 << 20
+#: Words whose ids a task assembles at once.
+SLICE_WORDS = 1 << 17
+#: A unit's cuts are bits of one long up to SHORT characters, and of several longs of BLOCK bits beyond.
+SHORT, BLOCK = 61, 31
 
 
 @dataclass(frozen=True)
@@ -72,73 +73,111 @@ def load(path: str) -> Model:
     return Model(tuple(map(sp.id_to_piece, ids)), scores, plain, first, sp.unk_id(), kind)
 
 
-def neighbours(model: Model) -> frozenset[str]:
-    """All two characters that some piece has side by side."""
-    return frozenset(p[k : k + 2] for p, ok in zip(model.pieces, model.plain) if ok for k in range(len(p) - 1))
+class Joints:
+    """Which two characters some piece has side by side."""
 
+    def __init__(self, model: Model):
+        pairs = sorted({p[k : k + 2] for p, ok in zip(model.pieces, model.plain) if ok for k in range(len(p) - 1)})
+        chars = sorted({c for p in pairs for c in p})
+        self.code = np.zeros(ord(chars[-1]) + 2 if chars else 1, np.uint16 if len(chars) < 65535 else np.int32)  # 0 and the last: in no pair
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.met = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in pairs:
+            self.met[self.code[ord(a)], self.code[ord(b)]] = True
 
-def words_of(text: str) -> list[str]:
-    """The words of a text: each is its spaces (as ``SPACE``) and what follows them."""
-    out, start = [], 0
-    text = SPACE + text.replace(" ", SPACE)
-    for k in range(1, len(text)):
-        if text[k] == SPACE and text[k - 1] != SPACE:
-            out.append(text[start:k])
-            start = k
-    return [*out, text[start:]]
 
+def strings(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large string array, and where each string begins in them (and the last ends)."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def cut(word: str, near: frozenset[str]) -> list[str]:
-    """The units of a word: no piece has the characters at a cut side by side."""
-    out, start = [], 0
-    for k in range(1, len(word)):
-        if word[k - 1 : k + 1] not in near:
-            out.append(word[start:k])
-            start = k
-    return [*out, word[start:]]
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``place, words, starts``: the texts' words as indexes into the distinct words, and where each text begins.
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """``place, unique, starts``: the texts' words as indexes into the unique words; an empty text has none."""
+    A word is its spaces (as ``SPACE``, one more before the text) and what follows
+    them; an empty text has none.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    runs = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")).to_numpy(zero_copy_only=False)
-    runs |= pc.or_(pc.ends_with(texts, " "), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
+    if pc.any(pc.match_substring(texts, SPACE)).as_py():
+        texts = pc.replace_substring(texts, SPACE, " ")
     lists = pc.split_pattern(texts, " ")
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    place, unique = coded.indices.to_numpy().astype(np.int64), [SPACE + w for w in coded.dictionary.to_pylist()]
-    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    if not (runs | empty).any():
-        return place, unique, np.concatenate([[0], np.cumsum(sizes)])
-    known = {w: i for i, w in enumerate(unique)}
-    parts, counts, at = [], [], 0
-    for k, n in enumerate(sizes):
-        own = place[at : at + n]
-        at += n
-        if empty[k]:
-            own = own[:0]
-        elif runs[k]:  # words with several spaces, one by one
-            own = np.array([known.setdefault(w, len(known)) for w in words_of(texts[k].as_py())], np.int64)
-        parts.append(own)
-        counts.append(len(own))
-    return np.concatenate(parts) if parts else place, list(known), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-
-def part_of(units: list[str], parts: int) -> np.ndarray:
-    """Which part of the units each belongs to, by hash; ``part_column`` is the same in Spark."""
-    hashes = np.fromiter((signed(xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42)) for u in units), np.int64, len(units))
-    return hashes % parts
-
-
-def part_column(unit: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int")
-
-
-def units_in(batch: pa.Table, near: frozenset[str], parts: int) -> pa.Table:
-    """The distinct units of a bucket that Spark encodes, packed by part."""
-    _, unique, _ = split(unpack(batch["blob"])["text"].combine_chunks())
-    units = sorted({u for w in unique for u in cut(w, near) if len(u) <= LONGEST_UNIT})
-    found = list(split_by(pa.table({"unit": pa.array(units, pa.string())}), part_of(units, parts)))
+    starts, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+    starts -= starts[0]
+    coded = flat.dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+    empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if not empty.any():
+        return place, words, starts
+    # an empty token is one more space for the token behind it; at the end of a text it is a word of spaces
+    first, last = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    first[starts[:-1]] = last[starts[1:] - 1] = True
+    ends = (~empty | last) & ~(empty & first & last)
+    at = np.arange(len(flat))
+    back = np.concatenate([[0], np.maximum.accumulate(np.where(~empty | first, at, 0))[:-1]])
+    more = np.where(first, 0, at - back - ~empty[back])[ends]
+    own = place[ends]
+    many = np.flatnonzero(more)
+    if len(many):
+        kinds, which = np.unique(np.stack([own[many], more[many]]), axis=1, return_inverse=True)
+        spaced = [SPACE * n + words[k].as_py() for k, n in kinds.T.tolist()]
+        own[many] = len(words) + which.ravel()
+        words = pa.concat_arrays([words, pa.array(spaced, pa.large_string())])
+    return own, words, np.concatenate([[0], np.cumsum(ends)])[starts]
+
+
+def cut(words: pa.Array, joints: Joints) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``place, units, starts``: the words' units as indexes into the distinct units, and where each word begins.
+
+    A word is cut between two characters that no piece has side by side.
+    """
+    raw, offsets = strings(words)
+    lead = (raw & 0xC0) != 0x80
+    chars = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = joints.code[np.minimum(chars, len(joints.code) - 1)]
+    begins = np.ones(len(chars), bool)
+    begins[1:] = ~joints.met[codes[:-1], codes[1:]]
+    word_begins = np.concatenate([[0], np.cumsum(lead)])[offsets]
+    begins[word_begins[:-1]] = True
+    ends = np.append(np.flatnonzero(lead)[begins], len(raw)).astype(np.int64)
+    coded = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw)).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, np.concatenate([[0], np.cumsum(begins)])[word_begins]
+
+
+def unit_hash(units: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string of a large string array."""
+    raw, offsets = strings(units)
+    if len(units) == 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        within = (np.arange(len(raw)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.uint64)
+        x = (raw.astype(np.uint64) + within * np.uint64(257) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h = np.add.reduceat(x ^ (x >> np.uint64(29)), offsets[:-1])
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def dealt(units: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``order, part``: distinct units by part and hash, which a bucket finds again from its texts, and their parts."""
+    h = unit_hash(units)
+    part = (h >> np.uint64(33)).astype(np.int64) % parts
+    order = np.lexsort((h, part))
+    if (h[order][1:] == h[order][:-1]).any():  # units of one hash go by their text
+        by_text = pc.sort_indices(units).to_numpy().astype(np.int64)
+        order = by_text[np.lexsort((h[by_text], part[by_text]))]
+    return order, part[order]
+
+
+def units_in(batch: pa.Table, joints: Joints, parts: int) -> pa.Table:
+    """The distinct units of a bucket, packed by part."""
+    _, words, _ = words_in(unpack(batch["blob"])["text"].combine_chunks())
+    _, units, _ = cut(words, joints)
+    order, part = dealt(units, parts)
+    found = list(split_by(pa.table({"unit": units.take(pa.array(order))}), part))
     return pa.table({
         "part": pa.array([k for k, _ in found], pa.int32()), "bucket": pa.array([batch["bucket"][0].as_py()] * len(found), pa.int32()),
         "blob": pa.array([pack(t) for _, t in found], pa.binary()),
@@ -147,76 +186,47 @@ def units_in(batch: pa.Table, near: frozenset[str], parts: int) -> pa.Table:
 
 def distinct_units(batch: pa.Table) -> pa.Table:
     """The distinct units of a part."""
-    return pa.table({"unit": pc.unique(unpack(batch["blob"])["unit"].combine_chunks())})
+    return pa.table({"unit": pc.unique(unpack(batch["blob"])["unit"].combine_chunks()).cast(pa.string())})
 
 
-def answers_to(asked: pa.Table, coded: pa.Table) -> pa.Table:
-    """For each bucket that asked this part: its units with their ids, packed."""
+def answers_to(asked: pa.Table, coded: pa.Table, kind: pa.DataType) -> pa.Table:
+    """For each bucket that asked this part: the ids of its units in the order asked, packed."""
+    empty = pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
     if asked.num_rows == 0:
-        return pa.table({"bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
+        return empty
     known = unpack(coded["blob"])
-    blobs = []
-    for blob in asked["blob"]:
-        units = pa.ipc.open_stream(blob.as_buffer()).read_all()["unit"].combine_chunks()
-        blobs.append(pack(known.take(pc.index_in(units, value_set=known["unit"].combine_chunks()))))
-    return pa.table({"bucket": asked["bucket"], "blob": pa.array(blobs, pa.binary())})
-
-
-def byte_ids(model: Model, char: str) -> list[int]:
-    if model.first_byte < 0:
-        return [model.unknown]
-    return [model.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
-
-
-def heap_merge(unit: str, rank: dict[str, tuple[float, int]], model: Model) -> list[int]:
-    """The pieces of a long unit of a byte-pair model: best merge first, leftmost among equals."""
-    n = len(unit)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive, heap = [True] * n, []
-
-    def offer(a: int) -> None:
-        b = after[a] if a >= 0 else n
-        if a >= 0 and b < n and (s := rank.get(unit[a : end[b]])) is not None:
-            heapq.heappush(heap, (-s[0], a, end[a], end[b]))
-
-    for a in range(n - 1):
-        offer(a)
-    while heap:
-        _, a, middle, stop = heapq.heappop(heap)
-        if not alive[a] or end[a] != middle or after[a] >= n or end[after[a]] != stop:
-            continue
-        b = after[a]
-        alive[b], end[a], after[a] = False, stop, after[b]
-        if after[b] < n:
-            before[after[b]] = a
-        offer(before[a])
-        offer(a)
-    out: list[int] = []
-    a = 0
-    while a < n:
-        piece = unit[a : end[a]]
-        out += [rank[piece][1]] if piece in rank else byte_ids(model, piece)
-        a = end[a]
-    return out
-
-
-def viterbi(unit: str, rank: dict[str, tuple[float, int]], model: Model, longest: int) -> list[int]:
-    """The pieces of a long unit of a unigram model."""
-    floor = min(s for s, _ in rank.values()) - 10
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for e in range(1, len(unit) + 1):
-        choices = [(best[s][0] + rank[unit[s:e]][0], -s) for s in range(max(0, e - longest), e) if unit[s:e] in rank]
-        if unit[e - 1] not in rank:
-            choices.append((best[e - 1][0] + floor, 1 - e))
-        score, back = max(choices)
-        best.append((score, -back))
-    out, e = [], len(unit)
-    while e:
-        s = best[e][1]
-        piece = unit[s:e]
-        out.append([rank[piece][1]] if piece in rank else byte_ids(model, piece))
-        e = s
-    return [i for part in reversed(out) for i in part]
+    lists = known["ids"].combine_chunks().cast(pa.list_(kind))
+    wanted = [pa.ipc.open_stream(b.as_buffer()).read_all()["unit"].combine_chunks() for b in asked["blob"]]
+    place = pc.index_in(pa.concat_arrays(wanted), value_set=known["unit"].combine_chunks().cast(pa.large_string()))
+    blobs, at = [], 0
+    for own in wanted:
+        blobs.append(pack(pa.table({"ids": lists.take(place.slice(at, len(own)))})))
+        at += len(own)
+    return pa.table({"bucket": asked["bucket"], "part": asked["part"], "blob": pa.array(blobs, pa.binary())})
+
+
+@lru_cache(maxsize=4)
+def late(model: Model) -> frozenset[str]:
+    """Pieces that do not score below all merges from which they arise.
+
+    While nothing merges across its borders, a piece arises in a text as it does
+    alone. So if a unit has no late piece, a merge never brings up another one that
+    should have come before it, and one pass over the edges by score makes all merges.
+    """
+    rank = {p: s for p, s, ok in zip(model.pieces, model.scores, model.plain) if ok}
+    found = set()
+    for piece in rank:
+        parts, least = list(piece), math.inf
+        while len(parts) > 1:
+            joins = [(-rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
+            if not joins:
+                break
+            cost, k = min(joins)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 1 and -cost >= least:
+                found.add(piece)
+            least = min(least, -cost)
+    return frozenset(found)
 
 
 def bound(value: Column, body) -> Column:
@@ -224,87 +234,125 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def merge_fold(n: Column, edges: Column) -> Column:
-    """The cuts that are left when no two neighbours make a piece; best score first, then leftmost.
+class Cuts:
+    """The cuts of a unit that still stand, as bits: of one long, or of an array of longs with BLOCK bits each."""
 
-    A merge takes away the cut between its two pieces, and with it all edges that
-    begin or end there, so the edges to look at become fewer with every step.
-    """
+    def __init__(self, n: Column, short: bool):
+        self.short = short
+        full = F.lit((1 << BLOCK) - 1).cast("long")
+        self.start = F.expr("shiftleft(1L, n + 1) - 1") if short else F.transform(F.sequence(F.lit(0), F.floor(n / BLOCK) + 1), lambda _: full)
+
+    def near(self, m: Column, e: Column) -> Column:
+        if self.short:
+            return m
+        low, high = F.element_at(m, e["block"] + 1), F.element_at(m, e["block"] + 2)
+        return low.bitwiseOR(F.shiftleft(high, BLOCK))
+
+    def ends(self, m: Column, e: Column) -> Column:
+        return self.near(m, e).bitwiseAND(e["ends"]) == e["ends"]
+
+    def joins(self, m: Column, e: Column) -> Column:
+        """Its ends stand and one cut between them."""
+        return (F.bit_count(self.near(m, e).bitwiseAND(e["inner"])) == 1) & self.ends(m, e)
+
+    def stands(self, m: Column, e: Column) -> Column:
+        """Its ends stand and nothing between them."""
+        return (self.near(m, e).bitwiseAND(e["inner"]) == 0) & self.ends(m, e)
+
+    def merged(self, m: Column, e: Column) -> Column:
+        if self.short:
+            return m.bitwiseAND(F.bitwise_not(e["inner"]))
+        low, high = F.bitwise_not(e["inner"]), F.bitwise_not(F.shiftright(e["inner"], BLOCK))
+        return F.transform(m, lambda x, k: F.when(k == e["block"], x.bitwiseAND(low)).when(k == e["block"] + 1, x.bitwiseAND(high)).otherwise(x))
 
-    def state(cuts: Column, live: Column) -> Column:
-        return F.struct(cuts.alias("cuts"), live.alias("live"))
 
-    def step(st: Column, _: Column) -> Column:
-        cuts, live = st["cuts"], st["live"]
-        joins = F.filter(live, lambda e: (F.array_position(cuts, e["e"]) == F.array_position(cuts, e["s"]) + 2) & (F.array_position(cuts, e["s"]) > 0))
-        best = F.array_min(F.transform(joins, lambda e: F.struct((-e["score"]).alias("cost"), e["s"].alias("s"))))
+def merge_fold(n: Column, edges: Column, ordered: bool, short: bool) -> Column:
+    """The edges that are left when no two neighbours make a piece.
 
-        def merged(b: Column) -> Column:
-            gone = F.element_at(cuts, (F.array_position(cuts, b["s"]) + 1).cast("int"))
-            return F.when(b.isNull(), state(cuts, F.slice(live, 1, 0))).otherwise(
-                bound(gone, lambda c: state(F.array_remove(cuts, c), F.filter(live, lambda e: (e["s"] != c) & (e["e"] != c))))
-            )
+    ``edges`` come by score, then from the left. Without late pieces (``ordered``) one
+    pass makes all merges; otherwise each step makes the first that can be made.
+    """
+    cuts = Cuts(n, short)
+    if ordered:
+        last = F.aggregate(edges, cuts.start, lambda m, e: F.when(cuts.joins(m, e), cuts.merged(m, e)).otherwise(m))
+    else:
 
-        return bound(best, merged)
+        def step(m: Column, _: Column) -> Column:
+            first = F.try_element_at(F.filter(edges, lambda e: cuts.joins(m, e)), F.lit(1))
+            return bound(first, lambda e: F.when(e.isNull(), m).otherwise(cuts.merged(m, e)))
 
-    steps = F.when(F.size(edges) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), F.greatest(n, F.lit(2))))
-    return F.aggregate(steps, state(F.sequence(F.lit(0), n), edges), step)["cuts"]
+        last = F.aggregate(F.sequence(F.lit(1), n), cuts.start, step)
+    return bound(last, lambda m: F.filter(edges, lambda e: cuts.stands(m, e)))
 
 
 def viterbi_fold(n: Column, edges: Column, floor: float) -> Column:
-    """The cuts of the path of best score sum; a character without a piece costs ``floor``."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("cuts")))
+    """The edges of the path of best score sum; a character without a piece costs ``floor``."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
 
     def step(best: Column, e: Column) -> Column:
         into = F.filter(edges, lambda x: x["e"] == e)
-        ways = F.transform(into, lambda x: F.struct((F.element_at(best, x["s"] + 1)["score"] + x["score"]).alias("score"), (-x["s"]).alias("s")))
+        ways = F.transform(into, lambda x: F.struct((F.element_at(best, x["s"] + 1)["score"] - x["cost"]).alias("score"), (-x["s"]).alias("s")))
         alone = F.array(F.struct((F.element_at(best, e)["score"] + F.lit(floor)).alias("score"), (1 - e).alias("s")))
-        ways = F.when(F.exists(into, lambda x: x["s"] == e - 1), ways).otherwise(F.concat(ways, alone))
-        return F.concat(best, bound(F.array_max(ways), lambda w: F.array(F.struct(w["score"].alias("score"), F.concat(F.element_at(best, 1 - w["s"])["cuts"], F.array(e)).alias("cuts")))))
-
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["cuts"]
+        return F.concat(best, F.array(F.array_max(F.when(F.exists(into, lambda x: x["s"] == e - 1), ways).otherwise(F.concat(ways, alone)))))
+
+    def back(cuts: Column, e: Column, best: Column) -> Column:
+        return F.when(F.element_at(cuts, -1) == e, F.concat(cuts, F.array(-F.element_at(best, e + 1)["s"]))).otherwise(cuts)
+
+    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
+    cuts = bound(best, lambda b: F.aggregate(F.reverse(F.sequence(F.lit(1), n)), F.array(n), lambda c, e: back(c, e, b)))
+    steps = bound(cuts, lambda c: F.zip_with(F.slice(c, 2, n), F.slice(c, 1, F.size(c) - 1), lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
+    return bound(steps, lambda p: F.filter(edges, lambda x: F.array_contains(p, F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+
+def lattice(units: DataFrame, model: Model) -> DataFrame:
+    """``unit, n, late, edges``: each unit's substrings that are pieces, by score, then from the left; ``late`` if one is late."""
+    behind = late(model) if model.kind == "bpe" else frozenset()
+    rows = [(p, i, -float(s), p in behind) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok]
+    longest = max(len(r[0]) for r in rows)
+    if longest > BLOCK:
+        raise ValueError(f"pieces of more than {BLOCK} characters")
+    table_ = units.sparkSession.createDataFrame(pa.table({k: list(v) for k, v in zip(("piece", "id", "cost", "late"), zip(*rows))}))
+    # a long unit is read in blocks, so that its substrings are not sought from its beginning
+    whole = "array(named_struct('block', 0, 'text', unit))"
+    blocks = f"transform(sequence(0, (n - 1) div {BLOCK}), k -> named_struct('block', int(k), 'text', substring(unit, int(k) * {BLOCK} + 1, {BLOCK + longest - 1})))"
+    read = units.selectExpr("unit", "length(unit) AS n").selectExpr("unit", "n", f"explode(IF(n <= {SHORT}, {whole}, {blocks})) AS x")
+    read = read.selectExpr("unit", "n", "x.block", "x.text", f"explode(sequence(0, least(length(x.text), IF(n <= {SHORT}, {SHORT}, {BLOCK})) - 1)) AS a")
+    read = read.selectExpr("unit", "n", "block", "text", "a", f"explode(sequence(a + 1, least(length(text), a + {longest}))) AS z")
+    read = read.selectExpr("unit", "n", "block", "a", "z", "substring(text, a + 1, z - a) AS piece")
+    # the piece table has as many rows as the model's vocabulary; the join is outer and each unit's first character
+    # stays, so that units of unknown characters stay
+    met = read.join(F.broadcast(table_), "piece", "left").where("id IS NOT NULL OR block = 0 AND a = 0 AND z = 1")
+    edge = f"""IF(id IS NULL, NULL, named_struct('cost', cost, 's', block * {BLOCK} + a, 'e', block * {BLOCK} + z, 'id', int(id), 'block', block,
+               'ends', shiftleft(1L, a) | shiftleft(1L, z), 'inner', shiftleft(shiftleft(1L, z - a - 1) - 1, a + 1)))"""
+    return met.groupBy("unit", "n").agg(F.coalesce(F.bool_or("late"), F.lit(False)).alias("late"), F.sort_array(F.collect_list(F.expr(edge))).alias("edges"))
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """``unit, ids`` for each distinct unit by the lattice."""
-    rows = [(p, i, float(s)) for i, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok]
-    table_ = units.sparkSession.createDataFrame(pa.table({k: list(v) for k, v in zip(("piece", "id", "score"), zip(*rows))}))
-    longest = max(len(p) for p, _, _ in rows)
-    n = F.length("unit")
-    span = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda s: F.transform(F.sequence(s + 1, F.least(n, s + longest)), lambda e: F.struct(s.alias("s"), e.alias("e"))),
-            )
-        )
-    ).alias("x")
-    lattice = units.select("unit", span).select("unit", "x.s", "x.e", F.expr("substring(unit, x.s + 1, x.e - x.s)").alias("piece"))
-    # the piece table has as many rows as the model's vocabulary; the join is outer and each unit's first character
-    # stays, so that units of unknown characters stay
-    met = lattice.join(F.broadcast(table_), "piece", "left").where("id IS NOT NULL OR s = 0 AND e = 1")
-    edges = met.groupBy("unit").agg(
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("s", "e", "score", F.col("id").cast("int").alias("id")))).alias("edges")
-    )
-    edges = edges.withColumn("n", F.length("unit"))
+    n, edges = F.col("n"), F.col("edges")
     if model.kind == "bpe":
-        edges = edges.withColumn("longer", F.filter("edges", lambda e: e["e"] - e["s"] > 1))
-        cuts = merge_fold(F.col("n"), F.col("longer"))
+        by_length = lambda ordered: F.when(n <= SHORT, merge_fold(n, edges, ordered, True)).otherwise(merge_fold(n, edges, ordered, False))
+        chosen = F.when(~F.col("late"), by_length(True)).otherwise(by_length(False))
     else:
-        cuts = viterbi_fold(F.col("n"), F.col("edges"), min(s for _, _, s in rows) - 10)
-    edges = edges.withColumn("cuts", cuts)
-    known = lambda s, e: F.try_element_at(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(1))["id"]
-    def ids_of(i: Column) -> Column:
-        s, e = F.element_at("cuts", i), F.element_at("cuts", i + 1)
-        char = F.substring(F.col("unit"), s + 1, e - s)
-        if model.first_byte >= 0:
-            raw = F.hex(F.encode(char, "utf-8"))
-            spelled = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda k: F.conv(F.substring(raw, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
-        else:
-            spelled = F.array(F.lit(model.unknown))
-        return bound(known(s, e), lambda i: F.when(i.isNull(), spelled).otherwise(F.array(i)))
-
-    return edges.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids_of)).alias("ids"))
+        chosen = viterbi_fold(n, edges, min(s for s, ok in zip(model.scores, model.plain) if ok) - 10)
+
+    def spelled(k: Column) -> Column:
+        """The ids of a character that no piece stands for."""
+        if model.first_byte < 0:
+            return F.array(F.lit(model.unknown))
+        raw = F.hex(F.encode(F.substring(F.col("unit"), k + 1, F.lit(1)), "utf-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda j: F.conv(F.substring(raw, j, F.lit(2)), 16, 10).cast("int") + model.first_byte)
+
+    def ids_of(kept: Column) -> Column:
+        covered = F.aggregate(kept, F.lit(0), lambda a, x: a + x["e"] - x["s"]) == n
+        plain = F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["s"], x["id"]))), lambda x: x["id"])
+        other = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ~F.exists(kept, lambda x: (x["s"] <= k) & (k < x["e"])))
+        each = F.concat(
+            F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids"))), F.transform(other, lambda k: F.struct(k.alias("s"), spelled(k).alias("ids")))
+        )
+        return F.when(covered, plain).otherwise(F.flatten(F.transform(F.sort_array(each), lambda x: x["ids"])))
+
+    return lattice(units, model).select("unit", bound(chosen, ids_of).alias("ids"))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,38 +377,31 @@ def decoded_texts(ids: np.ndarray, offsets: np.ndarray, parts: pa.Array) -> pa.A
     return pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())
 
 
-def assemble(batch: pa.Table, coded: pa.Table, model: Model, near: frozenset[str], id_col: str, decoding: bool) -> pa.Table:
+def assemble(batch: pa.Table, answers: pa.Table, model: Model, joints: Joints, parts: int, id_col: str, decoding: bool) -> pa.Table:
     """The ids of every text of a bucket, from its units' ids; and, if asked for, their decoded text."""
-    rows, known = unpack(batch["blob"]), unpack(coded["blob"])
-    place, unique, starts = split(rows["text"].combine_chunks())
-    units = {u: i for i, u in enumerate(known["unit"].to_pylist())} if known is not None else {}
+    rows = unpack(batch["blob"])
+    place, words, starts = words_in(rows["text"].combine_chunks())
+    word_units, units, word_starts = cut(words, joints)
+    order, _ = dealt(units, parts)
+    known = unpack(answers.sort_by("part")["blob"]) if answers.num_rows else None
     lists = known["ids"].combine_chunks() if known is not None else pa.array([], pa.list_(pa.int32()))
-    values, sizes = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    long_ids: list[list[int]] = []
-    rank, longest = {}, 0
-    chosen, counts = array("q"), array("q")
-    for w in unique:
-        own = cut(w, near)
-        for u in own:
-            if u not in units:  # a long unit
-                if not rank:
-                    rank = {p: (s, k) for k, (p, s, ok) in enumerate(zip(model.pieces, model.scores, model.plain)) if ok}
-                    longest = max(map(len, rank))
-                units[u] = len(sizes) + len(long_ids)
-                long_ids.append(heap_merge(u, rank, model) if model.kind == "bpe" else viterbi(u, rank, model, longest))
-            chosen.append(units[u])
-        counts.append(len(own))
-    values = np.concatenate([values, *[np.array(x, np.int32) for x in long_ids]]).astype(np.int32)
-    unit_starts = np.concatenate([[0], np.cumsum(np.concatenate([sizes, [len(x) for x in long_ids]]))]).astype(np.int64)
-    flat, n = gather(values, unit_starts, np.frombuffer(chosen, np.int64))
-    word_units = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))]).astype(np.int64)
-    word_starts = np.concatenate([[0], np.cumsum(n)])[word_units]
-    ids, lengths = gather(flat, word_starts, place)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])[starts]
-    out = {id_col: rows[id_col], "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
-    if decoding:
-        out["decoded"] = decoded_texts(ids, offsets, pa.array(piece_bytes(model), pa.large_binary()))
-    return pa.table(out)
+    row = np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))  # the answers came in this order
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat, n = gather(lists.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), row[word_units])
+    word_starts = np.concatenate([[0], np.cumsum(n)])[word_starts]
+    spelled = pa.array(piece_bytes(model), pa.large_binary()) if decoding else None
+    out, at = [], 0
+    while at < rows.num_rows or not out:  # slices of the texts, so that little is held at once
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_WORDS, "right")) - 1) if rows.num_rows else 0
+        ids, lengths = gather(flat, word_starts, place[starts[at] : starts[end]])
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[starts[at : end + 1] - starts[at]]
+        part = {id_col: rows[id_col].slice(at, end - at), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
+        if decoding:
+            part["decoded"] = decoded_texts(ids, offsets, spelled)
+        out.append(pa.table(part))
+        at = end
+    return pa.concat_tables(out)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, decoding: bool = False) -> DataFrame:
@@ -371,21 +412,28 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     as the tokenizer does.
     """
     model = model or load(path or default_path())
-    near = neighbours(model)
+    joints = Joints(model)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    parts = 7 + math.ceil(size / PART_BYTES)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(id_col, "text"), F.lit(buckets)).cast("int"))
-    parts = buckets + 7
     texts = packed(rows, "bucket")
-    asked = texts.groupBy("bucket").applyInArrow(lambda t: units_in(t, near, parts), "part int, bucket int, blob binary")
+    asked = texts.groupBy("bucket").applyInArrow(lambda t: units_in(t, joints, parts), "part int, bucket int, blob binary")
     units = asked.groupBy("part").applyInArrow(distinct_units, "unit string")
+
+    def part_of(t: pa.Table) -> np.ndarray:
+        order, part = dealt(t["unit"].combine_chunks().cast(pa.large_string()), parts)
+        return part[np.argsort(order)]
+
     # a fixed number of partitions: the units are few bytes but much work, which coalescing would not see
-    coded = packed(encode_units(units.repartition(2 * parts, "unit"), model).withColumn("part", part_column(F.col("unit"), parts)), "part")
-    answers = asked.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(answers_to, "bucket int, blob binary")
+    coded = packed_by(encode_units(units.repartition(2 * buckets, "unit"), model), "part", part_of)
+    kind = pa.uint16() if len(model.pieces) <= 1 << 16 else pa.int32()
+    answers = asked.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(lambda a, c: answers_to(a, c, kind), "bucket int, part int, blob binary")
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*fields, T.StructField("decoded", T.StringType())] if decoding else fields)
-    return texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda t, c: assemble(t, c, model, near, id_col, decoding), schema)
+    found = texts.groupBy("bucket").cogroup(answers.groupBy("bucket"))
+    return found.applyInArrow(lambda t, c: assemble(t, c, model, joints, parts, id_col, decoding), schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", model: Model | None = None) -> DataFrame:
