@@ -78,6 +78,52 @@ def test_a_long_vector_leaves_no_query_short(spark):
     assert hit / (20 * len(got)) >= 0.95
 
 
+def recall(got, x):
+    hit = 0
+    for q, best in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(best))
+    return hit / (20 * len(got))
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "log-normal lengths", "clusters"])
+def test_recall_and_full_lists(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    if kind == "log-normal lengths":
+        x *= rng.lognormal(0, 1, (4000, 1)) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    if kind == "clusters":
+        x = 3 * rng.normal(size=(50, 64))[rng.integers(0, 50, 4000)] + 0.5 * x
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    got = found(spark, x)
+    assert set(got) == set(range(0, 4000, 20)) and all(len(best) == 20 for best in got.values())
+    assert recall(got, x) >= 0.9
+
+
+def comparisons(spark, x):
+    """Comparisons of a query, as a share of all vectors, with the settings that the operator chooses."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    kept = N.layered(df).cache()
+    asked = df.where("vec_id % 20 = 0").cache()
+    layers, count = N.settings(asked, kept, 20)
+    sizes = N.index(kept, layers).groupBy("t", "key").count()
+    met = N.probes(asked, layers, count).join(sizes, ["t", "key"]).agg({"count": "sum"}).first()[0]
+    return met / asked.count() / len(x)
+
+
+def test_comparisons_shrink_as_a_share(spark):
+    rng = np.random.default_rng(7)
+    centres = 3 * rng.normal(size=(400, 64))
+
+    def made(n):
+        x = centres[rng.integers(0, 400, n)] + 0.7 * rng.normal(size=(n, 64))
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    small, large = comparisons(spark, made(5000)), comparisons(spark, made(20000))
+    assert large < 0.75 * small and large < 0.2
+
+
 def test_empty_table(spark):
     assert N.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

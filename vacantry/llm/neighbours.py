@@ -4,8 +4,10 @@ Largest inner product becomes smallest distance by one more component. Every
 vector is hashed by rounded projections on normal directions into a bucket of
 each table. A query visits its own bucket and perturbed ones, in order of how
 likely neighbours are there; the buckets' candidates merge and are ranked by the
-exact measure. Vectors are hashed in layers of like length, so that a long one
-doesn't push the others together, and a query that found too few is compared
+exact measure. Vectors are hashed in layers of like lengths, so that a long one
+doesn't push the others together. The number of hashes follows the number of
+vectors; how many buckets a query visits is measured on a few queries, whose
+neighbours are sought among all vectors. A query that found too few is compared
 with all of them.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Recall over 0.9 on isotropic vectors of 64 components, where neighbours are hard to tell.
-TABLES, HASHES, WIDTH, PROBES = 6, 5, 2.0, 16
+#: Tables, hashes of a table at most, and the width of a cell, where unit vectors are about 1.4 apart and their projections 1.
+TABLES, HASHES, WIDTH = 4, 20, 2.0
+#: A table's hashes are such that a bucket of evenly spread vectors would hold about this many.
+EVEN_BUCKET = 200
+#: Queries on which recall is measured, the recall among them that is enough, and buckets of a table visited at most.
+MEASURED, RECALL, PROBES = 64, 0.97, 128
 NEAREST, QUERY_STEP = 20, 20
 #: Vectors of one bucket that a task compares with queries at once; larger buckets are dealt into parts.
 PART = 4096
@@ -34,8 +41,8 @@ SLACK = 1e-9
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, v`` of the rows that take part: no nulls, all finite, not zero, and of the most frequent length."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    v = F.col(vec_col)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
     found = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").where(finite)
     sizes = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return found.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
@@ -78,21 +85,23 @@ def perturbations(inside: np.ndarray, count: int = PROBES) -> list[np.ndarray]:
     return out
 
 
-def stack(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+def stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column (of one length, without nulls) as rows."""
+    flat = pa.chunked_array([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def frame(tables, keys, ids, vectors) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tables, pa.int32()), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(list(vectors), pa.list_(pa.float64()))], names=["t", "key", "id", "v"]
-    )
+def frame(tables: np.ndarray, keys: np.ndarray, ids: np.ndarray, vectors: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tables, pa.int32()), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), vectors], names=["t", "key", "id", "v"])
 
 
-ENTRY = "t int, key long, id long, v array<double>"
+def entry(vectors: DataFrame) -> str:
+    return f"t int, key long, id long, v {vectors.schema['v'].dataType.simpleString()}"
 
 
 def length(v: str = "v"):
     """Euclidean length, without overflow of the squares."""
+    v = F.transform(v, lambda x: x.cast("double"))
     most = F.array_max(F.transform(v, F.abs))
     return most * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
 
@@ -106,23 +115,40 @@ def layer_keys(keys: np.ndarray, layers: np.ndarray) -> np.ndarray:
     return bucket_key(np.stack([keys, np.broadcast_to(layers, keys.shape)], axis=-1))
 
 
-def index(vectors: DataFrame, longest: dict[int, float]) -> DataFrame:
-    """``t, key, id, v``: every vector's bucket in each table, scaled by the longest of its layer."""
+def hashes_for(count: int, fewer: int = 0) -> int:
+    """Hashes of a table for a layer of so many vectors; a hash tells about two halves apart."""
+    return int(np.clip(round(np.log2(max(count, 1) / EVEN_BUCKET)) - fewer, 1, HASHES))
+
+
+def keys_of(cells: np.ndarray, layer: int, table_: int, hashes: int) -> np.ndarray:
+    """Bucket keys of one table from cells of all directions (along the last axis)."""
+    return layer_keys(bucket_key(cells[..., table_ * HASHES : table_ * HASHES + hashes]), np.array(layer))
+
+
+def entry_cells(x: np.ndarray, longest: float) -> np.ndarray:
+    a, b = directions(x.shape[1])
+    unit = x / longest
+    rest = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1, keepdims=True)))
+    return np.floor((np.concatenate([unit, rest], axis=1) @ a + b) / WIDTH).astype(np.int64)
+
+
+def index(vectors: DataFrame, layers: dict[int, tuple[float, int]]) -> DataFrame:
+    """``t, key, id, v``: every vector's bucket in each table, scaled by the longest of its layer.
+
+    ``layers`` has the longest length and the number of hashes by layer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = stack(batch.column(1))
-            a, b = directions(x.shape[1])
-            layers = batch.column(2).to_numpy()
-            unit = x / np.array([longest[n] for n in layers.tolist()])[:, None]
-            rest = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1, keepdims=True)))
-            cells = np.floor((np.concatenate([unit, rest], axis=1) @ a + b) / WIDTH).astype(np.int64)
-            for t in range(TABLES):
-                yield frame(np.full(len(x), t), layer_keys(bucket_key(cells[:, t * HASHES : (t + 1) * HASHES]), layers), batch.column(0), x)
+            own = batch.column(2).to_numpy()
+            for layer in np.unique(own).tolist():
+                part = batch.filter(pa.array(own == layer))
+                longest, hashes = layers[layer]
+                cells = entry_cells(stack(part.column(1)), longest)
+                for t in range(TABLES):
+                    yield frame(np.full(len(cells), t), keys_of(cells, layer, t, hashes), part.column(0), part.column(1))
 
-    return vectors.select("vec_id", "v", "layer").mapInArrow(run, ENTRY)
+    return vectors.select("vec_id", "v", "layer").mapInArrow(run, entry(vectors))
 
 
 def lengths(x: np.ndarray) -> np.ndarray:
@@ -131,27 +157,64 @@ def lengths(x: np.ndarray) -> np.ndarray:
     return most[:, 0] * np.sqrt(((x / most) ** 2).sum(axis=1))
 
 
-def probes(queries: DataFrame, layers: list[int]) -> DataFrame:
-    """``t, key, id, v``: the buckets that each query visits, in every layer."""
+def query_places(x: np.ndarray) -> np.ndarray:
+    a, b = directions(x.shape[1])
+    return (x / lengths(x)[:, None] @ a[:-1] + b) / WIDTH
+
+
+def visited(place: np.ndarray, t: int, hashes: int, count: int) -> np.ndarray:
+    """The cells of a table that a query visits, in order; at most all within one step."""
+    own = place[t * HASHES : t * HASHES + hashes]
+    cells = np.floor(own)
+    return cells.astype(np.int64) + np.array(perturbations(own - cells, min(count, 3**hashes)))
+
+
+def probes(queries: DataFrame, layers: dict[int, tuple[float, int]], count: int) -> DataFrame:
+    """``t, key, id, v``: the ``count`` buckets of each table that each query visits, in every layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = stack(batch.column(1))
-            a, b = directions(x.shape[1])
-            unit = x / lengths(x)[:, None]
-            place = (unit @ a[:-1] + b) / WIDTH
-            cells = np.floor(place).astype(np.int64)
-            for t in range(TABLES):
-                own = slice(t * HASHES, (t + 1) * HASHES)
-                keys = [bucket_key(cells[i, own] + np.array(perturbations(place[i, own] - cells[i, own]))) for i in range(len(x))]
-                many = np.repeat(np.arange(len(x)), [len(k) for k in keys])
-                ids = batch.column(0).to_numpy()
-                for layer in layers:
-                    yield frame(np.full(len(many), t), layer_keys(np.concatenate(keys), np.array(layer)), ids[many], x[many])
+            places, ids = query_places(stack(batch.column(1))), batch.column(0).to_numpy()
+            for layer, (_, hashes) in layers.items():
+                for t in range(TABLES):
+                    keys = [layer_keys(bucket_key(visited(p, t, hashes, count)), np.array(layer)) for p in places]
+                    many = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+                    yield frame(np.full(len(many), t), np.concatenate(keys), ids[many], batch.column(1).take(pa.array(many)))
+
+    return queries.select("vec_id", "v").mapInArrow(run, entry(queries))
 
-    return queries.select("vec_id", "v").mapInArrow(run, ENTRY)
+
+def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int, tuple[float, int]], int]:
+    """``layers`` (see ``index``) and the number of buckets to visit, from the recall of MEASURED queries.
+
+    Their true neighbours are sought among all vectors; both are brought to the
+    driver (MEASURED * nearest rows at most). If PROBES buckets of a table aren't
+    enough, tables have fewer hashes, down to one.
+    """
+    found = {r["layer"]: (r["m"], r["n"]) for r in kept.groupBy("layer").agg(F.max("length").alias("m"), F.count("*").alias("n")).collect()}
+    some = written(asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).select("vec_id", "v"), "ann-measured")
+    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    every = compared_with_all(some, kept.select("vec_id", "v"), nearest + 1).where("query <> vec_id")
+    true = every.withColumn("n", ranked).where(F.col("n") <= nearest).join(kept, "vec_id")
+    true = true.select("query", "layer", F.transform("v", lambda x: x.cast("double")).alias("v")).collect()
+    places = {r["vec_id"]: query_places(np.array([r["v"]], float))[0] for r in some.collect()}
+    orders = lru_cache(maxsize=None)(lambda query, t, hashes: visited(places[query], t, hashes, PROBES))
+    for fewer in range(HASHES):
+        layers = {layer: (m, hashes_for(n, fewer)) for layer, (m, n) in sorted(found.items())}
+        firsts = []  # by neighbour, how many buckets come before the first that holds it
+        for r in true:
+            m, hashes = layers[r["layer"]]
+            cells, before = entry_cells(np.array([r["v"]], float), m)[0], PROBES
+            for t in range(TABLES):
+                same = np.flatnonzero((orders(r["query"], t, hashes) == cells[t * HASHES : t * HASHES + hashes]).all(axis=1))
+                before = min([before, *same.tolist()])
+            firsts.append(before)
+        need = int(np.quantile(firsts, RECALL, method="higher")) + 1 if firsts else 1
+        if need <= PROBES or max((h for _, h in layers.values()), default=1) == 1:
+            break
+    return layers, min(need, PROBES)
 
 
 def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,23 +264,24 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     """Nearest vectors by inner product: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose id is divisible by ``step``; candidates are all rows
-    but the query's own. Null, zero and non-finite vectors, rows without an id and
-    vectors of an unusual length take no part. Equal scores go to the smaller id.
-    Of identical vectors the ``nearest + 1`` smallest ids can be results, so only
-    those are indexed; identical queries are searched once. Rows repeated with one
-    id count once. Other columns are ignored.
+    but the query's own. Null, zero and non-finite vectors and rows without an id
+    take no part, nor do vectors of another number of components than most have, as
+    they have no inner product with those. Equal scores go to the smaller id. Of
+    identical vectors the ``nearest + 1`` smallest ids can be results, so only those
+    are indexed; identical queries are searched once. Rows repeated with one id count
+    once: the least vector does. Other columns are ignored.
     """
-    vectors = written(usable(rows, id_col, vec_col).dropDuplicates(["vec_id"]), "ann-vectors")
+    vectors = written(usable(rows, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = written(layered(vectors.withColumn("n", F.row_number().over(same)).where(F.col("n") <= nearest + 1)), "ann-kept")
-    longest = {r["layer"]: r["m"] for r in kept.groupBy("layer").agg(F.max("length").alias("m")).collect()}  # one for each power of two at most
-    entries = written(index(kept, longest), "ann-index")
     asked = vectors.where(F.col("vec_id") % step == 0)
     first = written(asked.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n"), "ann-queries")
+    layers, count = settings(first, kept, nearest)
+    entries = written(index(kept, layers), "ann-index")
     # large buckets are dealt into parts, and their visitors go to each part
     parts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = entries.join(parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    visits = probes(first, sorted(longest)).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    visits = probes(first, layers, count).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     names = ["t", "key", "part"]
     found = dealt.groupBy(names).cogroup(visits.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
