@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,35 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def row_key(id_: Column, digest: Column) -> Column:
+    """One string for a document's id and the digest of its text; ``text_digest`` gives that."""
+    return F.concat(F.coalesce(id_.cast("string"), F.lit("null")), F.lit(":"), digest)
+
+
+def text_digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def as_rows(docs: DataFrame, key: Column) -> DataFrame:
+    """``row, key``: whole rows in one column, so that names of other columns can't clash with those of the work."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+
+
+def without(docs: DataFrame, key: Column, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key (by ``row_key``) stays.
+
+    ``judged`` has ``key, kept`` for each row. Of kept rows that share id and text,
+    one stays: the least by a hash of all its columns.
+    """
+    rows = as_rows(docs, key)
+    out = rows.join(judged.where("NOT kept").select("key").distinct(), "key", "left_anti")
+    again = judged.where("kept").groupBy("key").count().where("count > 1").select("key")
+    if again.isEmpty():
+        return out.select("row.*")
+    one = out.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.join(again, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Components of an undirected graph by alternating large and small stars.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import row_key, table, text_digest, without, written
 
 #: A cut falls on one byte in 2 ** CUT_BITS on average; chunks have MIN_BYTES to MAX_BYTES.
 CUT_BITS, MIN_BYTES, MAX_BYTES = 11, 256, 16384
@@ -148,9 +148,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of identical texts."""
-    dropped = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("dropped_id")), "left_anti").select(docs.columns)
+    """Keep one row of each group of identical texts: that with the largest id.
+
+    Rows are told apart by id and text, so ids that stand with several texts lose
+    none; of rows repeated with both, one stays. Columns of any name pass through.
+    """
+    found = exact_dedup(docs).select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"), "kept")
+    return without(docs, row_key(F.col("doc_id"), text_digest(F.col("text"))), found)
 
 
 SQL = """

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from .common import table
 from .text_words import plain_words, slices
 
-#: The training sample: so many documents of a language, so many words of a document.
+#: The training sample: so many documents of a language, so many words (or parts of LONGEST bytes of longer ones)
+#: of a document, and so many languages, the most frequent first.
 DOCS_PER_LANGUAGE, WORDS_PER_DOC, MOST_LANGUAGES = 500, 80, 200
 HIDDEN, LONGEST, STEPS, BATCH = 12, 32, 900, 512
 #: Words whose evidence a score counts at most, so that scores of long texts stay apart.
@@ -31,6 +32,10 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.3
 
 
+def in_parts(word: bytes) -> list[bytes]:
+    return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -122,9 +127,8 @@ class Network:
         """For each word the mean log probabilities of the classes over its positions; longer words are read in parts."""
         parts, owner = [], []
         for i, w in enumerate(words):
-            for k in range(0, len(w), LONGEST):
-                parts.append(w[k : k + LONGEST])
-                owner.append(i)
+            parts += in_parts(w)
+            owner += [i] * (len(parts) - len(owner))
         sums = np.zeros((len(words), len(self.w["bias"])), np.float64)
         lengths, owner = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(owner, np.int64)
         for n in np.unique(lengths):
@@ -144,61 +148,80 @@ def held_out(id_col: str, parts: int, left: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts)) == left
 
 
+def some_words(rows: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``id_col, label_col, words``: WORDS_PER_DOC words of each document, drawn by a seed from its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for texts in slices(batch.column(1)):
+                place, unique, starts = plain_words(texts)
+                coded = [in_parts(w.encode("utf-8", "surrogatepass")) for w in unique]
+                for k in range(len(texts)):
+                    own = [p for i in place[starts[k] : starts[k + 1]] for p in coded[i]]
+                    rng = np.random.default_rng(len(own))
+                    found.append(own if len(own) <= WORDS_PER_DOC else [own[i] for i in rng.choice(len(own), WORDS_PER_DOC, replace=False)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.binary()))], names=[id_col, label_col, "words"])
+
+    schema = T.StructType([rows.schema[id_col], rows.schema[label_col], T.StructField("words", T.ArrayType(T.BinaryType()))])
+    return rows.select(id_col, text_col, label_col).mapInArrow(run, schema)
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> tuple[Network | None, list[str]]:
-    """Fit on at most DOCS_PER_LANGUAGE documents of each language, chosen by a hash of the id."""
+    """Fit on at most DOCS_PER_LANGUAGE documents of each language, chosen by a hash of the id.
+
+    Of more than MOST_LANGUAGES labels the most frequent are learned. Of rows that
+    share an id one is read; columns other than these three are ignored.
+    """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    languages = [r[0] for r in rows.select(label_col).distinct().orderBy(label_col).limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = sorted(r[0] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES).collect())
     if not languages:
         return None, []
     by = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = rows.select(id_col, label_col).withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    known = rows.where(F.col(label_col).isin(languages))
+    chosen = known.select(id_col, label_col).withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_PER_LANGUAGE)
     ids = chosen.select(id_col).distinct()  # at most MOST_LANGUAGES * DOCS_PER_LANGUAGE rows
-    sample = rows.select(id_col, text_col, label_col).join(F.broadcast(ids), id_col).dropDuplicates([id_col]).toPandas().sort_values(id_col)
-    rng = np.random.default_rng(2)
-    place, unique, starts = plain_words(pa.array(sample[text_col].tolist(), pa.string()))
-    coded = [w.encode("utf-8", "surrogatepass")[:LONGEST] for w in unique]
-    words, labels = [], []
-    for k, language in enumerate(sample[label_col]):
-        own = place[starts[k] : starts[k + 1]]
-        for i in own if len(own) <= WORDS_PER_DOC else rng.choice(own, WORDS_PER_DOC, replace=False):
-            if coded[i]:
-                words.append(coded[i])
-                labels.append(languages.index(language))
+    sample = some_words(known.select(id_col, text_col, label_col).join(F.broadcast(ids), id_col), id_col, text_col, label_col)
+    drawn = sample.groupBy(id_col).agg(F.min(F.struct(label_col, "words")).alias("s")).select("s.*").orderBy(id_col).toPandas()
+    words = [w for own in drawn["words"] for w in own]
+    labels = [languages.index(language) for language, own in zip(drawn[label_col], drawn["words"]) for _ in own]
     network = Network(len(languages))
     if words:
         network.fit(words, np.array(labels))
     return network, languages
 
 
+def predict(texts: pa.Array, network: Network | None, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of whole texts."""
+    names, preds, scores = np.array([*languages, UNKNOWN], object), [], []
+    for some in slices(texts):
+        place, unique, starts = plain_words(some)
+        n, doc = len(some), np.repeat(np.arange(len(some)), np.diff(starts))
+        letters = pc.fill_null(pc.match_substring_regex(some, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        if network is None:
+            letters, total = np.zeros(n, bool), np.zeros((n, 1))
+        else:
+            each = network.evidence([w.encode("utf-8", "surrogatepass") for w in unique])
+            total = np.stack([np.bincount(doc, each[place, c], n) for c in range(each.shape[1])], axis=1)
+        total *= np.minimum(1, EVIDENCE / np.maximum(np.diff(starts), 1))[:, None]
+        p = np.exp(total - total.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        preds.append(names[np.where(letters, p.argmax(axis=1), len(languages))])
+        scores.append(np.where(letters, p.max(axis=1), 0.0))
+    return np.concatenate([np.zeros(0, object), *preds]), np.concatenate([np.zeros(0), *scores])
+
+
 def identify(docs: DataFrame, network: Network | None, languages: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` for each row, from the whole text.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
-    learned. Ties go to the language first by code point.
+    learned. Ties go to the language first by code point. Repeated rows are all
+    returned, alike; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*languages, UNKNOWN], object)
         for batch in batches:
-            preds, scores = [], []
-            for texts in slices(batch.column(1)):
-                place, unique, starts = plain_words(texts)
-                n, doc = len(texts), np.repeat(np.arange(len(texts)), np.diff(starts))
-                letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                if network is None:
-                    letters = np.zeros(n, bool)
-                    total = np.zeros((n, 1))
-                else:
-                    each = network.evidence([w.encode("utf-8", "surrogatepass") for w in unique])
-                    total = np.stack([np.bincount(doc, each[place, c], n) for c in range(each.shape[1])], axis=1)
-                total *= np.minimum(1, EVIDENCE / np.maximum(np.diff(starts), 1))[:, None]
-                p = np.exp(total - total.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = np.where(letters, p.argmax(axis=1), len(languages))
-                preds.extend(names[best])
-                scores.extend(np.where(letters, p.max(axis=1), 0.0))
+            preds, scores = predict(batch.column(1), network, languages)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -213,8 +236,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; a document goes with all its rows."""
+    """Rows whose text has no recognised language go; each is judged by its own text. Columns of any name pass through."""
     network, languages = train(docs.where(~held_out("doc_id", 4, 2)))
-    found = identify(docs, network, languages)
-    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("rejected_id")), "left_anti").select(docs.columns)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            preds, scores = predict(batch.column(at), network, languages)
+            yield batch.filter(pa.array((preds != UNKNOWN) & (scores >= LEAST_SCORE), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,9 @@ groups' thresholds sum to (allowed distance - groups + 1), two fingerprints
 within the distance meet in at least one group within its threshold; -1 leaves
 a group out. The thresholds are chosen by dynamic programming on the probes they
 need and the candidates they are estimated to bring. Fingerprints are then
-probed by group and verified on all bits.
+probed by group and verified on all bits. Where many meet in one bucket, they are
+parted again by groups of the bits that they have not met by, in which the same
+principle holds, so any number of them meets in small buckets.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, signed, table, written
+from .common import connected_components, row_key, signed, table, text_digest, without, written
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
-#: Fingerprints in one probed bucket up to which its pairs are verified one by one.
-#: Beyond it the bucket's fingerprints meet in their neighbours instead; see ``near_by_neighbours``.
-BUCKET = 64
+#: Fingerprints in one bucket up to which its pairs are verified; larger buckets are parted, so many times at most.
+BUCKET, PARTINGS = 64, 2
 #: The cost of verifying a candidate, where writing a probe costs 1.
 VERIFY_COST = 0.05
 #: Shingles whose bits are counted at once.
@@ -123,7 +124,7 @@ def estimated_cost(group: list[int], threshold: int, n: int, meetings: float, p:
     for x in odds:
         poly[1:] += poly[:-1] * x
         probes[1:] += probes[:-1]
-    return n * probes.sum() + VERIFY_COST * meetings * poly.sum()
+    return max(n, 1) * probes.sum() + VERIFY_COST * meetings * poly.sum()
 
 
 def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]:
@@ -143,12 +144,17 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
     return best[distance - len(costs) + 1]
 
 
-def plan(prints: DataFrame, distance: int = DISTANCE, parts: tuple[int, ...] = (2, 3)) -> list[tuple[list[int], int]]:
-    """``(bits, threshold)`` of each probed group, from statistics of all fingerprints."""
+def plan(prints: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
+    """``(bits, threshold)`` of each probed group, from statistics of all fingerprints.
+
+    More groups than one above the distance can't be better, as then some are left out.
+    """
     sums, n = bit_sums(prints)
+    parts = range(2, distance + 2)
     layouts = [correlated_groups(sums, n, k) for k in parts]
     groups = [g for layout in layouts for g in layout]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(g))).alias("key")) for k, g in enumerate(groups)]))
+    # distinct fingerprints never agree in all bits
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(g))).alias("key")) for k, g in enumerate(groups) if len(g) < BITS]))
     sizes = prints.select(keys.alias("x")).select("x.*").groupBy("k", "key").agg(F.count("*").alias("c"))
     met = {r["k"]: float(r["m"]) for r in sizes.groupBy("k").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("m")).collect()}
     p, at, choices = np.diag(sums) / max(n, 1), 0, []
@@ -168,52 +174,61 @@ def flips(bits: list[int], threshold: int) -> list[int]:
     return [signed(f) for f in sorted(found)]
 
 
-def near_by_neighbours(prints: DataFrame) -> DataFrame:
-    """Links between fingerprints within distance 2 that need no pairs within a group.
+def differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
-    Two fingerprints differ in at most two bits exactly if some value is within one
-    bit of both. Every value has 65 such fingerprints at most, so the groups by
-    value are small whatever the data, and linking each to its least is enough.
-    """
-    values = prints.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips(list(range(BITS)), 1)])).alias("value"))
-    met = values.groupBy("value").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    return met.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
 
+def parted(bits: list[int], parts: int) -> list[list[int]]:
+    return [bits[len(bits) * k // parts : len(bits) * (k + 1) // parts] for k in range(parts)]
+
+
+def meetings(probed: DataFrame, name: str) -> DataFrame:
+    """``path, key, fp, own, n``: probed rows whose bucket has several, of which one at least is at home (``own``)."""
+    sizes = probed.groupBy("path", "key").agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").drop("home")
+    return written(probed.join(sizes, ["path", "key"]), name)
 
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+
+def verified(met: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: the pairs of each bucket within the distance, by slices of BUCKET fingerprints against all."""
+    lists = met.groupBy("path", "key").agg(F.collect_list(F.struct("fp", "own")).alias("xs"))
+    sliced = lists.select("xs", F.explode(F.sequence(F.lit(1), F.size("xs"), F.lit(BUCKET))).alias("at"))
+    near = lambda x, y: (x["own"] | y["own"]) & (x["fp"] < y["fp"]) & (differing(x["fp"], y["fp"]) <= distance)
+    pairs = F.flatten(
+        F.transform(F.slice("xs", F.col("at"), BUCKET), lambda x: F.transform(F.filter("xs", lambda y: near(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b"))))
+    )
+    return sliced.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
 def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: links between distinct fingerprints that connect all within ``distance`` (2)."""
-    if distance != 2:
-        raise ValueError("crowded buckets are only exact at distance 2")
-    probes = []
+    """``a, b``: all pairs of distinct fingerprints within ``distance``; a pair may come several times."""
+    probes, rest = [], {}
     for k, (group, threshold) in enumerate(plan(prints, distance)):
         own = F.col("fp").bitwiseAND(F.lit(mask(group)))
-        entries = F.array(*[F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(f)).alias("key"), F.lit(f == 0).alias("own")) for f in flips(group, threshold)])
-        probes.append(prints.select("fp", F.explode(entries).alias("x")).select("x.*", "fp"))
+        changes = F.expr(f"explode(array({', '.join(f'{f}L' if f > -(1 << 63) else '(-9223372036854775807L - 1L)' for f in flips(group, threshold))}))").alias("f")
+        probes.append(prints.select("fp", changes).select(F.lit(k).alias("path"), F.array(own.bitwiseXOR(F.col("f"))).alias("key"), (F.col("f") == 0).alias("own"), "fp"))
+        rest[k] = [b for b in range(BITS) if b not in group]
     probed = probes[0]
     for more in probes[1:]:
         probed = probed.unionByName(more)
-    sizes = probed.groupBy("k", "key").agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").drop("home")
-    met = written(probed.join(sizes, ["k", "key"]), "simhash-met")
-    lists = met.where(F.col("n") <= bucket).groupBy("k", "key").agg(F.collect_list(F.struct("fp", "own")).alias("xs"))
-    pairs = F.flatten(
-        F.transform(
-            "xs",
-            lambda x, i: F.transform(
-                F.filter(F.slice("xs", i + 2, bucket), lambda y: (x["own"] | y["own"]) & (x["fp"] != y["fp"]) & (differing(x["fp"], y["fp"]) <= distance)),
-                lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")),
-            ),
-        )
-    )
-    verified = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    crowded = near_by_neighbours(met.where(F.col("n") > bucket).select("fp").distinct())
-    return verified.unionByName(crowded)
-
-
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    met, found = meetings(probed, "simhash-met"), None
+    for parting in range(PARTINGS + 1):
+        whole = met if parting == PARTINGS else met.where(F.col("n") <= bucket)
+        found = verified(whole, distance) if found is None else found.unionByName(verified(whole, distance))
+        crowded = met.where(F.col("n") > bucket).drop("n")
+        if parting == PARTINGS or crowded.isEmpty():
+            return found
+        # of distance + 1 groups of the other bits, one at least is alike in both of a pair
+        masks, inner = [], {}
+        for path, bits in rest.items():
+            groups = parted(bits, distance + 1)
+            masks.append(F.when(F.col("path") == path, F.array(*(F.lit(mask(g)) for g in groups))))
+            inner |= {path * (distance + 1) + j: [b for b in bits if b not in g] for j, g in enumerate(groups)}
+        split = crowded.select("path", "key", "own", "fp", F.posexplode(F.coalesce(*masks)).alias("j", "m"))
+        key = F.concat("key", F.array(F.col("fp").bitwiseAND(F.col("m")))).alias("key")
+        met, rest = meetings(split.select((F.col("path") * (distance + 1) + F.col("j")).alias("path"), key, "own", "fp"), "simhash-parted"), inner
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """Near-duplicate classes: ``id_col, fingerprint, component_id`` for each row.
 
     Documents are linked if their fingerprints differ in ``distance`` bits at most;
@@ -222,7 +237,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows are all returned. A null id takes part but is never a ``component_id``
     unless its whole component has none. Other columns are ignored.
     """
-    named = written(fingerprints(docs, id_col, text_col), "simhash")
+    named = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = written(named.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = connected_components(near_pairs(distinct, distance))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -236,6 +251,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least id."""
-    dropped = simhash_dedup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti").select(docs.columns)
+    """One row of each component stays: that with the least id.
+
+    Rows are told apart by id and text; of rows repeated with both, one stays.
+    Columns of any name pass through.
+    """
+    key = row_key(F.col("doc_id"), text_digest(F.col("text")))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), key.alias("key")).alias("id"), "text")
+    found = simhash_dedup(named, "id").select("id.key", (F.col("id.key") == F.col("component_id.key")).alias("kept"))
+    return without(docs, key, found)

@@ -26,8 +26,8 @@ from .common import table
 from .language_id import held_out
 from .text_words import plain_words, slices
 
-#: The training sample: so many labelled documents of each class at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+#: The training sample: so many labelled documents of each class at most, of so many bytes each at most.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 1 << 17
 #: A feature marks toxic words if its documents are toxic so much more often (log odds),
 #: and if at least this share of the toxic documents (and five) have it.
 LEAST_ODDS, LEAST_SHARE, LEAST_DOCS = 2.5, 0.01, 5
@@ -183,8 +183,10 @@ def toxic_features(words: list[list[str]], labels: np.ndarray) -> set[str]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field | None:
     """Fit on a bounded sample, chosen by a hash of the id; None if a class is missing.
 
-    Several labels of one document count as toxic if one is.
+    Several labels of one document count as toxic if one is. Documents of more than
+    SAMPLE_BYTES are not learned from.
     """
+    docs = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
     ids = [marks.where(F.col(label_col) == y).orderBy(F.xxhash64(id_col), id_col).limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     chosen = ids[0].unionByName(ids[1])  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
@@ -224,7 +226,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
     ``spans`` lists the offending words as ``start, length`` in characters. A null
     text scores as an empty one. Without a trained field (no labels of one class)
-    every score is 0.
+    every score is 0. Repeated rows are all returned, alike; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,4 +260,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 5, 0)
     field = train(docs, table(spark, sf_dir, "labels").where(~out))
-    return score(docs, field).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, field).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
