@@ -13,6 +13,7 @@ from vacantry.operators import normalize as N
 from vacantry.operators import search as Q
 from vacantry.operators import skills as K
 from vacantry.schemas import POSTING, RAW_POSTING
+from vacantry.sources import jsonld as J
 from vacantry.streaming import store as T
 
 NOW = None
@@ -32,7 +33,7 @@ def aliases(spark):
 
 @pytest.fixture(scope="module")
 def cv_aliases(spark):
-    return K.alias_table(spark, K.POSTING_SKILLS | {"R": "r programming", "Human Resources": "hr|human resource"}, "cv")
+    return K.alias_table(spark, K.POSTING_SKILLS | {"R": ("r programming",), "Human Resources": ("hr", "human resource")}, "cv")
 
 
 def columns(schema):
@@ -199,6 +200,32 @@ def test_store_is_idempotent(spark, tmp_path):
     assert T.totals(store.changes()).first().inserted == 3
 
 
+def test_failing_batches_are_skipped_and_counted(spark, tmp_path):
+    raw = "seq long, " + RAW_POSTING
+    cols = ["seq", *columns(RAW_POSTING)]
+    make = lambda i, **g: tuple((dict.fromkeys(cols) | {"seq": i, "title": f"t{i}", "source_url": f"https://x/{i}", "source_platform": "B"} | g)[c] for c in cols)
+    store = T.PostingStore(spark, str(tmp_path / "store"))
+    tried = []
+    plain, bad = store.ingest, spark.createDataFrame([make(9), make(10)], raw).withColumn("title", F.expr("raise_error('no')").cast("string"))
+    store.ingest = lambda df, batch, now: (tried.append(batch), plain(df, batch, now))
+    store.ingest_or_skip(spark.createDataFrame([make(1)], raw), 0, NOW)
+    store.ingest_or_skip(bad, 1, NOW)
+    store.ingest_or_skip(spark.createDataFrame([make(2)], raw), 2, NOW)
+    assert tried == [0, 1, 1, 1, 2] and store.postings().count() == 2
+    rows = {r.batch_id: r for r in store.changes().collect()}
+    assert (rows[1].received, rows[1].skipped, rows[1].changed, rows[1].inserted) == (2, 2, None, 0) and rows[1].errors[0].startswith("batch failed")
+    assert rows[2].inserted == 1 and T.totals(store.changes()).first().skipped == 2
+
+
+def test_graphs_at_any_depth(spark):
+    deep = '{"@type": "JobPosting", "title": "deep"}'
+    for _ in range(7):
+        deep = '{"@graph": [' + deep + "]}"
+    html = f'<script type="application/ld+json">{deep}</script>'
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
+    assert J.job_postings(df, "page_id", "html").selectExpr("page_id", "try_variant_get(node, '$.title', 'string') t").collect() == [(1, "deep")]
+
+
 def test_search_plan():
     spec = Q.plan_search({"limit": "0", "page": "x", "job_type": "Remote,boss", "sort": "relevance"})
     assert (spec.limit, spec.page, spec.job_types, spec.warnings, spec.sort) == (20, 1, ("remote",), ("ignored unknown jobType: boss",), "relevance")

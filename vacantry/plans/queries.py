@@ -198,15 +198,25 @@ def facet_locations(spark, sf_dir):
     return Q.facet_values(W.postings(spark, sf_dir), "location", 200)
 
 
+#: The order that a click is about: all orders are met, by the user and the value.
+SAVED_SQL = "(user_id * 7919 + floor(value * 10)::BIGINT * 104729) % (SELECT max(o_orderkey) + 1 FROM orders)"
+
+
+def clicks(spark, sf_dir):
+    last = W.table(spark, sf_dir, "orders").agg((F.max("o_orderkey") + 1).alias("n_orders"))  # one row
+    rows = W.table(spark, sf_dir, "events").where("event_type = 'click'").crossJoin(F.broadcast(last))
+    return rows.select("user_id", ((F.col("user_id") * 7919 + F.floor(F.col("value") * 10) * 104729) % F.col("n_orders")).alias("job_id"), "ts")
+
+
 @register(
     "saved_postings",
-    f"""WITH {W.POSTINGS_SQL}, saved AS (SELECT user_id, (floor(value * 10)::BIGINT % 400)::VARCHAR AS job_id, count(*) AS n, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+    f"""WITH {W.POSTINGS_SQL}, saved AS (SELECT user_id, ({SAVED_SQL})::VARCHAR AS job_id, count(*) AS n, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) % 2 = 1)
 SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, job_id)::INT AS position, title, title IS NULL AS missing FROM saved LEFT JOIN postings ON job_id = dedupe_hash""",
 )
 def saved_postings(spark, sf_dir):
     """Clicks toggle what a user saved; what is left meets the postings."""
-    clicks = W.table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.floor(F.col("value") * 10) % 400).cast("string").alias("job_id"), "ts")
-    out = Q.saved_postings(Q.saved_list(clicks), W.postings(spark, sf_dir))
+    toggles = clicks(spark, sf_dir).withColumn("job_id", F.col("job_id").cast("string"))
+    out = Q.saved_postings(Q.saved_list(toggles), W.postings(spark, sf_dir))
     return out.select("user_id", "job_id", "position", "title", "missing")
 
 
@@ -317,7 +327,7 @@ def classify(spark, sf_dir):
 def _alias_values() -> str:
     rows, k = [], 0
     for order, (name, aliases) in enumerate(K.POSTING_SKILLS.items()):
-        for alias in aliases.split("|"):
+        for alias in aliases:
             escaped = "".join("\\" + ch if not (ch.isalnum() or ch == " ") else ch for ch in alias)
             rows.append(f"('{name}', '{escaped}', {order})")
             k += 1
@@ -367,7 +377,7 @@ def canonical_lists(spark, sf_dir):
 
 
 SCORE_SQL = f"""WITH {W.POSTINGS_SQL}, {W.CVS_SQL}, req AS (SELECT seq AS job_id, 'required' AS kind, unnest(required_skills) AS skill FROM postings UNION ALL SELECT seq, 'preferred', unnest(preferred_skills) FROM postings),
-have AS (SELECT cv_id, unnest(skills) AS skill FROM cvs), saved AS (SELECT user_id AS cv_id, floor(value * 10)::BIGINT % 400 AS job_id FROM events WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+have AS (SELECT cv_id, unnest(skills) AS skill FROM cvs), saved AS (SELECT user_id AS cv_id, {SAVED_SQL} AS job_id FROM events WHERE event_type = 'click' GROUP BY 1, 2 HAVING count(*) % 2 = 1),
 met AS (SELECT s.cv_id, s.job_id, count(*) FILTER (kind = 'required' AND have.skill IS NOT NULL) AS r, count(*) FILTER (kind = 'preferred' AND have.skill IS NOT NULL) AS p FROM saved s LEFT JOIN req USING (job_id) LEFT JOIN have ON have.cv_id = s.cv_id AND lower(req.skill) = lower(have.skill) GROUP BY 1, 2),
 parts AS (SELECT cv_id, job_id, round_even(100.0 * r / nullif(len(required_skills), 0), 1) AS required_pct, round_even(100.0 * p / nullif(len(preferred_skills), 0), 1) AS preferred_pct,
   CASE experience_level WHEN 'entry' THEN 100.0 ELSE CASE WHEN months >= low THEN 100.0 WHEN months > 0 THEN round_even(greatest(20.0, 100.0 * months / low), 1) ELSE 0.0 END END AS experience_pct,
@@ -379,8 +389,7 @@ w AS (SELECT *, CASE WHEN required_pct IS NULL THEN 0.0 ELSE 0.5 END + CASE WHEN
 
 
 def saved_pairs(spark, sf_dir):
-    clicks = W.table(spark, sf_dir, "events").where("event_type = 'click'")
-    return Q.saved_list(clicks.select("user_id", (F.floor(F.col("value") * 10) % 400).alias("job_id"), "ts")).select(F.col("user_id").alias("cv_id"), "job_id")
+    return Q.saved_list(clicks(spark, sf_dir)).select(F.col("user_id").alias("cv_id"), "job_id")
 
 
 @register(
@@ -405,6 +414,29 @@ def best_matches(spark, sf_dir):
     return best.select("cv_id", "job_id", "position", "overall_score", "c_required", "c_preferred", "c_experience", "c_education", "experience_note", "education_note")
 
 
+PARTS = {"required": 0.5, "preferred": 0.2, "experience": 0.2, "education": 0.1}
+
+
+@register(
+    "ranked_matches",
+    SCORE_SQL.replace("have AS (SELECT cv_id, unnest(skills) AS skill FROM cvs)", "have AS (SELECT DISTINCT cv_id, lower(string_split(s, ' ')[-1]) AS skill FROM (SELECT cv_id, unnest(skills) AS s FROM cvs))").replace(
+        "LEFT JOIN have ON have.cv_id = s.cv_id AND lower(req.skill) = lower(have.skill)", "LEFT JOIN have ON have.cv_id = s.cv_id AND lower(string_split(req.skill, ' ')[-1]) = have.skill"
+    )
+    + ", c AS (SELECT cv_id, job_id, "
+    + ", ".join(f"round_even(coalesce({k}_pct, 0.0)::DOUBLE * round_even(CASE WHEN {k}_pct IS NULL THEN 0.0 ELSE {w} END::DOUBLE / total::DOUBLE, 6), 2) AS c_{k}" for k, w in PARTS.items())
+    + " FROM w), o AS (SELECT *, greatest(0.0, least(100.0, round_even(c_required + c_preferred + c_experience + c_education, 1))) AS overall_score FROM c)"
+    + " SELECT cv_id, job_id, row_number() OVER (PARTITION BY cv_id ORDER BY overall_score DESC, job_id)::INT AS position, overall_score, c_required, c_preferred, c_experience, c_education FROM o QUALIFY position <= 5",
+)
+def ranked_matches(spark, sf_dir):
+    """The five best of each user's saved postings where a part's name is an alias of its last word."""
+    people, jobs = W.cvs(spark, sf_dir), W.postings(spark, sf_dir).withColumn("job_id", F.col("seq"))
+    part = W.table(spark, sf_dir, "part")
+    last = F.substring_index("p_name", " ", -1)
+    aliases = part.select(F.lit("posting").alias("taxonomy"), last.alias("canonical"), F.lower("p_name").alias("alias"), F.lit(0).alias("ord"), F.lit(True).alias("scannable")).distinct()
+    scores = M.score_matches(people, jobs, aliases, M.ScoreConfig(engine="exact"), pairs=saved_pairs(spark, sf_dir))
+    return M.best_matches(scores, 5).select("cv_id", "job_id", "position", "overall_score", "c_required", "c_preferred", "c_experience", "c_education")
+
+
 @register("fuzzy_skills")
 def fuzzy_skills(spark, sf_dir):
     """Part names against part types by the lexical similarity, 0.75 at least."""

@@ -15,7 +15,6 @@ TYPES = {
     "full_time": "full-time", "fulltime": "full-time", "part_time": "part-time", "parttime": "part-time", "contractor": "contract", "contract": "contract",
     "temporary": "contract", "intern": "internship", "internship": "internship", "per_diem": "part-time",
 }
-NODE_LEVELS = 3
 
 
 def at(v: Column, path: str, kind: str = "string") -> Column:
@@ -28,13 +27,17 @@ def items(v: Column) -> Column:
 
 
 def json_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """``id_col, block, path, node``: every JSON object of the pages' blocks; lists and graphs are opened, bad blocks skipped."""
+    """``id_col, block, path, node``: every JSON object of the pages' blocks; lists and graphs are opened, bad blocks skipped.
+
+    Graphs are opened as deep as they stand in one another: a level is a job, and
+    the last finds none.
+    """
     blocks = pages.select(id_col, F.posexplode(F.regexp_extract_all(text(F.col(html_col)), F.lit(BLOCK), F.lit(1))).alias("block", "json"))
     parsed = blocks.select(id_col, "block", F.try_parse_json(F.trim("json")).alias("v")).where("v IS NOT NULL")
     level = parsed.select(id_col, "block", F.posexplode(items(F.col("v"))).alias("p", "node")).select(id_col, "block", F.array(F.col("p")).alias("path"), "node")
     out = level
-    for _ in range(NODE_LEVELS):  # graphs within graphs
-        graph = F.try_variant_get("node", "$['@graph']", "array<variant>")
+    graph = F.try_variant_get("node", "$['@graph']", "array<variant>")
+    while not level.where(F.size(graph) > 0).isEmpty():  # graphs within graphs
         level = level.select(id_col, "block", "path", F.posexplode(graph).alias("p", "node")).select(id_col, "block", F.concat("path", F.array("p")).alias("path"), "node")
         out = out.unionByName(level)
     return out.where(F.schema_of_variant("node").startswith("OBJECT"))

@@ -15,6 +15,10 @@ from vacantry.operators.merge import counters, fold_batch, upsert, validate
 from vacantry.schemas import CHANGE, STORED, names
 
 
+#: How often a batch is tried before it is skipped.
+TRIES = 3
+
+
 class PostingStore:
     """A store under ``path``: ``snapshots/batch=N`` and ``changes/batch=N``."""
 
@@ -35,8 +39,8 @@ class PostingStore:
         return self.changes().agg(F.max("batch_id")).first()[0]
 
     def postings(self) -> DataFrame:
-        """The newest complete snapshot."""
-        last = self.last_batch()
+        """The newest complete snapshot; skipped batches have none."""
+        last = self.changes().where("changed IS NOT NULL").agg(F.max("batch_id")).first()[0]
         if last is None:
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).parquet(f"{self.path}/snapshots/batch={last}")
@@ -57,9 +61,27 @@ class PostingStore:
         finally:
             checked.unpersist()
 
+    def skip(self, raw: DataFrame, batch_id: int, now: Column, reason: str) -> None:
+        """Log a batch that can't be ingested: its rows count as skipped, ``changed`` is null, and the snapshot stays."""
+        try:
+            n = raw.count()
+        except Exception:  # not even readable
+            n = 0
+        row = self.spark.createDataFrame([(batch_id, None, n, 0, 0, 0, n, None, [reason])], CHANGE).withColumn("at", now)
+        row.select(*names(CHANGE)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
+
+    def ingest_or_skip(self, raw: DataFrame, batch_id: int, now: Column) -> None:
+        """Try a batch several times; one that keeps failing is skipped and counted, so that it doesn't hold up the stream."""
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                return self.ingest(raw, batch_id, now)
+            except Exception as e:  # whatever the batch's rows bring about
+                if left == 0:
+                    self.skip(raw, batch_id, now, f"batch failed: {type(e).__name__}")
+
     def stream(self, raw: DataFrame, checkpoint: str, now: Column):
         """Feed the store from a streaming frame of raw postings until it has no more."""
-        query = raw.writeStream.foreachBatch(lambda df, batch: self.ingest(df, batch, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = raw.writeStream.foreachBatch(lambda df, batch: self.ingest_or_skip(df, batch, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return query
 
