@@ -108,7 +108,7 @@ def comparisons(spark, x):
     asked = df.where("vec_id % 20 = 0").cache()
     layers, count = N.settings(asked, kept, 20)
     sizes = N.index(kept, layers).groupBy("t", "key").count()
-    met = N.probes(asked, layers, count).join(sizes, ["t", "key"]).agg({"count": "sum"}).first()[0]
+    met = N.probes(asked, layers, count, np.zeros((0, 64)), 21).join(sizes, ["t", "key"]).agg({"count": "sum"}).first()[0]
     return met / asked.count() / len(x)
 
 

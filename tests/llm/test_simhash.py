@@ -9,14 +9,14 @@ from vacantry.llm import simhash as S
 from vacantry.llm.common import connected_components, signed
 
 
-def brute_fp(text):
+def brute_fp(text, n=3):
     w = (text or "").encode().lower().split()
-    shingles = [b" ".join(w)] if 0 < len(w) < 3 else [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)]
+    shingles = [b" ".join(w)] if 0 < len(w) < n else [b" ".join(w[k : k + n]) for k in range(len(w) - n + 1)]
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def classes(ids, fps):
+def classes(ids, fps, distance=2):
     parent = {i: i for i in ids}
 
     def find(x):
@@ -25,7 +25,7 @@ def classes(ids, fps):
         return x
 
     for a, b in itertools.combinations(range(len(ids)), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 2:
+        if (fps[a] ^ fps[b]).bit_count() <= distance:
             x, y = sorted((find(ids[a]), find(ids[b])))
             parent[y] = x
     return {i: find(i) for i in ids}
@@ -43,20 +43,20 @@ def test_spark_xxhash64_is_the_same_hash(spark):
     assert got == signed(xxhash.xxh64_intdigest(b"a b c", 42))
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_classes_equal_brute_force(spark, bucket):
-    """Chains and a crowd of near copies; with a small bucket the crowd takes the other way."""
+@pytest.mark.parametrize("bucket, distance", [(64, 2), (2, 2), (64, 6), (2, 6)])
+def test_classes_equal_brute_force(spark, bucket, distance):
+    """Chains and a crowd of near copies; with a small bucket the crowd is parted."""
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(4):
         fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in rng.sample(fps, 25)]
     fps = sorted(set(fps))
     df = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, least long")
-    pairs = S.near_pairs(df, bucket=bucket)
-    for a, b in pairs.distinct().collect():
-        assert 0 < (a % (1 << 64) ^ b % (1 << 64)).bit_count() <= 2
+    pairs = S.near_pairs(df, distance, bucket)
+    got = {frozenset((a % (1 << 64), b % (1 << 64))) for a, b in pairs.collect()}
+    assert got == {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= distance}
     roots = {r.node: r.root for r in connected_components(pairs).collect()}
-    want, seen = classes(range(len(fps)), fps), {}
+    want, seen = classes(range(len(fps)), fps, distance), {}
     for i, f in enumerate(fps):
         seen.setdefault(want[i], set()).add(roots.get(signed(f), signed(f)))
     assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)

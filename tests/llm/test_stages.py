@@ -32,6 +32,23 @@ def test_simhash_loses_no_class(spark):
     assert kept(df, simhash.stage(spark, df, "")) == [(5, "same"), (5, "unique text"), (7, None), (None, "kolo")]
 
 
+def test_simhash_drops_near_copies_only(spark, monkeypatch):
+    """Copies with few edits go; what links by its fingerprint but shares less than 0.8 of its shingles stays."""
+    monkeypatch.setattr(simhash, "SALT_ROWS", 4)  # several salts
+    words = [f"w{i * 7919 % 10007}" for i in range(900)]
+    rows = [(1, " ".join(words), "a"), (50, " ".join(f"z{i}" for i in range(900)), "a")]
+    for k in range(20):  # one word changed, or one added
+        edited = words[: 40 * k] + [f"new{k}"] + words[40 * k + k % 2 :]
+        rows.append((100 + k, " ".join(edited), "b"))
+    df = table(spark, rows)
+    keys = simhash.simhash_dedup(df, distance=6, shingle=5)
+    linked = {r.doc_id for r in keys.where("component_id = 1").collect()} - {1}
+    assert len(linked) > 10
+    assert {i for i, _ in kept(df, simhash.stage(spark, df, ""))} == {i for i, _, _ in rows} - linked
+    monkeypatch.setattr(simhash, "SIMILAR", 1.01)
+    assert len(kept(df, simhash.stage(spark, df, ""))) == len(rows)
+
+
 def test_language_id_judges_each_row(spark, monkeypatch):
     monkeypatch.setattr(language_id, "STEPS", 20)
     df = table(spark, [*ROWS, (5, "12 34", "a")])

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Characters of an event of a streamed text.
+CHUNK = 256
 
 
 def escaped(text: Column) -> Column:
@@ -109,11 +111,20 @@ def read_back(formatted: Column) -> Column:
     )
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: each turn is opened by its role and its text streams in behind."""
-    turn = F.col("turn").cast("long")
-    opened = conversations.select("conv_id", turn.alias("seq"), turn.alias("message"), F.lit("message").alias("kind"), "role", "text")
-    return opened
+def as_events(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """A table of finished turns as the log that brought them about.
+
+    Each turn is opened with the first ``chunk`` characters of its text, and the rest
+    streams in as deltas. Turns of one conversation with one number follow one
+    another by role and text; null turns come first.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), role, text)).cast("long")
+    rows = conversations.select("conv_id", place.alias("message"), role.alias("role"), text.alias("text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chunk))
+    parts = rows.select("conv_id", "message", "role", F.posexplode(F.transform(starts, lambda k: F.substring(F.col("text"), k + 1, F.lit(chunk)))).alias("part", "text"))
+    seq = F.shiftleft(F.col("message"), 32) + F.col("part")
+    return parts.select("conv_id", seq.alias("seq"), "message", F.when(F.col("part") == 0, "message").otherwise("delta").alias("kind"), "role", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

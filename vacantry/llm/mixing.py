@@ -69,6 +69,11 @@ def spread(rows: DataFrame) -> DataFrame:
     return bands.groupBy("group").agg(listed.alias("kinds")).select("group", F.transform("kinds", lambda k: F.struct(k["q"].alias("q"), (k["c"] / total).alias("w"))).alias("kinds"))
 
 
+def below(order: str) -> Column:
+    """About the share of a source's keys below the key ``order``, with the source's ``kinds``."""
+    return F.aggregate("kinds", F.lit(0.0), lambda s, k: s + k["w"] * (1 - F.exp(-k["q"] * F.col(order))))
+
+
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: list[str] | None = None) -> DataFrame:
     """Take each source up to its target.
 
@@ -100,8 +105,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int
         goal = F.broadcast(goal)
     # the slots of the keys' range: about the share of the source's keys below the key, which rises with it
     slots = F.greatest(F.lit(1), F.ceil(F.col("n") / SLOT_ROWS))
-    below = F.aggregate("kinds", F.lit(0.0), lambda s, k: s + k["w"] * (1 - F.exp(-k["q"] * F.col("order"))))
-    rows = rows.join(goal, "group").withColumn("slot", F.least(F.floor(below * slots), slots - 1).cast("long")).drop("kinds")
+    rows = rows.join(goal, "group").withColumn("slot", F.least(F.floor(below("order") * slots), slots - 1).cast("long")).drop("kinds")
     sums = rows.groupBy("group", "slot").agg(F.sum("size").alias("in_slot"))
     base = sums.select("group", "slot", (F.sum("in_slot").over(Window.partitionBy("group").orderBy("slot")) - F.col("in_slot")).alias("base"))
     order = Window.partitionBy("group", "slot").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

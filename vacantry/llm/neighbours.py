@@ -30,6 +30,8 @@ TABLES, HASHES, WIDTH = 4, 20, 2.0
 EVEN_BUCKET = 200
 #: Queries on which recall is measured, the recall among them that is enough, and buckets of a table visited at most.
 MEASURED, RECALL, PROBES = 64, 0.97, 128
+#: Vectors that tell how near a query's neighbours are at least; nothing below that is carried on.
+FLOOR_VECTORS = 4096
 NEAREST, QUERY_STEP = 20, 20
 #: Vectors of one bucket that a task compares with queries at once; larger buckets are dealt into parts.
 PART = 4096
@@ -169,21 +171,31 @@ def visited(place: np.ndarray, t: int, hashes: int, count: int) -> np.ndarray:
     return cells.astype(np.int64) + np.array(perturbations(own - cells, min(count, 3**hashes)))
 
 
-def probes(queries: DataFrame, layers: dict[int, tuple[float, int]], count: int) -> DataFrame:
-    """``t, key, id, v``: the ``count`` buckets of each table that each query visits, in every layer."""
+def floors(x: np.ndarray, some: np.ndarray, nearest: int) -> np.ndarray:
+    """Scores below which nothing can be among each query's ``nearest``, as so many of ``some`` vectors reach them."""
+    if len(some) < nearest:
+        return np.full(len(x), -np.inf)
+    best = np.partition(x @ some.T, -nearest, axis=1)[:, -nearest]
+    return best - SLACK * np.maximum(1, np.abs(best))
+
+
+def probes(queries: DataFrame, layers: dict[int, tuple[float, int]], count: int, some: np.ndarray, nearest: int) -> DataFrame:
+    """``t, key, id, v, floor``: the ``count`` buckets of each table that each query visits, in every layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            places, ids = query_places(stack(batch.column(1))), batch.column(0).to_numpy()
+            x, ids = stack(batch.column(1)), batch.column(0).to_numpy()
+            places, low = query_places(x), floors(x, some, nearest)
             for layer, (_, hashes) in layers.items():
                 for t in range(TABLES):
                     keys = [layer_keys(bucket_key(visited(p, t, hashes, count)), np.array(layer)) for p in places]
                     many = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-                    yield frame(np.full(len(many), t), np.concatenate(keys), ids[many], batch.column(1).take(pa.array(many)))
+                    found = frame(np.full(len(many), t), np.concatenate(keys), ids[many], batch.column(1).take(pa.array(many)))
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(low[many])], names=[*found.schema.names, "floor"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, entry(queries))
+    return queries.select("vec_id", "v").mapInArrow(run, f"{entry(queries)}, floor double")
 
 
 def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int, tuple[float, int]], int]:
@@ -217,16 +229,14 @@ def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int,
     return layers, min(need, PROBES)
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the places of its ``nearest`` vectors, by exact score, ties to the smaller id."""
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, nearest: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the places of its ``nearest`` vectors that reach its floor, by exact score, ties to the smaller id."""
     rows, places, scores = [], [], []
     for k in range(0, len(q), 256):
         s = q[k : k + 256] @ x.T
+        near = s >= floor[k : k + 256, None]
         if s.shape[1] > nearest:
-            floor = np.partition(s, -nearest, axis=1)[:, -nearest] - SLACK
-            near = s >= floor[:, None]
-        else:
-            near = np.ones(s.shape, bool)
+            near &= s >= (np.partition(s, -nearest, axis=1)[:, -nearest] - SLACK)[:, None]
         for i in range(len(s)):
             at = np.flatnonzero(near[i])
             exact = (x[at] * q[k + i]).sum(axis=1)
@@ -242,7 +252,8 @@ def compare(entries: pa.Table, asked: pa.Table, nearest: int) -> pa.Table:
     if entries.num_rows == 0 or asked.num_rows == 0:
         return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     ids, queries = entries["id"].to_numpy(), asked["id"].to_numpy()
-    rows, places, scores = best_of(stack(asked["v"]), stack(entries["v"]), ids, nearest)
+    floor = asked["floor"].to_numpy() if "floor" in asked.column_names else np.full(len(queries), -np.inf)
+    rows, places, scores = best_of(stack(asked["v"]), stack(entries["v"]), ids, nearest, floor)
     return pa.table({"query": queries[rows], "vec_id": ids[places], "score": scores})
 
 
@@ -277,11 +288,13 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     asked = vectors.where(F.col("vec_id") % step == 0)
     first = written(asked.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n"), "ann-queries")
     layers, count = settings(first, kept, nearest)
+    some = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FLOOR_VECTORS).select(F.transform("v", lambda x: x.cast("double")).alias("v")).collect()
+    low = np.array([r["v"] for r in some], float) if some else np.zeros((0, 1))
     entries = written(index(kept, layers), "ann-index")
     # large buckets are dealt into parts, and their visitors go to each part
     parts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = entries.join(parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    visits = probes(first, layers, count).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    visits = probes(first, layers, count, low, nearest + 1).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     names = ["t", "key", "part"]
     found = dealt.groupBy(names).cogroup(visits.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

@@ -450,15 +450,18 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids", mode
     return coded.withColumn("decoded", text_of(F.col(ids_col)))
 
 
+def digests() -> list[Column]:
+    """Of ``ids`` (as written with commas) and ``decoded``."""
+    return [F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: pieces, a digest of the ids (as written with commas) and of the decoded text."""
+    """Per document: pieces, a digest of the ids and of the decoded text."""
     found = encode(table(spark, sf_dir, "documents"), decoding=True)
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), *digests())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as ids: one row for each row of the mix."""
-    found = encode(docs)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    """The corpus as ids, with digests of them and of the text that they decode to: one row for each row of the mix."""
+    found = encode(docs, decoding=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", *digests())

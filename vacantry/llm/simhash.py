@@ -30,6 +30,11 @@ BUCKET, PARTINGS = 64, 2
 VERIFY_COST = 0.05
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: The pipeline's stage: words of a shingle, differing bits of candidates, and the least share of common shingles of copies.
+STAGE_SHINGLE, STAGE_DISTANCE, SIMILAR = 5, 6, 0.8
+#: Documents of one class that a task compares with the one that stays.
+SALT_ROWS = 512
+KEYS = ["path", "k0", "k1", "k2"]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -183,16 +188,16 @@ def parted(bits: list[int], parts: int) -> list[list[int]]:
 
 
 def meetings(probed: DataFrame, name: str) -> DataFrame:
-    """``path, key, fp, own, n``: probed rows whose bucket has several, of which one at least is at home (``own``)."""
-    sizes = probed.groupBy("path", "key").agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").drop("home")
-    return written(probed.join(sizes, ["path", "key"]), name)
+    """``KEYS, fp, own, n``: probed rows whose bucket has several, of which one at least is at home (``own``)."""
+    sizes = probed.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").drop("home")
+    return written(probed.join(sizes, KEYS), name)
 
 
 def verified(met: DataFrame, distance: int) -> DataFrame:
     """``a, b``: the pairs of each bucket within the distance, by slices of BUCKET fingerprints against all."""
-    lists = met.groupBy("path", "key").agg(F.collect_list(F.struct("fp", "own")).alias("xs"))
+    lists = met.groupBy(*KEYS).agg(F.collect_list(F.struct("fp", "own")).alias("xs"))
     sliced = lists.select("xs", F.explode(F.sequence(F.lit(1), F.size("xs"), F.lit(BUCKET))).alias("at"))
-    near = lambda x, y: (x["own"] | y["own"]) & (x["fp"] < y["fp"]) & (differing(x["fp"], y["fp"]) <= distance)
+    near = lambda x, y: (x["fp"] < y["fp"]) & (differing(x["fp"], y["fp"]) <= distance) & (x["own"] | y["own"])
     pairs = F.flatten(
         F.transform(F.slice("xs", F.col("at"), BUCKET), lambda x: F.transform(F.filter("xs", lambda y: near(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b"))))
     )
@@ -205,7 +210,9 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
     for k, (group, threshold) in enumerate(plan(prints, distance)):
         own = F.col("fp").bitwiseAND(F.lit(mask(group)))
         changes = F.expr(f"explode(array({', '.join(f'{f}L' if f > -(1 << 63) else '(-9223372036854775807L - 1L)' for f in flips(group, threshold))}))").alias("f")
-        probes.append(prints.select("fp", changes).select(F.lit(k).alias("path"), F.array(own.bitwiseXOR(F.col("f"))).alias("key"), (F.col("f") == 0).alias("own"), "fp"))
+        none = F.lit(0).cast("long")
+        key = own.bitwiseXOR(F.col("f")).alias("k0")
+        probes.append(prints.select("fp", changes).select(F.lit(k).alias("path"), key, none.alias("k1"), none.alias("k2"), (F.col("f") == 0).alias("own"), "fp"))
         rest[k] = [b for b in range(BITS) if b not in group]
     probed = probes[0]
     for more in probes[1:]:
@@ -223,9 +230,10 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
             groups = parted(bits, distance + 1)
             masks.append(F.when(F.col("path") == path, F.array(*(F.lit(mask(g)) for g in groups))))
             inner |= {path * (distance + 1) + j: [b for b in bits if b not in g] for j, g in enumerate(groups)}
-        split = crowded.select("path", "key", "own", "fp", F.posexplode(F.coalesce(*masks)).alias("j", "m"))
-        key = F.concat("key", F.array(F.col("fp").bitwiseAND(F.col("m")))).alias("key")
-        met, rest = meetings(split.select((F.col("path") * (distance + 1) + F.col("j")).alias("path"), key, "own", "fp"), "simhash-parted"), inner
+        split = crowded.select(*KEYS, "own", "fp", F.posexplode(F.coalesce(*masks)).alias("j", "m"))
+        part, column = F.col("fp").bitwiseAND(F.col("m")), f"k{parting + 1}"
+        split = split.withColumn(column, part).withColumn("path", F.col("path") * (distance + 1) + F.col("j"))
+        met, rest = meetings(split.select(*KEYS, "own", "fp"), "simhash-parted"), inner
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -250,13 +258,48 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def shingles(text: str | None) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[k : k + STAGE_SHINGLE]) for k in range(max(1, len(words) - STAGE_SHINGLE + 1))}
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """``key`` of the rows of ``key, own, other`` (two texts) that share SIMILAR of all their shingles at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, last, known = [], None, shingles(None)
+            for own, other in zip(batch.column(1), batch.column(2).to_pylist()):
+                if other != last:
+                    last, known = other, shingles(other)
+                mine = shingles(own.as_py())
+                both = len(mine & known)
+                found.append(both >= SIMILAR * (len(mine) + len(known) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found, pa.bool_()))], names=["key"])
+
+    return pairs.select("key", "own", "other").mapInArrow(run, "key string")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that with the least id.
+    """Of each class of near copies one row stays, that with the least id, and what is no near copy of it.
 
-    Rows are told apart by id and text; of rows repeated with both, one stays.
-    Columns of any name pass through.
+    Candidates have fingerprints (of STAGE_SHINGLE words) that link within
+    STAGE_DISTANCE bits; a row goes if it shares SIMILAR of its and the staying
+    row's shingles. Rows are told apart by id and text; of rows repeated with both,
+    one stays. Columns of any name pass through.
     """
     key = row_key(F.col("doc_id"), text_digest(F.col("text")))
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), key.alias("key")).alias("id"), "text")
-    found = simhash_dedup(named, "id").select("id.key", (F.col("id.key") == F.col("component_id.key")).alias("kept"))
-    return without(docs, key, found)
+    found = simhash_dedup(named, "id", distance=STAGE_DISTANCE, shingle=STAGE_SHINGLE)
+    found = found.groupBy("id.key", F.col("component_id.key").alias("stays")).agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("times"))
+    found = written(found, "simhash-classes")
+    others = found.where("key <> stays")
+    sizes = others.groupBy("stays").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
+    needed = others.select("key").union(others.select("stays")).distinct()
+    texts = written(docs.select(key.alias("key"), "text").join(needed, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "simhash-texts")
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt")
+    own = others.join(sizes, "stays").join(texts.withColumnRenamed("text", "own"), "key").select("stays", salt, "key", "own")
+    firsts = sizes.select("stays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(texts.select(F.col("key").alias("stays"), F.col("text").alias("other")), "stays")
+    gone = alike(own.join(firsts, ["stays", "salt"])).withColumn("gone", F.lit(True))
+    judged = found.join(gone, "key", "left").select("key", F.col("gone").isNull().alias("kept"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return without(docs, key, judged.select("key", "kept"))
