@@ -17,6 +17,7 @@ from vacantry.operators import normalize as N
 from vacantry.operators import search as Q
 from vacantry.operators import skills as K
 from vacantry.plans import views as W
+from vacantry.shared import shared_dir
 from vacantry.sources import jsonld as J
 from vacantry.sources import postings as S
 
@@ -762,7 +763,7 @@ def stream_ingest(spark, sf_dir):
     from vacantry.schemas import RAW_POSTING
     from vacantry.streaming import store as T
 
-    root = f"{T.shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     d = W.document_postings(spark, sf_dir)
     raw = d.select("seq", "title", "company", "description", "location", "salary", "source_platform", "source_url", "experience_level", F.col("posted_date").cast("string").alias("posted_date"))
     raw.repartition(4, "seq").write.json(f"{root}/landed")

@@ -114,16 +114,3 @@ def tail(spark: SparkSession, path: str) -> DataFrame:
 def read_batches(spark: SparkSession, path: str, schema: str, files_per_batch: int = 50) -> DataFrame:
     """Landed raw postings as a stream of batches of so many files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session may leave it unset."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
