@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 import pytest
 
 from vacantry.llm import html_extract as H
@@ -140,3 +142,43 @@ def test_large_wrappers_are_generalised(monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+class Plain(HTMLParser):
+    """Blocks of text within ``article``, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.run, self.blocks = 0, "", []
+
+    def flush(self):
+        if text := " ".join(self.run.split()):
+            self.blocks.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.run += " "
+        elif tag not in H.INLINE:
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in H.INLINE:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        self.run += data if self.inside else ""
+
+
+def test_query_equals_a_plain_parser(spark, sf):
+    """The given pages all have an article without marked parts in it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in H.query(spark, sf).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        plain = Plain()
+        plain.feed(p.html or "")
+        plain.flush()
+        assert got[p.page_id].text == "\n".join(plain.blocks) and got[p.page_id].n_chars == len(got[p.page_id].text)

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 
 from vacantry.llm import language_id as L
+from vacantry.llm.text_words import PUNCTUATION
 
 
 @pytest.mark.parametrize("name", ["fx", "fg", "fc", "bx", "bg", "bc", "out", "bias"])
@@ -68,3 +71,50 @@ def test_stage_rejects_texts_without_letters(spark, rows, monkeypatch):
     df = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows] + [(500, None, "xx", "s", 0), (501, "42 - 43", None, "s", 7)], "doc_id long, text string, lang string, source string, n_chars long")
     out = L.stage(spark, df, "")
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {i for i, _, _ in rows}
+
+
+def plain_prediction(net, languages, text):
+    """One text, byte by byte: both directions over each word, log probabilities at every position, pooled."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    words = [w.lower().strip(PUNCTUATION).encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    total = np.zeros(len(languages))
+    for word in words:
+        at = []
+        for part in (word[k : k + L.LONGEST] for k in range(0, len(word), L.LONGEST)):
+            states = {}
+            for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+                h = np.zeros(net.hidden)
+                for t in order:
+                    a, k = net.w[d + "x"][part[t]].astype(float), net.hidden
+                    gates = sig(a[: 2 * k] + h @ net.w[d + "g"])
+                    c = np.tanh(a[2 * k :] + (gates[k:] * h) @ net.w[d + "c"])
+                    h = h + gates[:k] * (c - h)
+                    states[d, t] = h
+            for t in range(len(part)):
+                o = np.concatenate([states["f", t], states["b", t]]) @ net.w["out"] + net.w["bias"]
+                at.append(o - o.max() - np.log(np.exp(o - o.max()).sum()))
+        if at:
+            total += np.mean(at, axis=0)
+    total *= min(1, L.EVIDENCE / max(len(words), 1))
+    p = np.exp(total - total.max())
+    p /= p.sum()
+    return (languages[int(p.argmax())], float(p.max())) if any(ch.isalpha() for ch in text or "") else ("und", 0.0)
+
+
+def test_predictions_equal_plain_loops(spark, sf):
+    """The query's predictions, against a version that reads one byte after the other."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net, languages = L.train(docs.where(~L.held_out("doc_id", 4, 2)))
+    got = {r.doc_id: r for r in L.query(spark, sf).collect()}
+    for r in docs.where("length(text) < 3000 OR text IS NULL").orderBy("doc_id").limit(60).collect():
+        lang, score = plain_prediction(net, languages, r.text)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=2e-3)
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    """Labels beyond the bound don't stop the run: the most frequent are learned."""
+    monkeypatch.setattr(L, "STEPS", 10)
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    rows = [(i, f"kolo mika {i}", f"l{i % 6}" if i < 60 else f"l{i % 3}") for i in range(120)]
+    net, languages = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == ["l0", "l1", "l2"] and len(net.w["bias"]) == 3

@@ -1,9 +1,11 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
 
 from vacantry.llm import toxicity as X
+from vacantry.llm.text_words import PUNCTUATION
 
 
 def test_marginals_equal_enumeration():
@@ -68,3 +70,36 @@ def test_held_out_accuracy(spark):
     held = got[got.held_out]
     assert (held.predicted == held.toxic).mean() > 0.93
     assert held[held.toxic == 1].score.mean() > 0.5 > 0.2 > held[held.toxic == 0].score.mean()
+
+
+def plain_score(field, text):
+    """One text, word by word: scaled forward and backward sums, then the document's inputs."""
+    words = [w.lower().strip(PUNCTUATION) for w in X.WORD.findall(text or "")]
+    u = [min(30, max(-30, field.emission(X.hashed([w]))[0])) for w in words]
+    e, m = [(1.0, math.exp(x)) for x in u], np.exp(field.move)
+    forward, back = [], [np.ones(2)]
+    for t, own in enumerate(e):
+        f = np.array(own) * (1 if t == 0 else forward[-1] @ m)
+        forward.append(f / f.sum())
+    for own in e[:0:-1]:
+        b = m @ (np.array(own) * back[0])
+        back.insert(0, b / b.sum())
+    toxic = [(f * b)[1] / (f * b).sum() for f, b in zip(forward, back)]
+    inputs = np.array([1, max(toxic, default=0), math.log1p(sum(toxic)), math.log1p(1000 * sum(toxic) / (20 + len(toxic)))])
+    return 1 / (1 + math.exp(-min(30, max(-30, inputs @ field.doc)))), [k for k, p in enumerate(toxic) if p >= 0.5]
+
+
+def test_scores_equal_plain_loops(spark, sf):
+    """The query's scores and spans, against a version that reads one text after the other."""
+    from vacantry.llm.language_id import held_out
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    field = X.train(docs, labels.where(~held_out("doc_id", 5, 0)))
+    got = {r.doc_id: r for r in X.query(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        score, hits = plain_score(field, text)
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5)
+        at = [m.span() for m in X.WORD.finditer(text or "")]
+        assert [(s["start"], s["start"] + s["length"]) for s in got[i].spans] == [at[k] for k in hits]
