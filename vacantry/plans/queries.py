@@ -63,6 +63,44 @@ def fold_batch(spark, sf_dir):
     )
 
 
+#: Lists of skills from a document's own columns, with spellings that differ by case.
+LISTS_SQL = "lists AS (SELECT dedupe_hash, seq, [source_platform, upper(source_platform), company || (seq % 3)] AS required, [upper(company) || (seq % 3), 'p' || (seq % 5), source_platform] AS preferred FROM doc_postings)"
+
+
+def listed(spark, sf_dir):
+    third = (F.col("seq") % 3).cast("string")
+    required = F.array(F.col("source_platform"), F.upper("source_platform"), F.concat("company", third))
+    preferred = F.array(F.concat(F.upper("company"), third), F.concat(F.lit("p"), (F.col("seq") % 5).cast("string")), F.col("source_platform"))
+    return W.document_postings(spark, sf_dir).withColumns({"required_skills": required, "preferred_skills": preferred})
+
+
+def _united(order: str) -> str:
+    """SQL of the lists of each hash: the first spelling of each value in an order, preferred without what is required."""
+    side = "SELECT dedupe_hash, lower(v) AS k, arg_min(v, ({order}, pos)) AS v, min(({order}, pos)) AS place FROM (SELECT dedupe_hash, seq, unnest({c}) AS v, generate_subscripts({c}, 1) AS pos FROM lists) WHERE v IS NOT NULL GROUP BY 1, 2"
+    return (
+        f"{LISTS_SQL}, req AS ({side.format(order=order, c='required')}), pref AS (SELECT * FROM ({side.format(order=order, c='preferred')}) ANTI JOIN req USING (dedupe_hash, k)) "
+        "SELECT dedupe_hash, coalesce((SELECT string_agg(v, ',' ORDER BY place) FROM req r WHERE r.dedupe_hash = h.dedupe_hash), '') AS required, coalesce((SELECT string_agg(v, ',' ORDER BY place) FROM pref r WHERE r.dedupe_hash = h.dedupe_hash), '') AS preferred FROM (SELECT DISTINCT dedupe_hash FROM lists) h"
+    )
+
+
+def _joined_lists(df: DataFrame) -> DataFrame:
+    return df.select("dedupe_hash", F.array_join("required_skills", ",").alias("required"), F.array_join("preferred_skills", ",").alias("preferred"))
+
+
+@register("folded_skills", f"WITH {W.DOCUMENT_POSTINGS_SQL}, {_united('seq')}")
+def folded_skills(spark, sf_dir):
+    """Lists of the copies of a vacancy as one list each."""
+    return _joined_lists(U.fold_batch(listed(spark, sf_dir)))
+
+
+@register("upserted_skills", f"WITH {W.DOCUMENT_POSTINGS_SQL}, {_united('seq % 3 = 0, seq')}")
+def upserted_skills(spark, sf_dir):
+    """What is stored comes first in a list, then the batch's."""
+    rows = listed(spark, sf_dir)
+    stored = U.fold_batch(rows.where("seq % 3 <> 0")).drop("copies").withColumn("last_seen_at", W.now())
+    return _joined_lists(U.upsert(stored, U.fold_batch(rows.where("seq % 3 = 0")), W.now()))
+
+
 @register(
     "merge_duplicates",
     f"""WITH {W.DOCUMENT_POSTINGS_SQL}, best AS (
@@ -603,6 +641,20 @@ def source_counts(spark, sf_dir):
     return S.source_counts(W.document_postings(spark, sf_dir))
 
 
+@register(
+    "limited_sources",
+    f"""WITH {W.DOCUMENT_POSTINGS_SQL}, r AS (SELECT seq, CASE WHEN seq % 10 <> 0 THEN title END AS title, source_platform, 'https://x.example.com/' || (seq % 97) AS source_url FROM doc_postings),
+once AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source_platform, source_url ORDER BY seq) = 1), few AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY source_platform ORDER BY seq) <= 25)
+SELECT seq, source_platform, CASE WHEN regexp_matches(coalesce(title, ''), '\\S') THEN 'usable' ELSE 'missing title' END AS state FROM few""",
+)
+def limited_sources(spark, sf_dir):
+    """The first 25 addresses of each source, parted into usable rows and others."""
+    d = W.document_postings(spark, sf_dir)
+    raw = d.select("seq", F.when(F.col("seq") % 10 != 0, F.col("title")).alias("title"), "source_platform", F.concat(F.lit("https://x.example.com/"), (F.col("seq") % 97).cast("string")).alias("source_url"))
+    usable, others = S.split_usable(S.limited(raw, cap=25, order="seq"))
+    return S.united(usable.withColumn("state", F.lit("usable")), others.withColumn("state", F.col("reason"))).select("seq", "source_platform", "state")
+
+
 @register(
     "enriched",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Purpose' ELSE 'listed' END AS description, CASE WHEN o_orderkey % 2 = 0 THEN 'senior' END AS experience_level, CASE WHEN o_orderkey % 2 = 0 THEN '2-' || (o_orderkey % 9 + 1) || ' years Senior Level' END AS experience_raw,
