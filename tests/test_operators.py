@@ -217,6 +217,19 @@ def test_failing_batches_are_skipped_and_counted(spark, tmp_path):
     assert rows[2].inserted == 1 and T.totals(store.changes()).first().skipped == 2
 
 
+def test_batches_write_only_their_parts(spark, tmp_path):
+    raw = "seq long, " + RAW_POSTING
+    cols = ["seq", *columns(RAW_POSTING)]
+    make = lambda i, **g: tuple((dict.fromkeys(cols) | {"seq": i, "title": f"t{i}", "source_url": f"https://x/{i}", "source_platform": "B"} | g)[c] for c in cols)
+    store = T.PostingStore(spark, str(tmp_path / "store"), parts=8)
+    store.ingest(spark.createDataFrame([make(i) for i in range(40)], raw), 0, NOW)
+    store.ingest(spark.createDataFrame([make(50, title="t7", source_url="https://y/7")], raw), 1, NOW)
+    assert len(store.versions()) == 8 and sorted(store.versions().values()) == [0] * 7 + [1]
+    store.ingest(spark.createDataFrame([make(60, title=None)], raw), 2, NOW)  # nothing usable
+    rows = {r.title: [s.url for s in r.sources] for r in store.postings().collect()}
+    assert len(rows) == 40 and rows["t7"] == ["https://x/7", "https://y/7"] and sorted(store.versions().values()) == [0] * 7 + [1]
+
+
 def test_graphs_at_any_depth(spark):
     deep = '{"@type": "JobPosting", "title": "deep"}'
     for _ in range(7):

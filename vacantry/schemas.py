@@ -19,8 +19,8 @@ POSTING = (
 #: A row of the store.
 STORED = POSTING + ", last_seen_at timestamp"
 
-#: One ingested batch.
-CHANGE = "batch_id long, at timestamp, received long, inserted long, updated long, merged long, skipped long, changed long, errors array<string>"
+#: One ingested batch; ``parts`` are those of the store that it wrote anew.
+CHANGE = "batch_id long, at timestamp, received long, inserted long, updated long, merged long, skipped long, changed long, errors array<string>, parts array<int>"
 
 
 def names(schema: str) -> list[str]:

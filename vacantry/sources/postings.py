@@ -164,12 +164,12 @@ def sitemap_frontier(entries: DataFrame, roots: DataFrame, patterns: DataFrame,
     sitemap_pattern, url_pattern`` (few rows). An index opens its newest
     ``most_sitemaps`` children whose address fits; addresses count once.
     """
-    first = entries.join(F.broadcast(roots), "path")
-    known = first.join(F.broadcast(patterns), "source")
+    first = entries.join(roots, "path")
+    known = first.join(patterns, "source")
     newest = Window.partitionBy("source").orderBy(F.desc("lastmod"), "pos")
     children = known.where(F.col("is_index") & F.rlike("loc", F.col("sitemap_pattern"))).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most_sitemaps)
     opened = children.select("source", "url_pattern", F.col("loc").alias("path"), F.col("n").alias("opened"))
-    nested = entries.join(F.broadcast(opened), "path").select("source", "url_pattern", "opened", "pos", "loc", "lastmod")
+    nested = entries.join(opened, "path").select("source", "url_pattern", "opened", "pos", "loc", "lastmod")
     flat = known.where(~F.col("is_index")).select("source", "url_pattern", F.lit(0).alias("opened"), "pos", "loc", "lastmod")
     fits = flat.unionByName(nested).where(F.rlike("loc", F.concat(F.lit("^(?:"), "url_pattern", F.lit(")"))))
     order = F.struct(F.col("lastmod").alias("l"), (-F.col("opened")).alias("o"), (-F.col("pos")).alias("p"))

@@ -1,9 +1,10 @@
 """The posting store and its change log, fed by a stream of batches.
 
-Plain Parquet has no upsert, so a batch writes the next snapshot of the store and
-then one row of the change log; the newest logged batch names the snapshot that
-counts. A batch that is already logged is skipped, so replays change nothing, and
-an unfinished snapshot is never read.
+Plain Parquet has no upsert, so the store is divided into parts by hash, and a
+batch writes the parts anew in which it has postings, then one row of the change
+log that names them. The newest logged batch that wrote a part has its rows. A
+batch that is already logged is skipped, so replays change nothing, and what an
+unfinished batch wrote is never read.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ TRIES = 3
 
 
 class PostingStore:
-    """A store under ``path``: ``snapshots/batch=N`` and ``changes/batch=N``."""
+    """A store under ``path``: ``parts/batch=N/part=P`` and ``changes/batch=N``; it keeps the number of parts it began with."""
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int | None = None):
-        self.spark, self.path, self.partitions = spark, path.rstrip("/"), partitions
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
 
     def exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,12 +39,18 @@ class PostingStore:
     def last_batch(self) -> int | None:
         return self.changes().agg(F.max("batch_id")).first()[0]
 
-    def postings(self) -> DataFrame:
-        """The newest complete snapshot; skipped batches have none."""
-        last = self.changes().where("changed IS NOT NULL").agg(F.max("batch_id")).first()[0]
-        if last is None:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/snapshots/batch={last}")
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("dedupe_hash"), F.lit(self.parts)).cast("int")
+
+    def versions(self) -> dict[int, int]:
+        """The batch that last wrote each part; one row for each part at most."""
+        newest = self.changes().select("batch_id", F.explode("parts").alias("part")).groupBy("part").agg(F.max("batch_id").alias("batch"))
+        return {r["part"]: r["batch"] for r in newest.collect()}
+
+    def postings(self, parts: list[int] | None = None) -> DataFrame:
+        """The rows of the store, or of some of its parts."""
+        paths = [f"{self.path}/parts/batch={batch}/part={part}" for part, batch in sorted(self.versions().items()) if parts is None or part in parts]
+        return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
 
     def ingest(self, raw: DataFrame, batch_id: int, now: Column) -> None:
         """Validate, fold and upsert one batch; a batch that is logged is skipped."""
@@ -52,22 +59,24 @@ class PostingStore:
             return
         checked = validate(raw, now).persist()
         try:
-            tagged = upsert(self.postings(), fold_batch(checked.where("reason IS NULL")), now)
-            target = f"{self.path}/snapshots/batch={batch_id}"
-            out = tagged.repartition(self.partitions, "dedupe_hash") if self.partitions else tagged
-            out.write.mode("overwrite").parquet(target)
-            row = counters(checked, self.spark.read.parquet(target)).withColumns({"batch_id": F.lit(batch_id).cast("long"), "at": now})
+            good = checked.where("reason IS NULL")
+            touched = sorted(r[0] for r in good.select(self.part()).distinct().collect())  # the number of parts at most
+            tagged = upsert(self.postings(touched), fold_batch(good), now).withColumn("part", self.part())
+            target = f"{self.path}/parts/batch={batch_id}"
+            tagged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(target)
+            written = self.spark.read.schema(tagged.schema).parquet(target)
+            row = counters(checked, written).withColumns({"batch_id": F.lit(batch_id).cast("long"), "at": now, "parts": F.array(*map(F.lit, touched)).cast("array<int>")})
             row.select(*names(CHANGE)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
         finally:
             checked.unpersist()
 
     def skip(self, raw: DataFrame, batch_id: int, now: Column, reason: str) -> None:
-        """Log a batch that can't be ingested: its rows count as skipped, ``changed`` is null, and the snapshot stays."""
+        """Log a batch that can't be ingested: its rows count as skipped, and the store stays as it is."""
         try:
             n = raw.count()
         except Exception:  # not even readable
             n = 0
-        row = self.spark.createDataFrame([(batch_id, None, n, 0, 0, 0, n, None, [reason])], CHANGE).withColumn("at", now)
+        row = self.spark.createDataFrame([(batch_id, None, n, 0, 0, 0, n, None, [reason], [])], CHANGE).withColumn("at", now)
         row.select(*names(CHANGE)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
 
     def ingest_or_skip(self, raw: DataFrame, batch_id: int, now: Column) -> None:
