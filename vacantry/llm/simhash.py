@@ -7,7 +7,7 @@ a group out. The thresholds are chosen by dynamic programming on the probes they
 need and the candidates they are estimated to bring. Fingerprints are then
 probed by group and verified on all bits. Where many meet in one bucket, they are
 parted again by groups of the bits that they have not met by, in which the same
-principle holds, so any number of them meets in small buckets.
+principle holds. A bucket gives links enough to connect what is near in it.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, row_key, signed, table, text_digest, without, written
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
-#: Fingerprints in one bucket up to which its pairs are verified; larger buckets are parted, so many times at most.
-BUCKET, PARTINGS = 64, 2
+#: Fingerprints in one bucket up to which it is linked at once; larger buckets are parted, so many times at most.
+BUCKET, PARTINGS = 1 << 16, 2
 #: The cost of verifying a candidate, where writing a probe costs 1.
 VERIFY_COST = 0.05
 #: Shingles whose bits are counted at once.
@@ -179,10 +179,6 @@ def flips(bits: list[int], threshold: int) -> list[int]:
     return [signed(f) for f in sorted(found)]
 
 
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def parted(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[len(bits) * k // parts : len(bits) * (k + 1) // parts] for k in range(parts)]
 
@@ -193,19 +189,48 @@ def meetings(probed: DataFrame, name: str) -> DataFrame:
     return written(probed.join(sizes, KEYS), name)
 
 
-def verified(met: DataFrame, distance: int) -> DataFrame:
-    """``a, b``: the pairs of each bucket within the distance, by slices of BUCKET fingerprints against all."""
-    lists = met.groupBy(*KEYS).agg(F.collect_list(F.struct("fp", "own")).alias("xs"))
-    sliced = lists.select("xs", F.explode(F.sequence(F.lit(1), F.size("xs"), F.lit(BUCKET))).alias("at"))
-    near = lambda x, y: (x["fp"] < y["fp"]) & (differing(x["fp"], y["fp"]) <= distance) & (x["own"] | y["own"])
-    pairs = F.flatten(
-        F.transform(F.slice("xs", F.col("at"), BUCKET), lambda x: F.transform(F.filter("xs", lambda y: near(x, y)), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b"))))
-    )
-    return sliced.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links within the distance that connect what all such links would: one less than each connected part has.
+
+    Every fingerprint reached looks for its neighbours among those not yet reached.
+    """
+    links, left = [], prints
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            own = reached.pop()
+            near = np.bitwise_count(left ^ own) <= distance
+            found = left[near]
+            links += [(own, x) for x in found]
+            reached.extend(found)
+            left = left[~near]
+    return links
+
+
+def linked(met: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: links of each bucket, verified on all bits."""
+    lists = met.groupBy(*KEYS).agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            values, starts = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+            starts = starts - starts[0]
+            two = starts[:-1][np.diff(starts) == 2]
+            two = two[np.bitwise_count(values[two] ^ values[two + 1]) <= distance]
+            more = [x for k in np.flatnonzero(np.diff(starts) > 2) for x in forest(values[starts[k] : starts[k + 1]], distance)]
+            pairs = np.concatenate([np.stack([values[two], values[two + 1]], axis=1), np.array(more, np.uint64).reshape(-1, 2)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return lists.mapInArrow(run, "a long, b long")
 
 
 def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: all pairs of distinct fingerprints within ``distance``; a pair may come several times."""
+    """``a, b``: links between distinct fingerprints within ``distance`` that connect all pairs within it.
+
+    Every such pair meets in a bucket, and each bucket gives a forest of its links, so
+    a crowd of near copies doesn't bring all its pairs.
+    """
     probes, rest = [], {}
     for k, (group, threshold) in enumerate(plan(prints, distance)):
         own = F.col("fp").bitwiseAND(F.lit(mask(group)))
@@ -220,7 +245,7 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
     met, found = meetings(probed, "simhash-met"), None
     for parting in range(PARTINGS + 1):
         whole = met if parting == PARTINGS else met.where(F.col("n") <= bucket)
-        found = verified(whole, distance) if found is None else found.unionByName(verified(whole, distance))
+        found = linked(whole, distance) if found is None else found.unionByName(linked(whole, distance))
         crowded = met.where(F.col("n") > bucket).drop("n")
         if parting == PARTINGS or crowded.isEmpty():
             return found
