@@ -183,12 +183,6 @@ def parted(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[len(bits) * k // parts : len(bits) * (k + 1) // parts] for k in range(parts)]
 
 
-def meetings(probed: DataFrame, name: str) -> DataFrame:
-    """``KEYS, fp, own, n``: probed rows whose bucket has several, of which one at least is at home (``own``)."""
-    sizes = probed.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("own").alias("home")).where("n > 1 AND home").drop("home")
-    return written(probed.join(sizes, KEYS), name)
-
-
 def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links within the distance that connect what all such links would: one less than each connected part has.
 
@@ -207,9 +201,9 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def linked(met: DataFrame, distance: int) -> DataFrame:
-    """``a, b``: links of each bucket, verified on all bits."""
-    lists = met.groupBy(*KEYS).agg(F.sort_array(F.collect_list("fp")).alias("fps")).select("fps")
+def linked(probed: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: links of each bucket (of which one fingerprint at least is at home), verified on all bits."""
+    lists = probed.groupBy(*KEYS).agg(F.sort_array(F.collect_list("fp")).alias("fps"), F.max("own").alias("home")).where("home AND size(fps) > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,13 +236,17 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
     probed = probes[0]
     for more in probes[1:]:
         probed = probed.unionByName(more)
-    met, found = meetings(probed, "simhash-met"), None
+    found = None
     for parting in range(PARTINGS + 1):
-        whole = met if parting == PARTINGS else met.where(F.col("n") <= bucket)
-        found = linked(whole, distance) if found is None else found.unionByName(linked(whole, distance))
-        crowded = met.where(F.col("n") > bucket).drop("n")
-        if parting == PARTINGS or crowded.isEmpty():
+        large = None
+        if parting < PARTINGS:  # the buckets above the bound, which most inputs don't have
+            large = written(probed.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") > bucket).drop("n"), "simhash-large")
+            large = None if large.isEmpty() else large
+        links = linked(probed if large is None else probed.join(large, KEYS, "left_anti"), distance)
+        found = links if found is None else found.unionByName(links)
+        if large is None:
             return found
+        crowded = probed.join(large, KEYS, "left_semi")
         # of distance + 1 groups of the other bits, one at least is alike in both of a pair
         masks, inner = [], {}
         for path, bits in rest.items():
@@ -258,7 +256,7 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET
         split = crowded.select(*KEYS, "own", "fp", F.posexplode(F.coalesce(*masks)).alias("j", "m"))
         part, column = F.col("fp").bitwiseAND(F.col("m")), f"k{parting + 1}"
         split = split.withColumn(column, part).withColumn("path", F.col("path") * (distance + 1) + F.col("j"))
-        met, rest = meetings(split.select(*KEYS, "own", "fp"), "simhash-parted"), inner
+        probed, rest = written(split.select(*KEYS, "own", "fp"), "simhash-parted"), inner
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
