@@ -1,6 +1,6 @@
 """The corpus queries that ``__spark_entry__.py`` offers, with SQL where SQL can express them."""
 
-from . import chat, exact_dedup, html_extract, language_id, mixing, neighbours, pieces, simhash, substring_dedup, toxicity
+from . import chat, clustering, embedding_dedup, exact_dedup, html_extract, language_id, mixing, neighbours, phrases, pieces, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_sentencepiece": pieces.query,
     "op10_chat_formatting": chat.query,
+    "op11_clustering": clustering.query,
+    "op12_phrases": phrases.query,
+    "op13_embedding_dedup": embedding_dedup.query,
 }
 
 SQL = {
@@ -20,4 +23,7 @@ SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_clustering": clustering.SQL,
+    "op12_phrases": phrases.SQL,
+    "op13_embedding_dedup": embedding_dedup.SQL,
 }
