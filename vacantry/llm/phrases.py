@@ -34,7 +34,7 @@ from .substring_dedup import mix, word_hashes
 
 LONGEST, LEAST, COVERED, BEST = 3, 10, 50, 2000
 #: Bytes of text that one shard takes (one text at least).
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: 1 for blanks, 2 for what ends a piece; the rest is words.
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = 1
@@ -122,25 +122,31 @@ def shards(docs: DataFrame, lang_col: str, text_col: str, limit: int) -> DataFra
     return docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "shard long, blob binary")
 
 
-def radix(order: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """``order``, stably sorted by ``key[order]``: the key and the place share one number."""
+def radix(order: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """``order``, stably sorted by ``key[order]`` (below ``2**width``): the key and the place share one number."""
     bits = max(1, int(len(order)).bit_length())
-    both = (key[order].astype(np.int64) << bits) | np.arange(len(order))
+    both = key[order].astype(np.int64)
+    both <<= bits
+    both |= np.arange(len(order), dtype=np.int64)
+    if width + bits > 62:  # the key alone is too wide to share
+        return order[np.argsort(key[order], kind="stable")]
     both.sort()
-    return order[both & ((1 << bits) - 1)]
+    both &= (1 << bits) - 1
+    return order[both]
 
 
 class Side:
     """One direction of the index: rows in the order of the ``depth`` words from a place on, and the word before each."""
 
     def __init__(self, seq: np.ndarray, depth: int):
-        order = np.arange(len(seq))
+        width = int(seq.max(initial=0)).bit_length()
+        order = np.arange(len(seq), dtype=np.int32)
         for k in reversed(range(depth)):
-            order = radix(order, np.roll(seq, -k))
+            order = radix(order, np.roll(seq, -k), width)
         self.bwt = np.roll(seq, 1)[order]
-        by = radix(np.arange(len(seq)), self.bwt)
-        self.lf = np.empty(len(seq), np.int64)
-        self.lf[by] = np.arange(len(seq))  # where a row's predecessor lies
+        by = radix(np.arange(len(seq), dtype=np.int32), self.bwt, width)
+        self.lf = np.empty(len(seq), np.int32)
+        self.lf[by] = np.arange(len(seq), dtype=np.int32)  # where a row's predecessor lies
 
 
 @dataclass
@@ -190,15 +196,18 @@ class Index:
         side = self.side(left)
         lo, other = (level.lo, level.lo_back) if left else (level.lo_back, level.lo)
         before = np.concatenate([[0], np.cumsum(level.n)])
-        owner = np.repeat(np.arange(len(level.n)), level.n)
-        rows = np.arange(before[-1]) - before[owner] + lo[owner]
-        word = side.bwt[rows]
-        order = radix(radix(np.arange(len(rows)), word), owner)
-        owner, word, rows = owner[order], word[order], rows[order]
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])[: len(rows)])
+        owner = np.repeat(np.arange(len(level.n), dtype=np.int32), level.n)
+        rows = np.repeat((lo - before[:-1]).astype(np.int32), level.n)
+        rows += np.arange(len(rows), dtype=np.int32)
+        wide = int(self.seq.max(initial=0)).bit_length()
+        key = owner.astype(np.int64) << wide
+        key |= side.bwt[rows]
+        order = radix(np.arange(len(rows), dtype=np.int32), key, wide + len(level.n).bit_length())
+        key, rows = key[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(rows)])
         n = np.diff(np.concatenate([first, [len(rows)]]))
-        own, new = owner[first], word[first]
-        lo, other = side.lf[rows[first]], other[own] + first - before[own]  # smaller words come before
+        own, new = key[first] >> wide, (key[first] & ((1 << wide) - 1)).astype(np.int32)
+        lo, other = side.lf[rows[first]].astype(np.int64), other[own] + first - before[own]  # smaller words come before
         keep = new > 0
         if known is not None and len(keep):
             at = (known.lo if left else known.lo_back), known.n
@@ -221,9 +230,19 @@ def levels(shard: Shard, marks: dict[int, np.ndarray], longest: int) -> Iterator
         yield level
 
 
+def word_keys(words: pa.Array) -> np.ndarray:
+    """A 64-bit number of each (never empty) word: a polynomial of its bytes. Words may share one; sums only grow by that."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    if len(words) == 0:
+        return np.zeros(0, np.uint64)
+    data, starts, size = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], np.diff(offsets)
+    power = np.cumprod(np.full(size.max(), 0x9E3779B97F4A7C15, np.uint64))
+    return np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(starts, size)], starts)
+
+
 def hashes(shard: Shard, level: Level) -> np.ndarray:
     """A 64-bit hash of each phrase and its language."""
-    word = word_hashes(shard.words, 1)[0]
+    word = word_keys(shard.words)
     out = word_hashes(shard.langs, 2)[0][level.words[:, 0] - 1]
     for k in range(level.words.shape[1]):
         out = mix(out, word[level.words[:, k] - 1], k + 1)
