@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -803,6 +804,66 @@ def extracted_lists(spark, sf_dir):
     return K.canonicalise_by_extraction(rows, K.alias_table(spark, K.POSTING_SKILLS), "id", "values").select("id", F.array_join("skills", ",").alias("skills"))
 
 
+LANDED_SQL = f"""WITH {W.DOCUMENT_POSTINGS_SQL}, landed AS (
+  SELECT * FROM (SELECT * REPLACE (trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title), seq % 4 AS batch FROM doc_postings) WHERE title <> ''
+)"""
+
+
+def landed(spark, sf_dir):
+    """Documents as raw postings."""
+    d = W.document_postings(spark, sf_dir)
+    return d.select("seq", "title", "company", "description", "location", "salary", "source_platform", "source_url", "experience_level", F.col("posted_date").cast("string").alias("posted_date"))
+
+
+def _fed_store(spark, batches):
+    """A fresh store that took the batches (frames of raw postings) one by one, and was compacted."""
+    from pyspark.sql.types import StructType
+
+    from vacantry.schemas import RAW_POSTING
+    from vacantry.streaming import store as T
+
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store = T.PostingStore(spark, f"{root}/store")
+    for batch, raw in enumerate(batches):
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(RAW_POSTING) if f.name not in raw.columns}
+        store.ingest(raw.withColumns(missing), batch, W.now())
+        yield root, store
+        store.compact()
+        store.vacuum()
+
+
+@register(
+    "store_batches",
+    LANDED_SQL + """ SELECT dedupe_hash, arg_min(seq, (batch, seq)) AS seq, arg_min(salary, (batch, seq)) FILTER (salary IS NOT NULL) AS salary, min(posted_date) AS posted_date,
+  coalesce(arg_min(location, (batch, seq)) FILTER (location <> 'Nepal'), 'Nepal') AS location, count(DISTINCT source_url) AS n_sources FROM landed GROUP BY dedupe_hash""",
+)
+def store_batches(spark, sf_dir):
+    """Documents in four batches, upserted into a store that is compacted and vacuumed after each."""
+    raw = landed(spark, sf_dir)
+    *_, (_, store) = _fed_store(spark, [raw.where(F.col("seq") % 4 == k) for k in range(4)])
+    return store.postings().select("dedupe_hash", "seq", "salary", "posted_date", "location", F.size("sources").cast("long").alias("n_sources"))
+
+
+@register(
+    "change_feed",
+    LANDED_SQL + """, firsts AS (SELECT dedupe_hash, min(batch) AS first FROM landed GROUP BY 1
+), counts AS (
+  SELECT batch AS batch_id, count(DISTINCT dedupe_hash) FILTER (first = batch) AS inserted, count(DISTINCT dedupe_hash) FILTER (first < batch) AS updated,
+         count(*) - count(DISTINCT dedupe_hash) FILTER (first = batch) AS merged FROM landed JOIN firsts USING (dedupe_hash) GROUP BY 1
+)
+SELECT *, sum(inserted) OVER (ORDER BY batch_id)::BIGINT AS all_inserted, sum(updated) OVER (ORDER BY batch_id)::BIGINT AS all_updated, sum(merged) OVER (ORDER BY batch_id)::BIGINT AS all_merged FROM counts""",
+)
+def change_feed(spark, sf_dir):
+    """What a subscriber is told of four batches by a stream that is started anew after each two."""
+    from vacantry.streaming import store as T
+
+    raw = landed(spark, sf_dir)
+    for k, (root, _) in enumerate(_fed_store(spark, [raw.where(F.col("seq") % 4 == k) for k in range(4)])):
+        if k % 2 == 1:
+            T.follow(spark, f"{root}/store", "desk", f"{root}/told", f"{root}/position")
+    return spark.read.schema(T.TOLD).parquet(f"{root}/told").drop("subscriber", "at")
+
+
 @register(
     "stream_ingest",
     f"""WITH {W.DOCUMENT_POSTINGS_SQL} SELECT count(*) AS received, count(DISTINCT dedupe_hash) FILTER (title <> '') AS stored, count(*) FILTER (title = '') AS skipped, count(DISTINCT source_url) FILTER (title <> '') AS sources
@@ -810,15 +871,11 @@ FROM (SELECT * REPLACE (trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title)
 )
 def stream_ingest(spark, sf_dir):
     """Documents landed as JSON in batches, streamed into a fresh store; totals of the log and of the store."""
-    import uuid
-
     from vacantry.schemas import RAW_POSTING
     from vacantry.streaming import store as T
 
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    d = W.document_postings(spark, sf_dir)
-    raw = d.select("seq", "title", "company", "description", "location", "salary", "source_platform", "source_url", "experience_level", F.col("posted_date").cast("string").alias("posted_date"))
-    raw.repartition(4, "seq").write.json(f"{root}/landed")
+    landed(spark, sf_dir).repartition(4, "seq").write.json(f"{root}/landed")
     store = T.PostingStore(spark, f"{root}/store")
     store.stream(T.read_batches(spark, f"{root}/landed", "seq long, " + RAW_POSTING, 2), f"{root}/checkpoint", W.now())
     log = store.changes().agg(F.sum("received").alias("received"), F.sum("skipped").alias("skipped"))
