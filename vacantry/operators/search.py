@@ -6,20 +6,22 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantry.functions import classify as C
 from vacantry.functions.dates import is_expired, is_open
+from vacantry.functions.stem import WHOLE_WORDS, stem
 from vacantry.functions.text import all_sources, text
 
 DEFAULT_LIMIT, MOST_LIMIT = 20, 100
 #: Weights of the fields in keyword relevance.
-WEIGHTS = {"title": 10, "required_skills": 5, "company": 4, "description": 1}
+WEIGHTS = {"title": 10, "company": 5, "required_skills": 4, "description": 1}
 #: Words that keyword search leaves out.
-STOP_WORDS = tuple(
-    "a an and are as at be but by for from has have he her his i if in into is it its my no not of on or our she so such that the their then there these they this to was we were will with you your".split()
-)
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i", "if", "in", "into", "is", "it", "its", "my", "no", "not", "of", "on", "or", "our",
+    "she", "so", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "we", "were", "will", "with", "you", "your",
+)
 TOKEN_GAP = r"[^\p{L}\p{N}+#.]+"
 
 
@@ -91,18 +93,36 @@ def keyword_terms(keyword: str) -> list[str]:
     return sorted({t for t in re.split(r"[^\w+#.]+|_", keyword.lower()) if t and t not in STOP_WORDS})
 
 
+def stemmed_terms(spark: SparkSession, keyword: str) -> list[str]:
+    """The stems of a keyword's terms, each once."""
+    terms = keyword_terms(keyword)
+    rows = spark.createDataFrame([(t,) for t in terms], "term string").select(stem(F.col("term"))).distinct().collect() if terms else []
+    return sorted(r[0] for r in rows)
+
+
+def field_text(name: str) -> Column:
+    return F.array_join(F.coalesce(name, F.array().cast("array<string>")), " ") if name == "required_skills" else F.col(name)
+
+
 def relevance(terms: list[str]) -> Column:
-    """Sum over fields of weight times occurrences of any term; 0 if none occurs."""
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    parts = []
-    for name, weight in WEIGHTS.items():
-        body = F.array_join(F.coalesce("required_skills", F.array().cast("array<string>")), " ") if name == "required_skills" else F.col(name)
-        parts.append(F.size(F.filter(tokens(body), lambda t: F.array_contains(wanted, t))) * weight)
-    return sum(parts[1:], parts[0])
+    """Sum over fields of weight times occurrences of words with any of the stems; 0 if there are none.
+
+    Stems are computed only of words that begin like one: a stem and its words share
+    two letters, or the word is one of those that the stemmer knows as a whole.
+    """
+    if not terms:
+        return F.lit(0)
+    alike = sorted({t[:2] for t in terms})
 
+    def hit(t: Column) -> Column:
+        near = F.substring(t, 1, 2).isin(*alike) | t.isin(*WHOLE_WORDS)
+        return F.when(near, stem(t).isin(*terms)).otherwise(False)
 
-def filtered(postings: DataFrame, spec: SearchSpec, now: Column) -> DataFrame:
-    """The postings that match, with ``score`` (0 without a keyword)."""
+    return sum((F.size(F.filter(tokens(field_text(name)), hit)) * weight for name, weight in WEIGHTS.items()), F.lit(0))
+
+
+def filtered(postings: DataFrame, spec: SearchSpec, now: Column, scored: bool = False) -> DataFrame:
+    """The postings that match, with ``score`` (0 without a keyword); ``scored`` postings have it already."""
     out = postings
     for name, value in (("location", spec.location), ("company", spec.company)):
         if value:
@@ -119,8 +139,10 @@ def filtered(postings: DataFrame, spec: SearchSpec, now: Column) -> DataFrame:
         out = out.where(F.arrays_overlap(have, F.array(*map(F.lit, spec.skills))))
     if not spec.include_expired:
         out = out.where(is_open(F.col("deadline"), now))
+    if scored:
+        return out
     if spec.keyword:
-        return out.withColumn("score", relevance(keyword_terms(spec.keyword))).where("score > 0")
+        return out.withColumn("score", relevance(stemmed_terms(postings.sparkSession, spec.keyword))).where("score > 0")
     return out.withColumn("score", F.lit(0))
 
 
@@ -133,9 +155,13 @@ def order_of(spec: SearchSpec) -> list[Column]:
     }[spec.sort]
 
 
+def paged(rows: DataFrame, spec: SearchSpec) -> DataFrame:
+    return rows.orderBy(*order_of(spec)).offset((spec.page - 1) * spec.limit).limit(spec.limit)
+
+
 def search(postings: DataFrame, spec: SearchSpec, now: Column) -> DataFrame:
     """One page, in order. Planned as a top-k: no full sort."""
-    return filtered(postings, spec, now).orderBy(*order_of(spec)).offset((spec.page - 1) * spec.limit).limit(spec.limit)
+    return paged(filtered(postings, spec, now), spec)
 
 
 def page_info(postings: DataFrame, spec: SearchSpec, now: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantry.functions import classify as C
 from vacantry.functions import dates as D
+from vacantry.functions import stem as P
 from vacantry.functions import text as X
 from vacantry.operators import cv as V
 from vacantry.operators import match as M
@@ -204,20 +205,75 @@ def search_skills(spark, sf_dir):
     return Q.filtered(W.postings(spark, sf_dir), spec, W.now()).select("dedupe_hash", F.size("required_skills").alias("n_required"), F.size("preferred_skills").alias("n_preferred"))
 
 
-@register(
-    "keyword_search",
-    f"""WITH {W.DOCUMENT_POSTINGS_SQL}, hits AS (SELECT dedupe_hash, seq, posted_date,
-  10 * len(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda t: t IN ('nation', 'ingion', 'erst', 'die.', 'nicht')))
-  + 4 * len(list_filter(string_split_regex(lower(company), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda t: t IN ('nation', 'ingion', 'erst', 'die.', 'nicht')))
-  + len(list_filter(string_split_regex(lower(description), '[^\\p{{L}}\\p{{N}}+#.]+'), lambda t: t IN ('nation', 'ingion', 'erst', 'die.', 'nicht'))) AS score FROM doc_postings)
-SELECT seq, score::INT AS score FROM hits WHERE score > 0""".replace("\\\\", "\\"),
-)
+#: The stemmer's steps over distinct words ``t``, one select each; words of other characters are their own stems.
+def _stems_sql(words: str) -> str:
+    v, c, short = "[aeiouy]", "[^aeiouy]", P.SHORT_SYLLABLE
+    n, ends = "length(w)", lambda suffixes: f"regexp_extract(w, '({'|'.join(suffixes)})$')"
+    case = lambda table: "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " ELSE '' END"
+    step = lambda source, suffixes: f"(SELECT *, left(w, {n} - length(s)) AS b FROM (SELECT *, {ends(suffixes)} AS s FROM ({source})))"
+    swap = lambda source, table, region, fits: (
+        f"SELECT t, p1, p2, stop, CASE WHEN NOT stop AND s <> '' AND length(b) >= {region} AND {fits} THEN b || {case(table)} ELSE w END AS w FROM {step(source, table)}"
+    )
+    head = lambda w: f"coalesce(nullif(length(regexp_extract({w}, '^{c}*{v}+{c}')), 0), length({w}))"
+    q = f"SELECT t, regexp_replace(regexp_replace(t, '^y', 'Y'), '({v})y', '\\\\1Y', 'g') AS w FROM ({words}) WHERE regexp_full_match(t, '[a-z]{{3,}}')"
+    q = f"SELECT *, coalesce(nullif(length(regexp_extract(w, '^({'|'.join(P.LONG_PREFIXES)})')), 0), {head('w')}) AS p1 FROM ({q})"
+    q = f"SELECT *, p1 + {head('w[p1 + 1:]')} AS p2 FROM ({q})"
+    q = f"""SELECT t, p1, p2, CASE WHEN w LIKE '%sses' OR (regexp_matches(w, '(ied|ies)$') AND {n} > 4) THEN left(w, {n} - 2) WHEN regexp_matches(w, '(ied|ies)$') THEN left(w, {n} - 1)
+      WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN regexp_matches(w, '{v}.+s$') THEN left(w, {n} - 1) ELSE w END AS w FROM ({q})"""
+    q = f"SELECT *, w IN {P.KEPT_AFTER_PLURAL} AS stop FROM ({q})"
+    q = f"""SELECT t, p1, p2, stop, CASE WHEN stop OR s = '' THEN w WHEN s LIKE 'eed%' THEN CASE WHEN length(b) >= p1 THEN b || 'ee' ELSE w END WHEN NOT regexp_matches(b, '{v}') THEN w
+      WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '{P.DOUBLE}') THEN left(b, length(b) - 1) WHEN length(b) <= p1 AND regexp_matches(b, '{short}') THEN b || 'e' ELSE b END AS w
+      FROM {step(q, ("eedly", "eed", "ingly", "edly", "ing", "ed"))}"""
+    q = f"SELECT t, p1, p2, stop, CASE WHEN stop THEN w ELSE regexp_replace(w, '^(.+{c})[yY]$', '\\\\1i') END AS w FROM ({q})"
+    q = swap(q, P.STEP_2, "p1", "(s <> 'ogi' OR b LIKE '%l') AND (s <> 'li' OR regexp_matches(b, '[cdeghkmnrt]$'))")
+    q = swap(q, P.STEP_3, "p1", "(s <> 'ative' OR length(b) >= p2)")
+    q = swap(q, dict.fromkeys(P.STEP_4, ""), "p2", "(s <> 'ion' OR regexp_matches(b, '[st]$'))")
+    q = f"""SELECT t, CASE WHEN NOT stop AND ((w LIKE '%e' AND ({n} > p2 OR ({n} > p1 AND NOT regexp_matches(left(w, {n} - 1), '{short}')))) OR (w LIKE '%ll' AND {n} > p2)) THEN left(w, {n} - 1) ELSE w END AS w FROM ({q})"""
+    whole = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.WHOLE_WORDS.items())
+    return f"SELECT t, CASE t {whole} ELSE replace(coalesce(w, t), 'Y', 'y') END AS stem FROM ({words}) LEFT JOIN ({q}) USING (t)"
+
+
+#: Words whose stems the given texts have in many forms, words that stand as written, a stop word.
+KEYWORD = "nations ingions Ersting thing aning die. nicht the"
+
+
+def _scored_sql(source: str, key: str) -> str:
+    """CTEs up to ``scored``: the relevance of KEYWORD by ``key``; fields without text don't count."""
+    terms = ", ".join(f"('{t}')" for t in Q.keyword_terms(KEYWORD))
+    gap = "'[^\\p{L}\\p{N}+#.]+'"
+    fields = " UNION ALL ".join(f"SELECT {key}, {weight} AS weight, unnest(string_split_regex(lower({name}), {gap})) AS t FROM {source}" for name, weight in Q.WEIGHTS.items() if name != "required_skills")
+    return f"""tokens AS MATERIALIZED ({fields}), stems AS MATERIALIZED ({_stems_sql("SELECT DISTINCT t FROM (SELECT t FROM tokens UNION ALL SELECT unnest(['" + "', '".join(Q.keyword_terms(KEYWORD)) + "']))")}
+), scored AS (
+  SELECT {key}, sum(weight) AS score FROM tokens JOIN stems USING (t) WHERE t NOT IN {Q.STOP_WORDS} AND stem IN (SELECT stem FROM stems WHERE t IN (SELECT * FROM (VALUES {terms}))) GROUP BY {key}
+)"""
+
+
+@register("keyword_search", f"WITH {W.DOCUMENT_POSTINGS_SQL}, {_scored_sql('doc_postings', 'seq')} SELECT seq, score::INT AS score FROM scored".replace("\\\\", "\\"))
 def keyword_search(spark, sf_dir):
-    """All documents with any of five terms and their relevance."""
-    spec = Q.plan_search({"q": "nation ingion Erst die. nicht the"})
+    """All documents with words of the stems of some terms, and their relevance."""
+    spec = Q.plan_search({"q": KEYWORD})
     return Q.filtered(W.document_postings(spark, sf_dir), spec, W.now()).select("seq", "score")
 
 
+@register(
+    "indexed_search",
+    f"""WITH {W.DOCUMENT_POSTINGS_SQL}, landed AS (SELECT * REPLACE (trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, left(description, {U.DESCRIPTION_CHARS}) AS description), seq % 4 AS batch FROM doc_postings
+), whole AS (
+  SELECT dedupe_hash, arg_min(company, (batch, seq)) AS company, min(posted_date) AS posted_date, arg_min(title, (-length(description), batch, seq)) AS title, arg_min(description, (-length(description), batch, seq)) AS description
+  FROM landed WHERE title <> '' GROUP BY dedupe_hash
+), {_scored_sql('whole', 'dedupe_hash')} SELECT dedupe_hash, title, score::INT AS score FROM whole JOIN scored USING (dedupe_hash) ORDER BY score DESC, posted_date DESC, dedupe_hash LIMIT 100""".replace("\\\\", "\\"),
+)
+def indexed_search(spark, sf_dir):
+    """The best page for a keyword from a store's index, after four batches, of which two are merged."""
+    from vacantry.streaming.text_index import TextIndex
+
+    raw = landed(spark, sf_dir)
+    for k, (_, store) in enumerate(_fed_store(spark, [raw.where(F.col("seq") % 4 == k) for k in range(4)])):
+        TextIndex(store).refresh()
+    page = TextIndex(store).search(Q.plan_search({"q": KEYWORD, "limit": "100"}), W.now())
+    return page.select("dedupe_hash", "title", "score")
+
+
 @register("facet_counts", f"WITH {W.POSTINGS_SQL} SELECT 'job_type' AS facet, job_type AS value, count(*) AS n FROM postings GROUP BY 2 UNION ALL SELECT 'source_platform', source_platform, count(*) FROM postings GROUP BY 2")
 def facet_counts(spark, sf_dir):
     return Q.counts_by_each(W.postings(spark, sf_dir), "job_type", "source_platform")
