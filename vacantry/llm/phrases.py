@@ -34,7 +34,7 @@ from .substring_dedup import mix, word_hashes
 
 LONGEST, LEAST, COVERED, BEST = 3, 10, 50, 2000
 #: Bytes of text that one shard takes (one text at least).
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 #: 1 for blanks, 2 for what ends a piece; the rest is words.
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = 1
@@ -60,7 +60,7 @@ def shard_of(langs: pa.Array, texts: pa.Array) -> Shard:
     letter = kind == 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]])))
     begin, end = edge[0::2], edge[1::2]
-    breaks = np.cumsum(kind == 2)
+    breaks = np.cumsum(kind == 2, dtype=np.int32)
     ends = np.concatenate([np.diff(breaks[begin]) > 0, [True]])[: len(begin)]  # a piece ends behind the word
     starts = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy() + 1)])
     lang = pc.fill_null(langs.cast(pa.large_string()), "und").dictionary_encode()
