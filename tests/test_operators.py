@@ -348,3 +348,16 @@ def test_normalize(spark, aliases):
     r = out[0]
     assert (r.title, r.company, r.description, r.required_skills, r.preferred_skills, r.job_type, r.location, r.apply_url) == ("Intern", "Not disclosed", "Know Python.\n\nPreferred: docker", ["Python"], ["Docker"], "internship", "Nepal", None)
     assert str(r.deadline) == "2026-03-05 00:00:00" and str(r.posted_date) == "2026-07-15 00:00:00"
+
+
+def test_automaton_finds_what_the_join_finds(spark, aliases):
+    """Both ways, on texts of aliases within, before and behind others and odd characters."""
+    rng = random.Random(4)
+    pieces = [a for names in K.POSTING_SKILLS.values() for a in names] + ["c", "java", " ", ".", "+", "#", "x", "é", "İ", "-", "\n", "9"]
+    texts = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", " ", ",", "."]) for _ in range(rng.randrange(60)))) for i in range(300)] + [(300, None), (301, ""), (302, "C++ c# .NET asp.net node.js!")]
+    df = spark.createDataFrame(texts, "i int, t string")
+    rows = lambda hits: sorted(map(tuple, hits.select("i", "canonical", "ord", "pos").collect()))
+    got = rows(K.skill_hits(df, aliases, "i", "t"))
+    assert got == rows(K.joined_hits(df, aliases, "i", "t")) and len(got) > 2000
+    assert {r[1] for r in got if r[0] == 302} == {"C++", "C#", ".NET", "Node.js"}
+    assert "Generate" not in K.skill_hits(df, aliases, "i", "t")._jdf.queryExecution().executedPlan().toString()
