@@ -182,3 +182,46 @@ def test_query_equals_a_plain_parser(spark, sf):
         plain.feed(p.html or "")
         plain.flush()
         assert got[p.page_id].text == "\n".join(plain.blocks) and got[p.page_id].n_chars == len(got[p.page_id].text)
+
+
+NONE = {"root": "", "drop": [], "same": []}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><p>Hello <span class="ad">buy</span> world text.</p><p>Next</p></article>', "Hello world text.\nNext"),
+        ('<article><p>A <a class="social-link">tweet <b>it</b></a> b</p><p>c</p></article>', "A b\nc"),
+        ('<article><p>A <span class="ad">x <span>y</span> z</span> b</p></article>', "A b"),
+        ('<article><p>A <span class="ad">never closed</p><p>b <b>c</b></p></article>', "A\nb c"),
+        ('<article><a class="promo"><div>x</div><p>y</p></a><p>b</p></article>', "b"),
+        ('<article><p>a <img class="ad"> b <span class="lead">c</span></p></article>', "a b c"),
+        ('<article><div class="commentary">a</div><div class="legal">b</div><div class="share-price">c</div><p class="advent adder sidewalk">d</p></article>', "a\nb\nc\nd"),
+        ('<article><div class="share-buttons">a</div><div class="cookie-notice">b</div><div id="comment-list">c</div><div class="big ad">d</div><p>e</p></article>', "e"),
+    ],
+)
+def test_marked_parts_go_and_nothing_else(page, want):
+    assert H.main_text(page, NONE) == want
+
+
+def test_teasers_beside_the_story_stay_out(spark):
+    """One teaser or several, of another kind of article element than the story; a page of articles keeps them all."""
+    card = lambda i, k: f"<article class='card'><h2>Other {i} {k}</h2><p>Short.</p></article>"
+    story = lambda i: f"<h1>Title {i}</h1><p>{'Words of the story. ' * (i % 3 + 3)}</p>"
+    rows = [(i, "http://t/", f"<main><article>{story(i)}</article>{''.join(card(i, k) for k in range(i % 3))}</main>") for i in range(20)]
+    rows += [(100 + i, "http://l/", f"<main>{card(i, 0)}{card(i, 1)}</main>") for i in range(5)] + [(200, "http://t/", f"<body>{card(9, 9)}</body>")]
+    got = run(spark, rows)
+    for i in range(20):
+        assert got[i] == f"Title {i}\n" + " ".join(["Words of the story."] * (i % 3 + 3))
+    assert got[100] == "Other 0 0\nShort.\nOther 0 1\nShort." and got[200] == "Other 9 9\nShort."
+
+
+def test_given_pages_without_marks(spark, sf):
+    """With all semantic tags and classes gone, the wrapper finds the articles of nearly all pages."""
+    import re
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = {r.page_id: r.text for r in H.query(spark, sf).collect()}
+    bare = lambda html: re.sub(r"<div [^>]*>", "<div>", re.sub(r"<(/?)(?:article|nav|footer|aside|section|main|header)\b[^>]*>", r"<\1div>", html or ""))
+    got = run(spark, [(p.page_id, p.url, bare(p.html)) for p in pages])
+    assert sum(got[i] == want[i] for i in want) > 0.8 * len(want)

@@ -6,12 +6,14 @@ of a host are aligned one after the other into the host's wrapper: what differs
 becomes optional or joins a repeated group. Counts of texts by place tell which
 texts never change.
 
-A page's ``article`` (else ``main``) element holds its article. On pages with
-neither, the wrapper chooses: the article stands in the innermost part that is no
-repeated group and holds most of the changing text; texts that never change and
-places of links are left out. Menus, notices and other parts that are marked as
-such by their tag, role, class or id are left out everywhere; these words are a
-fixed list.
+The wrapper chooses where a host's article stands: in its ``article`` element (else
+``main``; of several, the one that is no repeated group and holds most text, so that
+teasers stay out), and on pages with neither in the innermost part that holds most of
+the changing text. That part is no repeated group, or a group of which one element
+holds nearly all: then the largest of a page's elements is its article. There, texts
+that never change and places of links are left out. Menus, notices and other parts
+that are marked as such by their tag, role, class or id are left out everywhere; these
+words are a fixed list, and a name such as ``share-price`` or ``commentary`` is none.
 
 Skeletons are counted by Spark and merged in a tree whose groups follow from their
 content, so the result does not depend on how rows are dealt to tasks.
@@ -26,6 +28,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -52,13 +55,20 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPES = frozenset("ul ol dl table div article section main body".split())
 ASIDE_TAGS = frozenset("head nav footer aside form button select noscript menu dialog".split())
 ASIDE_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words in class or id, and beginnings of words, that mark what is not the article.
-ASIDE_WORDS = frozenset("ad ads nav menu side foot header masthead banner notice alert popup modal overlay signup login search pager widget toolbar copyright legal disclaimer disqus replies reply respond".split())
-ASIDE_STARTS = ("advert", "comment", "sidebar", "footer", "navig", "navbar", "breadcrumb", "cookie", "consent", "promo", "sponsor", "newsletter", "subscri", "social", "shar", "related", "recommend", "paginat")
+#: Words in class or id that mark what is not the article.
+ASIDE_WORDS = re.compile(
+    r"ads?|nav|menus?|side|foot|header|masthead|banner|notices?|alerts?|popup|modal|overlay|signup|login|search|pager|widgets?|toolbar|copyright|disclaimer|disqus|repl(?:y|ies)|respond"
+    r"|advert\w*|comments?|sidebars?|footers?|navig\w*|navbar\w*|breadcrumbs?|cookies?|consent|promo(?:s|ted|tions?|tional)?|sponsor(?:s|ed|ship)?|newsletters?|subscri\w*|social|shar(?:e|es|ing|er)"
+    r"|related|recommend(?:ed|ations?)?|paginat(?:ion|or)"
+)
+#: Words that may stand beside those in one name and don't change what it marks.
+PLAIN_WORDS = frozenset("area author bar block body bottom box btn button buttons column container content count form group icons inner item items left link links list panel popup right row section slot text thread top unit wrap wrapper".split())
 #: Elements of an article's text, which are no part of a layout.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th details summary address hgroup".split())
 #: A wrapper of more nodes than this forgets their order; no text or place is lost by it.
 LARGE = 1500
+#: Of a repeated group one element is the article if it holds this share of the group's text over all pages.
+LEADS = 0.8
 #: Groups in which a host's skeletons meet before its wrapper is made of them.
 SALTS = 256
 #: Rows and rules that a task holds at once; hosts of a broadcast rule table in bytes; salts of the rows that meet a larger one.
@@ -74,20 +84,28 @@ def signature(tag_text: str) -> tuple[str, str]:
 
 def read_signature(tag_text: str) -> tuple[str, str]:
     name = TAG.match(tag_text)[1].lower()
-    words, aside = [], name in ASIDE_TAGS
+    words, marked, aside = [], False, name in ASIDE_TAGS
     for m in ATTRIBUTE.finditer(tag_text[TAG.match(tag_text).end() :]):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id") and name not in ("html", "body"):  # those tell the page, not the layout
             words += [w for w in re.split(r"[^a-z]+", value) if w]
+            marked |= any(marks(token) for token in value.split())
         elif key == "role":
             aside |= value in ASIDE_ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             aside = True
     if name not in ("article", "main") or "comment" in words or "comments" in words:
-        aside |= any(w in ASIDE_WORDS or w.startswith(ASIDE_STARTS) for w in words)
+        aside |= marked
     return name, name + "".join("." + w for w in sorted(set(words))) + "!" * aside
 
 
+def marks(name: str) -> bool:
+    """Whether a class or id marks what is not the article: each of its words does so, or changes nothing."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    found = [bool(ASIDE_WORDS.fullmatch(w)) for w in words]
+    return any(found) and all(f or w in PLAIN_WORDS for f, w in zip(found, words))
+
+
 known_signature = lru_cache(maxsize=4096)(read_signature)
 
 
@@ -96,6 +114,7 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
     stack: list[tuple[str, str]] = []  # open blocks
     run: list[str] = []
     links, in_link = 0, 0
+    skipping, inside = "", defaultdict(int)  # a marked inline element, and what opened within it
 
     def flush():
         nonlocal run, links
@@ -106,6 +125,8 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
     for m in TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
+            if skipping:
+                continue
             run.append(token)
             links += len(token.strip()) if in_link else 0
             continue
@@ -113,20 +134,32 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
             continue
         name, sig = signature(token)
         closing = token[1] == "/"
+        if skipping:  # up to its end, or that of a block around it
+            if not closing:
+                inside[name] += name not in VOID
+                continue
+            if inside[name]:
+                inside[name] -= 1
+                continue
+            if name != skipping and not any(n == name for n, _ in stack):
+                continue
+            ended, skipping = name == skipping, ""
+            inside.clear()
+            if ended:
+                continue
         if name in INLINE:
             if name == "a":
                 in_link = not closing
             elif name == "br":
                 run.append(" ")
-            if sig[-1] != "!" or closing:
-                continue
+            if sig[-1] == "!" and not closing and name not in VOID:
+                skipping, in_link = name, 0
+                run.append(" ")
+            continue
         if name in VOID:
-            if name not in INLINE:
-                yield from flush()
+            yield from flush()
             continue
         if closing:
-            if name in INLINE and not any(n == name for n, _ in stack):
-                continue
             yield from flush()
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if name == "p" and at is not None and any(n in SCOPES for n, _ in stack[at + 1 :]):
@@ -138,7 +171,7 @@ def stream(page: str) -> Iterator[tuple[str, object]]:
                     yield "close", None
             continue
         yield from flush()
-        if name not in INLINE and stack and stack[-1][0] == "p":  # a block ends an open paragraph
+        if stack and stack[-1][0] == "p":  # a block ends an open paragraph
             stack.pop()
             yield "close", None
         ends = ENDS.get(name, ())
@@ -308,38 +341,78 @@ def tag(sig: str) -> str:
     return sig.rstrip("!").split(".")[0]
 
 
-def places(events: list[tuple[str, object]]) -> Iterator[tuple[str, str, str, int]]:
-    """``path, element, text, links`` of each text that no mark leaves out; the element is ``article``, ``main`` or empty.
+class Found(NamedTuple):
+    """A text that no mark leaves out: the path of its block, the outermost ``article`` (else ``main``) element around it
+    and that element's path, the text, how many of its characters are links, and the block's place among its siblings on each level."""
 
-    A header within an article is part of it.
-    """
-    stack: list[tuple[str, bool, str]] = [("", False, "")]
+    path: str
+    within: str
+    holder: str
+    text: str
+    links: int
+    spot: tuple[int, ...]
+
+
+def places(events: list[tuple[str, object]]) -> Iterator[Found]:
+    """The texts of a page. A header within an article is part of it."""
+    stack: list[tuple[str, bool, str, str, tuple[int, ...]]] = [("", False, "", "", ())]
+    children = [0]
     for kind, what in events:
         if kind == "text":
-            path, out, within = stack[-1]
+            path, out, within, holder, spot = stack[-1]
             if not out:
-                yield path, within, *what
+                yield Found(path, within, holder, *what, spot)
         elif kind == "open":
-            path, out, within = stack[-1]
-            name = tag(what)
+            path, out, within, holder, spot = stack[-1]
+            name, own = tag(what), f"{path} {what}" if path else what
             out = out or what[-1] == "!" or name == "header" and not within
-            within = "article" if "article" in (name, within) else "main" if "main" in (name, within) else ""
-            stack.append((f"{path} {what}" if path else what, out, within))
+            if name == "article" and within != "article" or name == "main" and not within:
+                within, holder = name, own
+            stack.append((own, out, within, holder, (*spot, children[-1])))
+            children[-1] += 1
+            children.append(0)
         else:
             stack.pop()
+            children.pop()
+
+
+def instances(found: list[Found]) -> dict[str, dict[tuple[int, ...], int]]:
+    """Characters outside links of each element of a layout, by path and place."""
+    out: dict[str, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))
+    for f in found:
+        steps = f.path.split()
+        for k in range(1, len(steps) + 1):
+            if tag(steps[k - 1]) in TEXT_TAGS:
+                break
+            out[" ".join(steps[:k])][f.spot[:k]] += len(f.text) - f.links
+    return out
 
 
 def text_key(path: str, text: str) -> str:
     return xxhash.xxh3_128_hexdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
 
 
-def rules(wrapper: list, chars: dict[str, int], links: dict[str, int], fixed: dict[str, tuple[str, int]], pages: int) -> dict:
-    """What extraction needs for pages without an element that holds the article.
+def chosen_articles(chars: dict[str, int], groups: set[str]) -> list[str]:
+    """Of the paths of ``article`` elements those that hold articles: what is repeated, or holds less than half of the most, is a teaser beside a story."""
+    single = {p: n for p, n in chars.items() if p not in groups}
+    most = max(single.values(), default=0)
+    if any(n > most for n in chars.values()):  # a page of many articles
+        return sorted(p for p, n in chars.items() if 2 * n >= max(chars.values()))
+    return sorted(p for p, n in single.items() if 2 * n >= most)
+
 
-    ``chars`` and ``links`` count characters by place, ``fixed`` gives place and
-    characters of the texts that all these pages have. Gives ``root`` (the part that
-    holds the article), ``drop`` (places of links) and ``same`` (fixed texts).
+def rules(wrapper: list, chars: dict[str, int], links: dict[str, int], fixed: dict[str, tuple[str, int]], pages: int, parts: dict[str, tuple[int, int]] | None = None, articles: dict[str, int] | None = None) -> dict:
+    """What extraction needs of a host.
+
+    ``articles`` counts characters by path of ``article`` elements. The rest is of pages
+    without one (nor ``main``): ``chars`` and ``links`` count characters by place, ``fixed``
+    gives place and characters of the texts that all these pages have, ``parts`` by
+    path the characters of each page's largest element there, and of all. Gives
+    ``articles`` (their paths), ``root`` (the part that holds the article), ``single``
+    (paths on the way there of which a page's largest element counts), ``drop`` (places of
+    links) and ``same`` (fixed texts).
     """
+    groups, parts = set(repeated(wrapper)), parts or {}
     drop = {p for p, n in links.items() if 2 * n > chars[p]}
     weight = dict(chars)
     for place, n in fixed.values():
@@ -351,12 +424,19 @@ def rules(wrapper: list, chars: dict[str, int], links: dict[str, int], fixed: di
         steps = place.split() if place not in drop else []
         for k in range(1, len(steps) + 1):
             under[" ".join(steps[:k])] += n
-    groups, root, whole = set(repeated(wrapper)), "", sum(n for p, n in weight.items() if p not in drop)
+    root, single, whole = "", [], sum(n for p, n in weight.items() if p not in drop)
+    rule = {"articles": chosen_articles(articles or {}, groups), "drop": sorted(drop), "same": sorted(fixed)}
+
+    def leads(p: str) -> bool:
+        most, all_ = parts.get(p, (0, 0))
+        return p not in groups or 0 < all_ * LEADS <= most
+
     while True:
-        inner = [p for p in under if p.rpartition(" ")[0] == root and tag(p.rpartition(" ")[2]) not in TEXT_TAGS and p not in groups and 2 * under[p] > whole]
+        inner = [p for p in under if p.rpartition(" ")[0] == root and tag(p.rpartition(" ")[2]) not in TEXT_TAGS and leads(p) and 2 * under[p] > whole]
         if not inner:
-            return {"root": root, "drop": sorted(drop), "same": sorted(fixed)}
+            return rule | {"root": root, "single": single}
         root = inner[0]
+        single += [root] * (root in groups)
 
 
 def host(url: str = "url"):
@@ -367,8 +447,9 @@ FOUND = "host string, kind string, key string, place string, a long, b long, n l
 
 
 def observed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Counts by host, of all its pages: ``w`` skeletons; and of pages without an element that holds the article:
-    ``p`` pages, ``e`` characters by place (``a``, of them ``b`` in links), ``t`` texts by place (``a`` characters each)."""
+    """Counts by host, of all its pages: ``w`` skeletons, ``r`` characters by path of ``article`` elements; and of pages without an
+    element that holds the article: ``p`` pages, ``e`` characters by place (``a``, of them ``b`` in links), ``t`` texts by place
+    (``a`` characters each), ``i`` characters by path of the largest element (``a``) and of all (``b``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str, str], list[int]] = {}
@@ -390,12 +471,17 @@ def observed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 events = list(stream(page.as_py() or ""))
                 add(h, "w", json.dumps(skeleton(events)), "", 0, 0)
                 found = list(places(events))
-                if not any(within for _, within, _, _ in found):
+                for f in found:
+                    if f.within == "article":
+                        add(h, "r", "", f.holder, len(f.text), 0)
+                if not any(f.within for f in found):
                     add(h, "p", "", "", 0, 0)
-                    for path, _, text, links in found:
-                        add(h, "e", "", path, len(text), links)
-                    for path, text in {(path, text) for path, _, text, _ in found}:
+                    for f in found:
+                        add(h, "e", "", f.path, len(f.text), f.links)
+                    for path, text in {(f.path, f.text) for f in found}:
                         add(h, "t", text_key(path, text), path, len(text), 0)
+                    for path, sizes in instances(found).items():
+                        add(h, "i", "", path, max(sizes.values()), sum(sizes.values()))
                 if len(held) > HELD:
                     yield out()
         yield out()
@@ -420,17 +506,18 @@ def infer_wrappers(counts: DataFrame) -> DataFrame:
 
 def host_rules(counts: DataFrame) -> DataFrame:
     """``host, rule`` for each host."""
-    bare = counts.where("kind = 'p'").select("host", F.col("n").alias("bare"))
+    bare = counts.where("kind IN ('p', 'w')").groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "p", F.col("n"))), F.lit(0)).alias("bare"))
     # a text stands on all pages if it is counted as often as they are; the others need not be gathered
-    kept = counts.where("kind IN ('e', 't')").join(bare, "host").where("kind = 'e' OR n = bare").select("host", "kind", "key", "place", "a", "b", "bare")
+    kept = counts.where("kind IN ('e', 't', 'i', 'r')").join(bare, "host").where("kind IN ('e', 'i', 'r') OR n = bare").select("host", "kind", "key", "place", "a", "b", "bare")
 
     def make(w: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        e, t = c[c["kind"] == "e"], c[c["kind"] == "t"]
+        e, t, i, r = (c[c["kind"] == kind] for kind in "etir")
         chars, links = dict(zip(e["place"], e["a"].astype(int))), dict(zip(e["place"], e["b"].astype(int)))
         pages = int(c["bare"].iloc[0]) if len(c) else 0
         # a text's characters were added up over the pages that have it
         fixed = {k: (p, int(n) // pages) for k, p, n in zip(t["key"], t["place"], t["a"])}
-        rule = rules(json.loads(w["key"].iloc[0]), chars, links, fixed, pages)
+        parts = dict(zip(i["place"], zip(i["a"].astype(int).tolist(), i["b"].astype(int).tolist())))
+        rule = rules(json.loads(w["key"].iloc[0]), chars, links, fixed, pages, parts, dict(zip(r["place"], r["a"].astype(int).tolist())))
         return pd.DataFrame({"host": [w["host"].iloc[0]], "rule": [json.dumps(rule)]})
 
     return infer_wrappers(counts).groupBy("host").cogroup(kept.groupBy("host")).applyInPandas(make, "host string, rule string")
@@ -440,12 +527,20 @@ def main_text(page: str, rule: dict) -> str:
     """The article's blocks, each with its white space made single, joined by line breaks."""
     found = list(places(stream(page)))
     for element in ("article", "main"):
-        if any(within == element for _, within, _, _ in found):
-            return "\n".join(text for _, within, text, _ in found if within == element)
+        own = [f for f in found if f.within == element]
+        if own:
+            known = frozenset(rule.get("articles", ()))
+            story = [f for f in own if f.holder in known]
+            return "\n".join(f.text for f in story or own)  # else this page is laid out in another way
     root, drop, same = rule["root"], frozenset(rule["drop"]), frozenset(rule["same"])
-    if any(f"{path} ".startswith(root + " ") for path, _, _, _ in found):  # else this page is laid out in another way
-        found = [f for f in found if not root or f"{f[0]} ".startswith(root + " ")]
-    return "\n".join(text for path, _, text, _ in found if path not in drop and (not same or text_key(path, text) not in same))
+    if any(f"{f.path} ".startswith(root + " ") for f in found):
+        found = [f for f in found if not root or f"{f.path} ".startswith(root + " ")]
+        for path in rule.get("single", ()):
+            sizes = instances([f for f in found if f.path not in drop])[path]
+            if sizes:
+                k, spot = len(path.split()), max(sizes, key=lambda x: (sizes[x], -x[-1]))
+                found = [f for f in found if f.spot[:k] == spot]
+    return "\n".join(f.text for f in found if f.path not in drop and (not same or text_key(f.path, f.text) not in same))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
