@@ -361,3 +361,24 @@ def test_automaton_finds_what_the_join_finds(spark, aliases):
     assert got == rows(K.joined_hits(df, aliases, "i", "t")) and len(got) > 2000
     assert {r[1] for r in got if r[0] == 302} == {"C++", "C#", ".NET", "Node.js"}
     assert "Generate" not in K.skill_hits(df, aliases, "i", "t")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("engine,n", [("exact", 1), ("exact", 4), ("lexical", 3)])
+def test_top_matches_equal_all_pairs(spark, aliases, engine, n):
+    """A skill that all have, CVs and postings without any, nulls, ties: the best of all pairs, from few pairs."""
+    rng = random.Random(n)
+    names = ["Communication"] + ["".join(rng.choices("abcdefghij", k=9)) for _ in range(40)] + ["React", "Postgres", "k8s"]
+    some = lambda most: ["Communication"] * rng.randrange(2) + rng.sample(names[1:], rng.randrange(most))
+    cvs = [(i, some(6), rng.choice([None, 0, 10, 30, 70]), rng.choice([None, "phd", "slc", "bachelor", "unspecified"])) for i in range(40)] + [(40, [], 0, None), (41, None, None, None)]
+    jobs = [(i, rng.choice([None, [], some(5), ["Communication"]]), some(3), rng.choice([None, "entry", "mid", "senior", "unspecified"]), rng.choice([None, "master", "slc", "unspecified"])) for i in range(150)]
+    cv = spark.createDataFrame(cvs, "cv_id int, skills array<string>, total_experience_months int, highest_education string")
+    job = spark.createDataFrame(jobs, "job_id int, required_skills array<string>, preferred_skills array<string>, experience_level string, education_requirement string")
+    config = M.ScoreConfig(engine=engine)
+    every = {(r.cv_id, r.position): (r.job_id, r.overall_score) for r in M.best_matches(M.score_matches(cv, job, aliases, config), n).collect()}
+    got = {(r.cv_id, r.position): (r.job_id, r.overall_score) for r in M.top_matches(cv, job, aliases, n, config).collect()}
+    assert got == every and len(got) == 42 * n
+    hits = M.resolve_hits(M.cv_skills(cv, aliases), M.requirements(job, aliases), config)
+    pairs = M.top_pairs(cv, job, aliases, hits, n, config)
+    assert pairs.count() < 0.25 * 42 * 150
+    left = M.pairs_to_score(cv, job, M.cv_fingerprint(cv).where("cv_id < 20").join(job, F.lit(True)).select("cv_fp", "job_id"), pairs)
+    assert 0 < left.count() <= pairs.where("cv_id >= 20").count()

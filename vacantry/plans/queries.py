@@ -533,6 +533,28 @@ def ranked_matches(spark, sf_dir):
     return M.best_matches(scores, 5).select("cv_id", "job_id", "position", "overall_score", "c_required", "c_preferred", "c_experience", "c_education")
 
 
+OVERALL_SQL = (
+    ", c AS (SELECT cv_id, job_id, "
+    + ", ".join(f"round_even(coalesce({k}_pct, 0.0)::DOUBLE * round_even(CASE WHEN {k}_pct IS NULL THEN 0.0 ELSE {w} END::DOUBLE / total::DOUBLE, 6), 2) AS c_{k}" for k, w in PARTS.items())
+    + " FROM w), o AS (SELECT *, greatest(0.0, least(100.0, round_even(c_required + c_preferred + c_experience + c_education, 1))) AS overall_score FROM c)"
+    + " SELECT cv_id, job_id, row_number() OVER (PARTITION BY cv_id ORDER BY overall_score DESC, job_id)::INT AS position, overall_score, c_required, c_preferred, c_experience, c_education FROM o QUALIFY position <= 5"
+)
+
+
+@register(
+    "top_matches",
+    SCORE_SQL.replace(SCORE_SQL[SCORE_SQL.index(", saved AS") : SCORE_SQL.index("parts AS (")], """, hits AS (
+  SELECT cv_id, job_id, count(*) FILTER (kind = 'required') AS r, count(*) FILTER (kind = 'preferred') AS p FROM req JOIN have ON lower(req.skill) = lower(have.skill) GROUP BY 1, 2
+), met AS (SELECT cv_id, seq AS job_id, coalesce(r, 0) AS r, coalesce(p, 0) AS p FROM (SELECT cv_id, seq FROM cvs, postings) a LEFT JOIN hits h ON h.cv_id = a.cv_id AND h.job_id = a.seq),
+""".replace("SELECT cv_id, seq AS job_id, coalesce", "SELECT a.cv_id, seq AS job_id, coalesce")) + OVERALL_SQL,
+)
+def top_matches(spark, sf_dir):
+    """The five best of all postings for each CV, by equal or canonical names."""
+    people, jobs = W.cvs(spark, sf_dir), W.postings(spark, sf_dir).withColumn("job_id", F.col("seq"))
+    best = M.top_matches(people, jobs, K.alias_table(spark, K.POSTING_SKILLS), 5, M.ScoreConfig(engine="exact"))
+    return best.select("cv_id", "job_id", "position", "overall_score", "c_required", "c_preferred", "c_experience", "c_education")
+
+
 @register("fuzzy_skills")
 def fuzzy_skills(spark, sf_dir):
     """Part names against part types by the lexical similarity, 0.75 at least."""
