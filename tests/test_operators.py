@@ -382,3 +382,20 @@ def test_top_matches_equal_all_pairs(spark, aliases, engine, n):
     assert pairs.count() < 0.25 * 42 * 150
     left = M.pairs_to_score(cv, job, M.cv_fingerprint(cv).where("cv_id < 20").join(job, F.lit(True)).select("cv_fp", "job_id"), pairs)
     assert 0 < left.count() <= pairs.where("cv_id >= 20").count()
+
+
+def test_common_tokens_make_few_pairs(spark):
+    """A token that all names have gives no pairs by itself, and nothing that reaches the threshold is lost."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(7, 12)))
+    names = sorted({f"{word()} {rng.choice([word(), ''])} developer".replace("  ", " ") for _ in range(150)})
+    names += [n[:-1] for n in names[:20]] + [n.replace("a", "e", 1) for n in names[20:40]] + ["developer", "and", "a", "of the", "c++", "c", "js", "jss"]
+    keys = spark.createDataFrame([(n,) for n in sorted(set(names))], "key string")
+    for threshold in (0.5, 0.75, 0.85, 0.95):
+        pairs = M.lexical_pairs(keys, keys, threshold)
+        every = keys.select(F.col("key").alias("req_key"), M.skill_tokens(F.col("key")).alias("req_tokens")).join(keys.select(F.col("key").alias("cand_key"), M.skill_tokens(F.col("key")).alias("cand_tokens")), F.lit(True))
+        want = {tuple(r) for r in M.lexical_similarity(every).where(F.col("sim") >= threshold).collect()}
+        got = {tuple(r) for r in M.lexical(keys, keys, M.ScoreConfig(threshold=threshold)).collect()}
+        assert got == want and len(want) >= len(set(names))
+        if threshold >= 0.75:
+            assert pairs.count() < 0.6 * len(names) ** 2 and M.bounded(pairs, threshold).where("able").count() < 0.1 * len(names) ** 2

@@ -555,7 +555,30 @@ def top_matches(spark, sf_dir):
     return best.select("cv_id", "job_id", "position", "overall_score", "c_required", "c_preferred", "c_experience", "c_education")
 
 
-@register("fuzzy_skills")
+#: Ratio of matching blocks: of each piece the longest common block, the first among equals, and so on at its left and right.
+RATIO_SQL = """RECURSIVE part_names AS (SELECT DISTINCT lower(p_name) AS b FROM part), part_types AS (SELECT DISTINCT lower(p_type) AS a FROM part
+), pair AS (SELECT a, b FROM part_types, part_names
+), piece(a, b, x, y, m) AS (
+  SELECT a, b, a, b, 0 FROM pair
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN left(x, i - 1) ELSE x[i + n:] END, CASE side WHEN 0 THEN left(y, j - 1) ELSE y[j + n:] END, CASE side WHEN 0 THEN n ELSE 0 END
+  FROM (
+    SELECT a, b, x, y, (-best[2])::BIGINT AS i, (-best[3])::BIGINT AS j, best[1]::BIGINT AS n, unnest([0, 1]) AS side FROM (
+      SELECT a, b, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_filter(list_transform(range(1, length(x) - i + 2), lambda k: [k, -i, -instr(y, substr(x, i, k))]), lambda t: t[3] < 0)))) AS best
+      FROM piece WHERE x <> '' AND y <> ''
+    ) WHERE best IS NOT NULL
+  )
+), ratio AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS ratio FROM piece GROUP BY a, b
+), tok AS (
+  SELECT *, list_filter(list_distinct(regexp_extract_all(a, '[a-z0-9+#.]+')), lambda t: t NOT IN STOP) AS ta, list_filter(list_distinct(regexp_extract_all(b, '[a-z0-9+#.]+')), lambda t: t NOT IN STOP) AS tb FROM ratio
+), s AS (SELECT *, len(list_intersect(ta, tb)) AS n FROM tok
+), sim AS (
+  SELECT a, b, round_even(CASE WHEN a = b THEN 1.0 WHEN len(ta) = 0 OR len(tb) = 0 THEN ratio * 0.9
+    ELSE greatest(n::DOUBLE / (len(ta) + len(tb) - n), CASE WHEN n IN (len(ta), len(tb)) THEN 0.8 ELSE 0.55 * n / least(len(ta), len(tb)) END, ratio * 0.85) END, 4) AS sim FROM s
+) SELECT a AS req_key, b AS cand_key, sim::DOUBLE AS sim FROM sim WHERE sim >= 0.75""".replace("STOP", str(M.STOP_WORDS))
+
+
+@register("fuzzy_skills", "WITH " + RATIO_SQL)
 def fuzzy_skills(spark, sf_dir):
     """Part names against part types by the lexical similarity, 0.75 at least."""
     part = W.table(spark, sf_dir, "part")
@@ -564,6 +587,107 @@ def fuzzy_skills(spark, sf_dir):
     return M.lexical(reqs, cands, M.ScoreConfig())
 
 
+#: The types are too unlike the names to be alike by characters; names against names are not.
+@register("fuzzy_names", "WITH " + RATIO_SQL.replace("part_types AS (SELECT DISTINCT lower(p_type) AS a FROM part", "part_types AS (SELECT DISTINCT lower(p_name) AS a FROM part"))
+def fuzzy_names(spark, sf_dir):
+    """Part names against part names by the lexical similarity, 0.75 at least."""
+    names = W.table(spark, sf_dir, "part").select(M.skill_key(F.col("p_name")).alias("key")).distinct()
+    return M.lexical(names, names, M.ScoreConfig())
+
+
+@register("source_page", f"""WITH {W.POSTINGS_SQL} SELECT dedupe_hash, title, source_platform FROM postings WHERE (deadline IS NULL OR deadline >= {NOW}) AND source_platform IN ('board1', 'board4') AND contains(lower(company), '1')
+  ORDER BY posted_date, dedupe_hash LIMIT 50 OFFSET 50""")
+def source_page(spark, sf_dir):
+    """The second page of two boards' postings of some companies, the oldest first."""
+    spec = Q.plan_search({"source": "Board1, board4", "any_source": True, "company": "1", "sort": "oldest", "page": "2", "limit": "50"})
+    return Q.search(W.postings(spark, sf_dir), spec, W.now()).select("dedupe_hash", "title", "source_platform")
+
+
+@register("relevant_page", f"WITH {W.POSTINGS_SQL}, s AS (SELECT *, 10 + 1 AS score FROM postings WHERE contains(title, 'URGENT') AND (deadline IS NULL OR deadline >= {NOW})) SELECT dedupe_hash, score FROM s ORDER BY posted_date DESC, dedupe_hash LIMIT 30")
+def relevant_page(spark, sf_dir):
+    """The best page of postings for a word that stands once in titles and descriptions: equal scores, the newest first."""
+    return Q.search(W.postings(spark, sf_dir), Q.plan_search({"q": "urgently", "limit": "30"}), W.now()).select("dedupe_hash", "score")
+
+
+def _lines_sql(value: str, line: str) -> str:
+    """Each line by an expression of ``x``, blank lines made one, no blank ends."""
+    plain = f"replace(replace({value}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    joined = f"array_to_string(list_transform(string_split({plain}, chr(10)), lambda x: {line}), chr(10))"
+    return f"trim(regexp_replace({joined}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
+
+
+@register("clean_blocks", "SELECT conv_id, turn, " + _lines_sql("coalesce(text, '')", "trim(regexp_replace(x, '\\s+', ' ', 'g'))") + " AS body FROM conversations")
+def clean_blocks(spark, sf_dir):
+    """The turns of all conversations, cleaned line by line."""
+    return W.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.clean_block(F.col("text")).alias("body"))
+
+
+@register(
+    "clean_documents",
+    "SELECT doc_id, " + _lines_sql("replace(replace(translate(coalesce(text, ''), chr(160) || '–—', ' --'), 'ﬁ', 'fi'), 'ﬂ', 'fl')", "trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))") + " AS body FROM documents",
+)
+def clean_documents(spark, sf_dir):
+    """All documents as texts from files."""
+    return W.table(spark, sf_dir, "documents").select("doc_id", X.clean_document(F.col("text")).alias("body"))
+
+
+@register("apply_urls", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN trim(url) WHEN 2 THEN 'mailto:jobs@' || regexp_extract(url, '//([^/]*)', 1) END AS apply_url FROM pages")
+def apply_urls(spark, sf_dir):
+    """The pages' addresses as links to apply by: the posting's own, another's, a mail address, a path."""
+    k, url = F.col("page_id") % 4, F.col("url")
+    link = F.when(k == 2, F.concat(F.lit("mailto:jobs@"), F.regexp_extract(url, "//([^/]*)", 1))).when(k == 3, F.concat(F.lit("/jobs/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit(" "), url))
+    return W.table(spark, sf_dir, "pages").select("page_id", X.clean_apply_url(link, F.when(k == 0, url).otherwise("https://other.example.com")).alias("apply_url"))
+
+
+@register("lenient_dates", "SELECT event_id, try_cast(CASE event_id % 3 WHEN 0 THEN ts::VARCHAR WHEN 1 THEN strftime(ts, '%Y-%m-%d') ELSE props END AS TIMESTAMP) AS at FROM events")
+def lenient_dates(spark, sf_dir):
+    """Moments of events as texts, by the second and by the day, among other texts."""
+    k, ts = F.col("event_id") % 3, F.col("ts")
+    value = F.when(k == 0, ts.cast("string")).when(k == 1, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.col("props"))
+    return W.table(spark, sf_dir, "events").select("event_id", D.lenient_date(value).alias("at"))
+
+
+@register("string_lists", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_name WHEN 2 THEN p_type || '|' || p_name ELSE p_brand END AS items FROM part")
+def string_lists(spark, sf_dir):
+    """Names of parts as JSON: null, a string, a list with blanks, and bare text."""
+    k = F.col("p_partkey") % 4
+    value = F.when(k == 1, F.concat(F.lit('" '), "p_name", F.lit('"'))).when(k == 2, F.to_json(F.array(F.col("p_type"), F.lit(" "), F.lit(None), F.concat(F.lit(" "), "p_name")))).when(k == 3, F.col("p_brand"))
+    return W.table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.string_list(value), "|").alias("items"))
+
+
+MONTH = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+@register(
+    "cv_limits",
+    """WITH o AS (
+  SELECT c_custkey AS cv_id, o_orderkey AS k, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS i, (2010 * 12 + 2) - (year(o_orderdate) * 12 + month(o_orderdate) - 1) AS months
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+), c AS (SELECT cv_id, count(k) AS n, coalesce(sum(months) FILTER (i <= 12), 0)::INT AS months FROM o GROUP BY 1
+), t AS (SELECT *, least(12, n)::INT AS n_experience, least(8, n)::INT AS n_education, least(20, 2 * n)::INT AS n_certifications, 2 + (n > 0)::INT AS n_skills, cv_id % 50 = 0 AS long FROM c)
+SELECT cv_id, n_experience, n_education, n_certifications, months, CASE WHEN n > 0 THEN 'bachelor' ELSE 'unspecified' END AS highest_education,
+  concat_ws('|', CASE WHEN n = 0 THEN 'No education entries were recognised.' END, CASE WHEN long THEN 'The document was cut to the longest length that is read.' END) AS warnings,
+  concat_ws(' · ', n_skills || ' skills', CASE WHEN n > 0 THEN n_experience || ' role' || CASE WHEN n_experience > 1 THEN 's' ELSE '' END END,
+    CASE WHEN n > 0 THEN n_education || ' qualification' || CASE WHEN n_education > 1 THEN 's' ELSE '' END END, CASE WHEN n > 0 THEN n_certifications || ' certifications' END) AS summary
+FROM t""",
+)
+def cv_limits(spark, sf_dir):
+    """Customers as CVs with an entry of each kind for each order, some longer than is read: what the limits leave, and the summaries."""
+    o = W.table(spark, sf_dir, "orders")
+    k, at = F.col("o_orderkey").cast("string"), F.col("o_orderdate")
+    month = F.element_at(F.array(*map(F.lit, MONTH)), F.month(at))
+    role = F.concat(F.lit("Software Engineer at Firm"), k, F.lit(" Ltd, "), month, F.lit(" "), F.year(at).cast("string"), F.lit(" - Mar 2010"))
+    degree = F.concat(F.lit("BE in Civil, Campus "), k, F.lit(", "), F.year(at).cast("string"))
+    own = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", role.alias("role"), degree.alias("degree"), F.concat(F.lit("AWS Certified "), k, F.lit("\nWorkshop number "), k).alias("certificate")))).alias("x"))
+    rows = W.table(spark, sf_dir, "customer").join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
+    part = lambda name: F.array_join(F.transform("x", lambda x: x[name]), "\n")
+    text = F.concat_ws("\n", F.lit("Skills"), F.lit("Python, Docker"), F.lit("Experience"), part("role"), F.lit("Education"), part("degree"), F.lit("Certifications"), part("certificate"), F.when(F.col("c_custkey") % 50 == 0, F.repeat(F.lit("\n" * 40), 3200)))
+    parsed = V.usable(V.parse_cvs(rows.select(F.col("c_custkey").alias("cv_id"), text.alias("text")), K.alias_table(spark, K.POSTING_SKILLS, "cv"), F.expr("DATE '2024-01-15'")))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("experience", "education", "certifications")]
+    words = V.summary(parsed).withColumnRenamed("cv_id", "id")
+    return parsed.join(words, F.col("cv_id") == F.col("id")).select("cv_id", *sizes, F.col("total_experience_months").alias("months"), "highest_education", F.array_join("warnings", "|").alias("warnings"), "summary")
+
+
 @register(
     "semantic_matches",
     """SELECT a.vec_id AS req_id, b.vec_id AS cand_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS sim
