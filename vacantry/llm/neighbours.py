@@ -179,23 +179,33 @@ def floors(x: np.ndarray, some: np.ndarray, nearest: int) -> np.ndarray:
     return best - SLACK * np.maximum(1, np.abs(best))
 
 
-def probes(queries: DataFrame, layers: dict[int, tuple[float, int]], count: int, some: np.ndarray, nearest: int) -> DataFrame:
-    """``t, key, id, v, floor``: the ``count`` buckets of each table that each query visits, in every layer."""
+def probes(queries: DataFrame, layers: dict[int, tuple[float, int]], count: int) -> DataFrame:
+    """``t, key, id, nth``: the ``count`` buckets of each table that each query visits, in every layer; the query's own is the first (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x, ids = stack(batch.column(1)), batch.column(0).to_numpy()
-            places, low = query_places(x), floors(x, some, nearest)
+            places, ids = query_places(stack(batch.column(1))), batch.column(0).to_numpy()
             for layer, (_, hashes) in layers.items():
                 for t in range(TABLES):
                     keys = [layer_keys(bucket_key(visited(p, t, hashes, count)), np.array(layer)) for p in places]
-                    many = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-                    found = frame(np.full(len(many), t), np.concatenate(keys), ids[many], batch.column(1).take(pa.array(many)))
-                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(low[many])], names=[*found.schema.names, "floor"])
+                    sizes = [len(k) for k in keys]
+                    columns = [pa.array(np.full(sum(sizes), t), pa.int32()), pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "id", "nth"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, f"{entry(queries)}, floor double")
+    return queries.select("vec_id", "v").mapInArrow(run, "t int, key long, id long, nth int")
+
+
+def floored(queries: DataFrame, some: np.ndarray, nearest: int) -> DataFrame:
+    """``id, v, floor`` of the queries; see ``floors``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors(stack(batch.column(1)), some, nearest))], names=["id", "v", "floor"])
+
+    return queries.select("vec_id", "v").mapInArrow(run, f"id long, v {queries.schema['v'].dataType.simpleString()}, floor double")
 
 
 def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int, tuple[float, int]], int]:
@@ -294,9 +304,21 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     # large buckets are dealt into parts, and their visitors go to each part
     parts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = entries.join(parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    visits = probes(first, layers, count, low, nearest + 1).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    visits = probes(first, layers, count).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    visits = written(visits, "ann-visits")
     names = ["t", "key", "part"]
-    found = dealt.groupBy(names).cogroup(visits.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
+
+    def met(some_visits: DataFrame, asked_with: DataFrame) -> DataFrame:
+        visitors = some_visits.select("t", "key", "part", "id").join(asked_with, "id").select("t", "key", "part", "id", "v", "floor")
+        return dealt.groupBy(names).cogroup(visitors.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
+
+    # what its own buckets hold tells each query how near the rest must be to count
+    start = written(floored(first, low, nearest + 1), "ann-floors")
+    own_found = written(met(visits.where("nth = 0"), start).distinct(), "ann-own")
+    by_score = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    last = own_found.withColumn("n", by_score).where(F.col("n") == nearest + 1).select(F.col("query").alias("id"), (F.col("score") - SLACK * F.greatest(F.lit(1.0), F.abs("score"))).alias("reached"))
+    nearer = start.join(last, "id", "left").select("id", "v", F.greatest("floor", "reached").alias("floor"))
+    found = own_found.unionByName(met(visits.where("nth > 0"), nearer))
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     probed = written(found.distinct().withColumn("n", ranked).where(F.col("n") <= nearest + 1), "ann-found")
     # a query that found fewer than there are meets all vectors
