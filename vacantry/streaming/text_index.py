@@ -21,12 +21,12 @@ ENTRY = "term string, dedupe_hash string, title int, company int, required_skill
 
 
 def entries(postings: DataFrame) -> DataFrame:
-    """ENTRY rows of postings; words are counted before they are stemmed, so a stem is computed once for each word of a posting."""
+    """ENTRY rows of postings; words are counted before they are stemmed, and each distinct word is stemmed once."""
     fields = F.array(*[F.struct(F.lit(name).alias("field"), Q.tokens(Q.field_text(name)).alias("tokens")) for name in Q.WEIGHTS])
     words = postings.select("dedupe_hash", F.explode(fields).alias("f")).select("dedupe_hash", "f.field", F.explode("f.tokens").alias("word"))
     counted = words.groupBy("dedupe_hash", "word").agg(*[F.count_if(F.col("field") == name).cast("int").alias(name) for name in Q.WEIGHTS])
-    stems = counted.withColumn("term", stem(F.col("word")))
-    return stems.groupBy("term", "dedupe_hash").agg(*[F.sum(name).cast("int").alias(name) for name in Q.WEIGHTS])
+    stems = counted.select("word").distinct().withColumn("term", stem(F.col("word")))
+    return counted.join(stems, "word").groupBy("term", "dedupe_hash").agg(*[F.sum(name).cast("int").alias(name) for name in Q.WEIGHTS])
 
 
 class TextIndex:
