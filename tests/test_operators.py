@@ -239,6 +239,17 @@ def test_graphs_at_any_depth(spark):
     assert J.job_postings(df, "page_id", "html").selectExpr("page_id", "try_variant_get(node, '$.title', 'string') t").collect() == [(1, "deep")]
 
 
+def test_graphs_keep_their_order_and_pages_are_read_once(spark, tmp_path):
+    block = lambda j: f'<script type="application/ld+json">{j}</script>'
+    many = block('[{"n": 0, "\\u0040graph": [{"n": 1, "@graph": [{"n": 2}, 7, [{"n": 9}]]}, {"n": 3, "@graph": {"n": 9}}]}, {"n": 4, "@graph": []}]') + block('{"n": 5}') + block("[") + block("[]")
+    spark.createDataFrame([(1, many), (2, ""), (3, None), (4, block('"text"') + block("null"))], "page_id int, html string").write.parquet(str(tmp_path / "pages"))
+    nodes = J.json_nodes(spark.read.parquet(str(tmp_path / "pages")), "page_id", "html")
+    got = nodes.selectExpr("page_id", "block", "path", "try_variant_get(node, '$.n', 'int') n").collect()
+    want = [(1, 0, [0], 0), (1, 0, [0, 0], 1), (1, 0, [0, 0, 0], 2), (1, 0, [0, 1], 3), (1, 0, [1], 4), (1, 1, [0], 5)]
+    assert sorted(tuple(r) for r in got) == want
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_search_plan():
     spec = Q.plan_search({"limit": "0", "page": "x", "job_type": "Remote,boss", "sort": "relevance"})
     assert (spec.limit, spec.page, spec.job_types, spec.warnings, spec.sort) == (20, 1, ("remote",), ("ignored unknown jobType: boss",), "relevance")

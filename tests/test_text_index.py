@@ -1,11 +1,12 @@
 """Stems against a published vocabulary, and the inverted index against a scan."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from vacantry.functions.stem import stem
+from vacantry.functions.stem import CHANGED, WHOLE_WORDS, stem
 from vacantry.operators import search as Q
 from vacantry.schemas import RAW_POSTING, names
 from vacantry.streaming.store import PostingStore
@@ -27,6 +28,16 @@ formative format formality formal c++ c++ node.js node.js äußern äußern at a
 """
 
 
+def test_words_begin_like_their_stems(spark):
+    """What keyword search relies on when it stems only words that begin like a term."""
+    draw = random.Random(7)
+    suffixes = ("s", "ies", "eed", "edly", "ingly", "ed", "ing", "y", "ability", "iviti", "ization", "ational", "ousness", "fulness", "logi", "alize", "iciti", "ative", "ement", "ion", "e", "ll", "")
+    words = {"".join(draw.choices("aeiouybdlrstz", k=draw.randint(0, 6))) + draw.choice(suffixes) + draw.choice(suffixes) for _ in range(6000)}
+    words = sorted(w for w in words if w not in WHOLE_WORDS)
+    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", stem(F.col("word")).alias("term")).collect()
+    assert [r for r in rows if not r.word.startswith(r.term[: max(len(r.term) - CHANGED, 2)])] == []
+
+
 def test_stems_equal_the_published_vocabulary(spark):
     words = VOCABULARY.split()
     df = spark.createDataFrame(list(zip(words[::2], words[1::2])), "word string, stem string")

@@ -25,6 +25,8 @@ STEP_2 = {
 }
 STEP_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+#: So many letters at a stem's end, at most, are not those of its word (``ble`` for ``biliti``).
+CHANGED = 2
 V, NOT_V = "[aeiouy]", "[^aeiouy]"
 SHORT_SYLLABLE = f"({NOT_V}{V}[^aeiouywxY]|^{V}{NOT_V})$"
 DOUBLE = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"

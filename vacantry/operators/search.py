@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantry.functions import classify as C
 from vacantry.functions.dates import is_expired, is_open
-from vacantry.functions.stem import WHOLE_WORDS, stem
+from vacantry.functions.stem import CHANGED, WHOLE_WORDS, stem
 from vacantry.functions.text import all_sources, text
 
 DEFAULT_LIMIT, MOST_LIMIT = 20, 100
@@ -108,17 +110,19 @@ def relevance(terms: list[str]) -> Column:
     """Sum over fields of weight times occurrences of words with any of the stems; 0 if there are none.
 
     Stems are computed only of words that begin like one: a stem and its words share
-    two letters, or the word is one of those that the stemmer knows as a whole.
+    all but the stem's last ``CHANGED`` letters, or the word is one of those that the
+    stemmer knows as a whole.
     """
     if not terms:
         return F.lit(0)
-    alike = sorted({t[:2] for t in terms})
+    heads = sorted({t[: max(len(t) - CHANGED, 2)] for t in terms})
 
-    def hit(t: Column) -> Column:
-        near = F.substring(t, 1, 2).isin(*alike) | t.isin(*WHOLE_WORDS)
-        return F.when(near, stem(t).isin(*terms)).otherwise(False)
+    def near(name: str, weight: int) -> Column:
+        words = F.filter(tokens(field_text(name)), lambda t: reduce(or_, (t.startswith(h) for h in heads)) | t.isin(*WHOLE_WORDS))
+        return F.transform(words, lambda t: F.struct(t.alias("word"), F.lit(weight).alias("weight")))
 
-    return sum((F.size(F.filter(tokens(field_text(name)), hit)) * weight for name, weight in WEIGHTS.items()), F.lit(0))
+    words = F.concat(*[near(name, weight) for name, weight in WEIGHTS.items()])
+    return F.aggregate(words, F.lit(0), lambda total, w: F.when(stem(w["word"]).isin(*terms), total + w["weight"]).otherwise(total))
 
 
 def filtered(postings: DataFrame, spec: SearchSpec, now: Column, scored: bool = False) -> DataFrame:
@@ -142,7 +146,8 @@ def filtered(postings: DataFrame, spec: SearchSpec, now: Column, scored: bool =
     if scored:
         return out
     if spec.keyword:
-        return out.withColumn("score", relevance(stemmed_terms(postings.sparkSession, spec.keyword))).where("score > 0")
+        # a generated column, so that the filter doesn't compute the score a second time
+        return out.withColumn("score", F.explode(F.array(relevance(stemmed_terms(postings.sparkSession, spec.keyword))))).where("score > 0")
     return out.withColumn("score", F.lit(0))
 
 

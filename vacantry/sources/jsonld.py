@@ -29,17 +29,23 @@ def items(v: Column) -> Column:
 def json_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """``id_col, block, path, node``: every JSON object of the pages' blocks; lists and graphs are opened, bad blocks skipped.
 
-    Graphs are opened as deep as they stand in one another: a level is a job, and
-    the last finds none.
+    Graphs are opened as deep as they stand in one another, level by level within the
+    row: a graph is a list, so a block has no more levels than brackets. Pages are read once.
     """
     blocks = pages.select(id_col, F.posexplode(F.regexp_extract_all(text(F.col(html_col)), F.lit(BLOCK), F.lit(1))).alias("block", "json"))
-    parsed = blocks.select(id_col, "block", F.try_parse_json(F.trim("json")).alias("v")).where("v IS NOT NULL")
-    level = parsed.select(id_col, "block", F.posexplode(items(F.col("v"))).alias("p", "node")).select(id_col, "block", F.array(F.col("p")).alias("path"), "node")
-    out = level
-    graph = F.try_variant_get("node", "$['@graph']", "array<variant>")
-    while not level.where(F.size(graph) > 0).isEmpty():  # graphs within graphs
-        level = level.select(id_col, "block", "path", F.posexplode(graph).alias("p", "node")).select(id_col, "block", F.concat("path", F.array("p")).alias("path"), "node")
-        out = out.unionByName(level)
+    parsed = blocks.select(id_col, "block", F.try_parse_json(F.trim("json")).alias("v"), F.regexp_count("json", F.lit(r"\[")).alias("depth")).where("v IS NOT NULL")
+    placed = lambda nodes, path: F.transform(nodes, lambda node, i: F.struct(F.concat(path, F.array(i)).alias("path"), node.alias("node")))
+    graph = lambda node: F.try_variant_get(node, "$['@graph']", "array<variant>")
+
+    def deeper(found: Column, _: Column) -> Column:
+        graphs = F.filter(found["level"], lambda n: graph(n["node"]).isNotNull())
+        level = F.flatten(F.transform(graphs, lambda n: placed(graph(n["node"]), n["path"])))
+        return F.when(F.size(found["level"]) == 0, found).otherwise(F.struct(level.alias("level"), F.concat(found["nodes"], level).alias("nodes")))
+
+    top = placed(items(F.col("v")), F.array().cast("array<int>"))
+    levels = F.when(F.col("depth") > 0, F.sequence(F.lit(1), F.col("depth"))).otherwise(F.array().cast("array<int>"))
+    nodes = F.aggregate(levels, F.struct(top.alias("level"), top.alias("nodes")), deeper, lambda found: found["nodes"])
+    out = parsed.select(id_col, "block", F.inline(nodes))
     return out.where(F.schema_of_variant("node").startswith("OBJECT"))
 
 
