@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,39 @@ def test_batches_write_only_their_parts(spark, tmp_path):
     assert len(rows) == 40 and rows["t7"] == ["https://x/7", "https://y/7"] and sorted(store.versions().values()) == [0] * 7 + [1]
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.3, -0.2])
+def test_semantic_pairs_equal_all_pairs(spark, monkeypatch, threshold):
+    """Vectors in clusters, of any length and none; small blocks, so that layers have parts."""
+    monkeypatch.setattr(M, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(M, "REQUIREMENT_BLOCK", 16)
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 16))
+    x = centres[draw.integers(0, 12, 900)] + draw.normal(scale=0.25, size=(900, 16))
+    x[:800] /= np.linalg.norm(x[:800], axis=1, keepdims=True)
+    x[100:300] = x[100]  # one vector many times
+    x[850] = 0
+    x = x.astype(np.float32)
+    vectors = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "key string, vector array<float>")
+    asked = [f"k{i}" for i in range(0, 900, 7)] + ["none", "unknown", "k0"]
+    reqs = spark.createDataFrame([(k,) for k in asked], "key string")
+    config = M.ScoreConfig(threshold=threshold, engine="semantic")
+    got = {(r.req_key, r.cand_key): r.sim for r in M.semantic(reqs, vectors.select("key"), config, vectors).collect()}
+    sims = np.round(x.astype(float) @ x.astype(float).T, 4)
+    want = {(f"k{i}", f"k{j}"): sims[i, j] for i in range(0, 900, 7) for j in np.flatnonzero(sims[i] >= threshold)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.1e-4 for k in want)
+    work = M.semantic_plan(reqs, vectors.select("key"), threshold, vectors).work().first()
+    assert work.pairs == 129 * 900 and len(want) <= work.compared and (threshold < 0.8 or work.compared < 0.4 * work.pairs)
+
+
+def test_semantic_pairs_of_nothing(spark):
+    vectors = spark.createDataFrame([], "key string, vector array<float>")
+    some = spark.createDataFrame([("a", [1.0, 0.0])], "key string, vector array<float>")
+    config = M.ScoreConfig(engine="semantic")
+    assert M.semantic(some.select("key"), vectors.select("key"), config, vectors).collect() == []
+    assert M.semantic(some.select("key"), vectors.select("key"), config, some).collect() == []
+    assert M.semantic(vectors.select("key"), some.select("key"), config, some).collect() == []
+
+
 def test_graphs_at_any_depth(spark):
     deep = '{"@type": "JobPosting", "title": "deep"}'
     for _ in range(7):
