@@ -18,12 +18,14 @@ def source_of(platform: str = "source_platform", url: str = "source_url") -> Col
     return F.array(F.struct(F.col(platform).alias("platform"), F.col(url).alias("url")))
 
 
-def merge_duplicates(postings: DataFrame) -> DataFrame:
+def merge_duplicates(postings: DataFrame, filled: bool = True) -> DataFrame:
     """Cross-source merge in the order of ``seq``: the richest copy shows, skills and sources are united.
 
     A copy is richer by length of description, number of required skills (the
     united ones for the copy that shows so far), a salary and a deadline. Rows
     without a hash are dropped. Copies of one ``seq`` follow in the order of a hash.
+    A salary and a deadline that were filled in from other copies count for the copy
+    that shows so far, unless ``filled`` is false.
     Returns the posting's columns and ``sources``.
 
     Lists are united by a second aggregation on (hash, value). Which copy shows
@@ -68,7 +70,9 @@ def merge_duplicates(postings: DataFrame) -> DataFrame:
         pick = {c: F.when(richer, j[c]).otherwise(acc[c]) for c in fields}
         for c, mark in (("salary", "paid"), ("deadline", "dated")):
             own = F.when(richer, j[c].isNotNull()).otherwise(acc[c].isNull())
-            pick[c], pick[mark] = F.when(own, j[c]).otherwise(acc[c]), F.when(own, j[mark]).otherwise(acc[mark])
+            pick[c] = F.when(own, j[c]).otherwise(acc[c])
+            if filled:
+                pick[mark] = F.when(own, j[mark]).otherwise(acc[mark])
         return F.struct(*[pick[c].alias(c) for c in fields])
 
     shown = events.select("dedupe_hash", F.aggregate(F.slice("events", 2, 1 << 30), F.element_at("events", 1), step).alias("j"))
