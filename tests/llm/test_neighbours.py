@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vacantry.llm import neighbours as N
 
@@ -137,3 +138,14 @@ def test_perturbations_come_in_order_of_their_scores():
     every = sorted(score(c) for c in itertools.product([-1, 0, 1], repeat=3))
     assert [score(c) for c in changes] == pytest.approx(every[:12])
     assert len({tuple(c) for c in changes}) == 12
+
+
+def test_a_draw_takes_few_rows_to_one_place(spark):
+    """The vectors with the least hashes, of which most partitions hand on hardly any."""
+    ids = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("vec_id"))
+    every = ids.orderBy(F.xxhash64("vec_id"), "vec_id")
+    for count in (64, 4096):
+        few = N.drawn(ids, count, 100_000)
+        assert [r.vec_id for r in few.collect()] == [r.vec_id for r in every.limit(count).collect()]
+        bound = few._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in bound and N.drawn(ids, count, 1000).count() == count

@@ -33,6 +33,8 @@ MEASURED, RECALL, PROBES = 64, 0.97, 128
 #: Vectors that tell how near a query's neighbours are at least; nothing below that is carried on.
 FLOOR_VECTORS = 4096
 NEAREST, QUERY_STEP = 20, 20
+#: A draw of few vectors looks at about so many, so that it hardly ever finds too few.
+LEAST_DRAWN = 1024
 #: Vectors of one bucket that a task compares with queries at once; larger buckets are dealt into parts.
 PART = 4096
 #: Queries that found too few and are compared with all vectors: so many to a block, and so many blocks of vectors.
@@ -171,6 +173,17 @@ def visited(place: np.ndarray, t: int, hashes: int, count: int) -> np.ndarray:
     return cells.astype(np.int64) + np.array(perturbations(own - cells, min(count, 3**hashes)))
 
 
+def drawn(vectors: DataFrame, count: int, total: int) -> DataFrame:
+    """The ``count`` vectors of ``total`` whose ids have the least hashes.
+
+    Only hashes below a bound that about twice as many meet are ordered, as ordering
+    them all takes ``count`` rows of every partition to one place.
+    """
+    mark, twice = F.xxhash64("vec_id"), 2 * max(count, LEAST_DRAWN)
+    near = vectors if total <= twice else vectors.where(mark < (twice << 64) // total - (1 << 63))
+    return near.orderBy(mark, "vec_id").limit(count)
+
+
 def floors(x: np.ndarray, some: np.ndarray, nearest: int) -> np.ndarray:
     """Scores below which nothing can be among each query's ``nearest``, as so many of ``some`` vectors reach them."""
     if len(some) < nearest:
@@ -216,7 +229,7 @@ def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int,
     enough, tables have fewer hashes, down to one.
     """
     found = {r["layer"]: (r["m"], r["n"]) for r in kept.groupBy("layer").agg(F.max("length").alias("m"), F.count("*").alias("n")).collect()}
-    some = written(asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MEASURED).select("vec_id", "v"), "ann-measured")
+    some = written(drawn(asked, MEASURED, asked.count()).select("vec_id", "v"), "ann-measured")
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     every = compared_with_all(some, kept.select("vec_id", "v"), nearest + 1).where("query <> vec_id")
     true = every.withColumn("n", ranked).where(F.col("n") <= nearest).join(kept, "vec_id")
@@ -298,7 +311,8 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     asked = vectors.where(F.col("vec_id") % step == 0)
     first = written(asked.withColumn("n", F.row_number().over(same)).where("n = 1").drop("n"), "ann-queries")
     layers, count = settings(first, kept, nearest)
-    some = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FLOOR_VECTORS).select(F.transform("v", lambda x: x.cast("double")).alias("v")).collect()
+    total = kept.count()
+    some = drawn(kept, FLOOR_VECTORS, total).select(F.transform("v", lambda x: x.cast("double")).alias("v")).collect()
     low = np.array([r["v"] for r in some], float) if some else np.zeros((0, 1))
     entries = written(index(kept, layers), "ann-index")
     # large buckets are dealt into parts, and their visitors go to each part
@@ -322,7 +336,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     probed = written(found.distinct().withColumn("n", ranked).where(F.col("n") <= nearest + 1), "ann-found")
     # a query that found fewer than there are meets all vectors
-    enough = probed.where(F.col("n") == min(nearest + 1, kept.count())).select(F.col("query").alias("vec_id"))
+    enough = probed.where(F.col("n") == min(nearest + 1, total)).select(F.col("query").alias("vec_id"))
     short = first.join(enough, "vec_id", "left_anti").select("vec_id", "v")
     rest = compared_with_all(short, kept, nearest + 1).withColumn("n", ranked).where(F.col("n") <= nearest + 1)
     merged = probed.join(short.select(F.col("vec_id").alias("query")), "query", "left_anti").unionByName(rest)
