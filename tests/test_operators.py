@@ -429,6 +429,24 @@ def test_top_matches_equal_all_pairs(spark, aliases, engine, n):
     assert 0 < left.count() <= pairs.where("cv_id >= 20").count()
 
 
+def test_scores_of_pairs_look_at_their_rows_once(spark, aliases):
+    """CVs and postings in no pair aren't computed, the others once, however many parts of the score read them."""
+    cvs, jobs = cvs_and_jobs(spark)
+    config = M.ScoreConfig(engine="exact")
+    every = {(r.cv_id, r.job_id): r for r in M.score_matches(cvs, jobs, aliases, config).collect()}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(xs):
+        seen.add(1)
+        return xs
+
+    count = F.udf(counted, "array<string>")
+    pairs = spark.createDataFrame([(1, 10), (1, 13), (7, 10)], "cv_id int, job_id int")
+    scores = M.score_matches(cvs.withColumn("skills", count("skills")), jobs.withColumn("required_skills", count("required_skills")), aliases, config, pairs=pairs)
+    assert {(r.cv_id, r.job_id): r for r in scores.collect()} == {k: every[k] for k in ((1, 10), (1, 13))}
+    assert seen.value <= cvs.count() + jobs.count()
+
+
 def test_common_tokens_make_few_pairs(spark):
     """A token that all names have gives no pairs by itself, and nothing that reaches the threshold is lost."""
     rng = random.Random(9)
