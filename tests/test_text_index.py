@@ -102,3 +102,24 @@ def test_a_search_reads_only_its_terms_buckets(store):
     found = index.found(["python"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d", plan) and re.search(r"PushedFilters: \[[^\n]*EqualTo\(term,python\)|PushedFilters: \[[^\n]*In\(term", plan)
+
+
+def test_entries_are_shuffled_once(spark, store):
+    """Hashes stay behind, words are counted in their row; two postings with one number are numbered anew."""
+    from vacantry.streaming import text_index
+
+    store, _ = store
+    run = store.runs()[0]
+    index = TextIndex(store, 8)
+    made = text_index.entries(store._read(run, None), index.bucket)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "doc" in made.columns and "dedupe_hash" not in made.columns
+    again = index.numbered(run)
+    assert again == 0
+    real = text_index.number
+    text_index.number = lambda seed: F.lit(7).cast("long") if seed == 0 else real(seed)
+    try:
+        assert index.numbered(run) == 1 and index.numbers(run).select("doc").distinct().count() == run.rows
+    finally:
+        text_index.number = real
+        index.numbered(run)
