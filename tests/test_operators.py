@@ -429,6 +429,25 @@ def test_top_matches_equal_all_pairs(spark, aliases, engine, n):
     assert 0 < left.count() <= pairs.where("cv_id >= 20").count()
 
 
+@pytest.mark.parametrize("rounds", [(32,), (64, 128)])
+def test_few_names_that_many_share_make_few_pairs(spark, monkeypatch, rounds):
+    """Most CVs are done after the first postings; the others, and one whose best comes last, meet the rest under a higher bound."""
+    monkeypatch.setattr(M, "ROUNDS", rounds)
+    rng = random.Random(3)
+    names = [f"Skill{i}" for i in range(12)]
+    cvs = [(i, rng.sample(names, 6), rng.choice([0, 10, 30, 70]), rng.choice(["phd", "slc", "bachelor", None])) for i in range(60)] + [(60, ["Odd"], 70, "phd"), (61, [], 0, None), (62, None, None, "slc")]
+    jobs = [(i, rng.sample(names, rng.randrange(1, 4)), rng.sample(names, rng.randrange(2)), rng.choice(["entry", "mid", "senior", None]), rng.choice(["master", "slc", None])) for i in range(600)]
+    jobs[590] = (590, ["Odd"], [], "senior", "master")
+    cv = spark.createDataFrame(cvs, "cv_id int, skills array<string>, total_experience_months int, highest_education string")
+    job = spark.createDataFrame(jobs, "job_id int, required_skills array<string>, preferred_skills array<string>, experience_level string, education_requirement string")
+    config, aliases, n = M.ScoreConfig(engine="exact"), K.alias_table(spark, {}), 3
+    every = {(r.cv_id, r.position): (r.job_id, r.overall_score) for r in M.best_matches(M.score_matches(cv, job, aliases, config), n).collect()}
+    got = {(r.cv_id, r.position): (r.job_id, r.overall_score) for r in M.top_matches(cv, job, aliases, n, config).collect()}
+    assert got == every and len(got) == 63 * n and got[60, 1][0] == 590
+    hits = M.resolve_hits(M.cv_skills(cv, aliases), M.requirements(job, aliases), config)
+    assert M.top_pairs(cv, job, aliases, hits, n, config).count() < 0.1 * 63 * 600
+
+
 def test_scores_of_pairs_look_at_their_rows_once(spark, aliases):
     """CVs and postings in no pair aren't computed, the others once, however many parts of the score read them."""
     cvs, jobs = cvs_and_jobs(spark)
