@@ -160,3 +160,22 @@ def test_subscribers_are_told_each_batch_once(spark, tmp_path):
     follow("a")
     follow("b")
     assert told("a") == told("b") == [(0, 2, 2, 0), (2, 1, 3, 1), (3, 1, 4, 1)]
+
+
+def test_landed_files_follow_the_input(spark, tmp_path, monkeypatch):
+    """As many landed files as the input has partitions, in two batches all the same."""
+    from vacantry.plans import queries as P
+
+    rows = spark.range(60).selectExpr("id AS doc_id", "concat('Title ', id, '\nbody') AS text", "'en' AS lang", "'web' AS source", "12L AS n_chars")
+    rows.repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    from vacantry.streaming import store as T
+
+    real = T.read_batches
+    monkeypatch.setattr(T, "read_batches", lambda spark, path, schema, n: (seen.append((len(spark.read.text(path).inputFiles()), n)), real(spark, path, schema, n))[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        got = P.stream_ingest(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (got.received, got.stored, got.sources) == (60, 60, 60) and seen == [(9, 5)]
