@@ -33,18 +33,18 @@ def json_nodes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     row: a graph is a list, so a block has no more levels than brackets. Pages are read once.
     """
     blocks = pages.select(id_col, F.posexplode(F.regexp_extract_all(text(F.col(html_col)), F.lit(BLOCK), F.lit(1))).alias("block", "json"))
-    parsed = blocks.select(id_col, "block", F.try_parse_json(F.trim("json")).alias("v"), F.regexp_count("json", F.lit(r"\[")).alias("depth")).where("v IS NOT NULL")
+    # a bad block is null and so opens to no rows; a filter on it would parse every block twice
+    parsed = blocks.select(id_col, "block", F.try_parse_json(F.trim("json")).alias("v"), F.regexp_count("json", F.lit(r"\[")).alias("depth"))
     placed = lambda nodes, path: F.transform(nodes, lambda node, i: F.struct(F.concat(path, F.array(i)).alias("path"), node.alias("node")))
     graph = lambda node: F.try_variant_get(node, "$['@graph']", "array<variant>")
 
     def deeper(found: Column, _: Column) -> Column:
-        graphs = F.filter(found["level"], lambda n: graph(n["node"]).isNotNull())
-        level = F.flatten(F.transform(graphs, lambda n: placed(graph(n["node"]), n["path"])))
-        return F.when(F.size(found["level"]) == 0, found).otherwise(F.struct(level.alias("level"), F.concat(found["nodes"], level).alias("nodes")))
+        graphs = F.filter(F.transform(found["level"], lambda n: placed(graph(n["node"]), n["path"])), lambda g: g.isNotNull())
+        return F.when(F.size(found["level"]) == 0, found).otherwise(F.struct(F.flatten(graphs).alias("level"), F.concat(found["nodes"], found["level"]).alias("nodes")))
 
     top = placed(items(F.col("v")), F.array().cast("array<int>"))
     levels = F.when(F.col("depth") > 0, F.sequence(F.lit(1), F.col("depth"))).otherwise(F.array().cast("array<int>"))
-    nodes = F.aggregate(levels, F.struct(top.alias("level"), top.alias("nodes")), deeper, lambda found: found["nodes"])
+    nodes = F.aggregate(levels, F.struct(top.alias("level"), F.slice(top, 1, 0).alias("nodes")), deeper, lambda found: F.concat(found["nodes"], found["level"]))
     out = parsed.select(id_col, "block", F.inline(nodes))
     return out.where(F.schema_of_variant("node").startswith("OBJECT"))
 
