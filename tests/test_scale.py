@@ -1,5 +1,8 @@
 """Plans of queries whose rows are small beside their work: where rows are dealt, and what is done once."""
 
+import pytest
+
+from vacantry.operators import skills as K
 from vacantry.plans import queries as Q
 
 
@@ -12,3 +15,35 @@ def test_jsonld_postings_deals_rows_and_parses_blocks_once(spark, sf):
     plan = plan_of(Q.QUERIES["jsonld_postings"](spark, sf))
     assert plan.count("parseJson") == 1
     assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate posexplode")
+
+
+@pytest.mark.parametrize("name", ["extracted_lists", "canonical_lists"])
+def test_lists_are_dealt_by_id_before_they_are_sorted(spark, sf, name):
+    """No sort or aggregate stands in the tasks that read the file, and nothing that grows with the rows is copied to all tasks."""
+    plan = plan_of(Q.QUERIES[name](spark, sf))
+    for below in plan.split("FileScan")[:-1]:  # from the last scan's end up to this one: what is nearest to it stands last
+        near = below[max(below.rfind("Exchange"), 0) :]
+        assert not any(step in near for step in ("Sort ", "SortAggregate", "ObjectHashAggregate"))
+    assert "LeftOuter, BuildRight" not in plan.split("SortAggregate")[0]
+
+
+def test_values_without_a_skill_pass_through_extraction(spark):
+    """Rows without values, blank and null values, values without a skill, and a table of aliases that is joined."""
+    rows = spark.createDataFrame([(1, ["  ", None, "Odd", "sql, python", "Odd"]), (2, []), (3, None), (4, ["python", "SQL"])], "i long, xs array<string>")
+    aliases = K.alias_table(spark, K.POSTING_SKILLS)
+    want = {1: ["Odd", "Python", "SQL"], 2: [], 3: [], 4: ["Python", "SQL"]}
+    assert {r.i: r.skills for r in K.canonicalise_by_extraction(rows, aliases, "i", "xs").collect()} == want
+    texts = spark.createDataFrame([(1, "python odd"), (2, "odd"), (3, ""), (4, "?")], "i long, t string")
+    found = {most: sorted(map(tuple, K.skill_hits(texts, aliases, "i", "t", every=True).select("i", "canonical").collect()), key=repr) for most in _automaton_sizes()}
+    assert all(v == [(1, "Python"), (2, None), (4, None)] for v in found.values())
+
+
+def _automaton_sizes():
+    """The module's bound, then 0, so that the table of aliases is joined."""
+    kept = K.AUTOMATON_ROWS
+    try:
+        for most in (kept, 0):
+            K.AUTOMATON_ROWS = most
+            yield most
+    finally:
+        K.AUTOMATON_ROWS = kept
