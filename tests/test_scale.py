@@ -1,9 +1,12 @@
 """Plans of queries whose rows are small beside their work: where rows are dealt, and what is done once."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from vacantry.functions import text as X
 from vacantry.operators import skills as K
 from vacantry.plans import queries as Q
+from vacantry.streaming import store as T
 
 
 def plan_of(df):
@@ -47,3 +50,34 @@ def _automaton_sizes():
             yield most
     finally:
         K.AUTOMATON_ROWS = kept
+
+
+@pytest.mark.parametrize("name", ["store_batches", "change_feed"])
+def test_batches_are_dealt_before_they_are_checked(spark, sf, name, monkeypatch):
+    """A file of one row group is read by one task, which must not be that which checks the batch."""
+    tasks = []
+
+    class Enough(Exception):
+        pass
+
+    def ingest(self, raw, batch, now):
+        tasks.append(raw.rdd.getNumPartitions())
+        raise Enough
+
+    monkeypatch.setattr(T.PostingStore, "ingest", ingest)
+    with pytest.raises(Enough):
+        Q.QUERIES[name](spark, sf)
+    assert tasks == [4]
+
+
+def test_hash_reads_the_start_of_a_description_alone(spark):
+    """The hash is that of the whole text's first characters in hash form, and white space goes as a pattern takes it."""
+    spaces = "\t\x0b\x85\xa0    　 "
+    texts = ["", " ", "-" * 5000 + "A" * 300, "a" * 100 + "-b", "a" * 99 + " - B - c", "a-" * 300, "İK" * 60 + "é9", "É" * 500 + "x", "a\r\n\rb\r", spaces + "\n​x y" + spaces + "\r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.sha2(F.concat_ws("|", F.lit("t"), F.lit("c"), F.substring(X.hash_form(F.col("t")), 1, 100)), 256)
+    stripped = F.regexp_replace(F.regexp_replace("t", "\r\n?", "\n"), r"(?U)^\s+|\s+$", "")
+    got = df.select(X.dedupe_hash(F.lit("T"), F.lit("C"), F.col("t")).alias("hash"), whole.alias("whole"), X.strip(X.unix_lines(F.col("t"))).alias("strip"), stripped.alias("stripped")).collect()
+    assert [r["hash"] for r in got] == [r["whole"] for r in got] and [r["strip"] for r in got] == [r["stripped"] for r in got]
+    plan = plan_of(df.select(X.dedupe_hash(F.lit("T"), F.lit("C"), F.col("t"))))
+    assert "lower(regexp_extract(" in plan

@@ -17,6 +17,12 @@ PAGE_LINE = (
 )
 #: Fixed value: character references and what they stand for, in the order of replacement.
 REFERENCES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&quot;", '"'))
+#: Fixed value: the characters of Unicode's property White_Space, as ``(?U)\\s`` matches them.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Characters of a description that its hash takes, in hash form.
+HASHED = 100
+#: Fixed value: a text's start with enough letters and digits for ``HASHED``; the two that aren't ASCII give i and k in lower case.
+HASHED_START = rf"^(?:[^A-Za-z0-9\u0130\u212a]*+[A-Za-z0-9\u0130\u212a]){{0,{HASHED + 1}}}+"
 
 
 def text(c: Column) -> Column:
@@ -32,8 +38,18 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space (Unicode) at the ends; a pattern would be tried at every character."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def unix_lines(c: Column) -> Column:
+    """Line ends as line feeds."""
+    return F.replace(F.replace(text(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def lines_of(c: Column) -> Column:
-    return F.split(F.regexp_replace(text(c), "\r\n?", "\n"), "\n")
+    return F.split(unix_lines(c), "\n")
 
 
 def clean_block(c: Column) -> Column:
@@ -88,8 +104,9 @@ def hash_form(c: Column) -> Column:
 
 
 def dedupe_hash(title: Column, company: Column, description: Column) -> Column:
-    """SHA-256 of title, company and the first 100 characters of the description, all in hash form."""
-    return F.sha2(F.concat_ws("|", hash_form(title), hash_form(company), F.substring(hash_form(description), 1, 100)), 256)
+    """SHA-256 of title, company and the first 100 characters of the description, all in hash form; of the description no more is read."""
+    start = F.regexp_extract(text(description), HASHED_START, 0)
+    return F.sha2(F.concat_ws("|", hash_form(title), hash_form(company), F.substring(hash_form(start), 1, HASHED)), 256)
 
 
 def distinct_list(values: Column, limit: int | None = 40) -> Column:

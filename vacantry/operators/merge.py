@@ -101,7 +101,7 @@ def validate(raw: DataFrame, now: Column) -> DataFrame:
     title = F.substring(X.clean_text(F.col("title")), 1, TITLE_CHARS)
     url, platform = X.clean_text(F.col("source_url")), F.lower(X.clean_text(F.col("source_platform")))
     reason = F.when(title == "", "missing title").when(url == "", "missing sourceUrl").when(~url.rlike("(?i)^https?://"), "sourceUrl must be http(s)").when(platform == "", "missing sourcePlatform")
-    body = F.regexp_replace(F.regexp_replace(X.text(F.col("description")), "\r\n?", "\n"), r"(?U)^\s+|\s+$", "")
+    body = X.strip(X.unix_lines(F.col("description")))
     company = F.coalesce(X.blank_to_null(F.substring(X.clean_text(F.col("company")), 1, TITLE_CHARS)), F.lit("Not disclosed"))
     description = F.coalesce(X.blank_to_null(F.substring(body, 1, DESCRIPTION_CHARS)), title)
     required = F.slice(X.union_lists(F.col("required_skills")), 1, SKILLS)
