@@ -149,3 +149,15 @@ def test_a_draw_takes_few_rows_to_one_place(spark):
         assert [r.vec_id for r in few.collect()] == [r.vec_id for r in every.limit(count).collect()]
         bound = few._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter" in bound and N.drawn(ids, count, 1000).count() == count
+
+
+def test_nothing_that_grows_is_copied_to_the_driver(spark, monkeypatch):
+    """A query of a small file visits hundreds of buckets: no join copies a side to all tasks for the size of its file."""
+    plans, written = [], N.written
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(N, "written", lambda df, name: plans.append(plan_of(df)) or written(df, name))
+    x = np.random.default_rng(8).normal(size=(600, 16))
+    found = N.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    plans.append(plan_of(found))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert found.count() == 30 * 20

@@ -52,6 +52,15 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return found.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of which neither side is copied to the driver and all tasks.
+
+    Spark copies what it takes for small by the size of a file, but a query of a
+    small file visits hundreds of buckets, and files of like vectors are compressed.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def directions(d: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
     return rng.standard_normal((d + 1, TABLES * HASHES)), rng.uniform(0, WIDTH, TABLES * HASHES)
@@ -232,7 +241,7 @@ def settings(asked: DataFrame, kept: DataFrame, nearest: int) -> tuple[dict[int,
     some = written(drawn(asked, MEASURED, asked.count()).select("vec_id", "v"), "ann-measured")
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     every = compared_with_all(some, kept.select("vec_id", "v"), nearest + 1).where("query <> vec_id")
-    true = every.withColumn("n", ranked).where(F.col("n") <= nearest).join(kept, "vec_id")
+    true = kept.join(F.broadcast(every.withColumn("n", ranked).where(F.col("n") <= nearest)), "vec_id")
     true = true.select("query", "layer", F.transform("v", lambda x: x.cast("double")).alias("v")).collect()
     places = {r["vec_id"]: query_places(np.array([r["v"]], float))[0] for r in some.collect()}
     orders = lru_cache(maxsize=None)(lambda query, t, hashes: visited(places[query], t, hashes, PROBES))
@@ -317,13 +326,13 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     entries = written(index(kept, layers), "ann-index")
     # large buckets are dealt into parts, and their visitors go to each part
     parts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = entries.join(parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    visits = probes(first, layers, count).join(parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = dealt_join(entries, parts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    visits = dealt_join(probes(first, layers, count), parts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     visits = written(visits, "ann-visits")
     names = ["t", "key", "part"]
 
     def met(some_visits: DataFrame, asked_with: DataFrame) -> DataFrame:
-        visitors = some_visits.select("t", "key", "part", "id").join(asked_with, "id").select("t", "key", "part", "id", "v", "floor")
+        visitors = dealt_join(some_visits.select("t", "key", "part", "id"), asked_with, "id").select("t", "key", "part", "id", "v", "floor")
         return dealt.groupBy(names).cogroup(visitors.groupBy(names)).applyInArrow(lambda e, q: compare(e, q, nearest + 1), "query long, vec_id long, score double")
 
     # what its own buckets hold tells each query how near the rest must be to count
@@ -331,19 +340,19 @@ def search(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     own_found = written(met(visits.where("nth = 0"), start).distinct(), "ann-own")
     by_score = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     last = own_found.withColumn("n", by_score).where(F.col("n") == nearest + 1).select(F.col("query").alias("id"), (F.col("score") - SLACK * F.greatest(F.lit(1.0), F.abs("score"))).alias("reached"))
-    nearer = start.join(last, "id", "left").select("id", "v", F.greatest("floor", "reached").alias("floor"))
+    nearer = dealt_join(start, last, "id", "left").select("id", "v", F.greatest("floor", "reached").alias("floor"))
     found = own_found.unionByName(met(visits.where("nth > 0"), nearer))
     ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     probed = written(found.distinct().withColumn("n", ranked).where(F.col("n") <= nearest + 1), "ann-found")
     # a query that found fewer than there are meets all vectors
     enough = probed.where(F.col("n") == min(nearest + 1, total)).select(F.col("query").alias("vec_id"))
-    short = first.join(enough, "vec_id", "left_anti").select("vec_id", "v")
+    short = dealt_join(first, enough, "vec_id", "left_anti").select("vec_id", "v")
     rest = compared_with_all(short, kept, nearest + 1).withColumn("n", ranked).where(F.col("n") <= nearest + 1)
-    merged = probed.join(short.select(F.col("vec_id").alias("query")), "query", "left_anti").unionByName(rest)
+    merged = dealt_join(probed, short.select(F.col("vec_id").alias("query")), "query", "left_anti").unionByName(rest)
     # every query of identical ones gets the list without itself
     lists = merged.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
-    heads = first.select("v", F.col("vec_id").alias("query")).join(lists, "query")
-    own = asked.join(heads, "v").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("vec_id")), 1, nearest).alias("best"))
+    heads = dealt_join(first.select("v", F.col("vec_id").alias("query")), lists, "query")
+    own = dealt_join(asked, heads, "v").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("vec_id")), 1, nearest).alias("best"))
     out = own.select("query_id", F.posexplode("best").alias("place", "b"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
