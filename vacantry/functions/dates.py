@@ -18,7 +18,8 @@ SHAPES = (
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 DATE = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s*,?\s*)?(?:19|20)\d{2}"
 PRESENT = r"present|current|till\s+date|to\s+date|now|ongoing"
-RANGE = rf"(?i)({DATE})\s*(?:-|–|—|to|until|through)\s*({DATE}|{PRESENT})"
+#: A range begins as a month or a year does, which is looked at before all months are tried.
+RANGE = rf"(?i)(?=[jfmasond][aepuco]|19|20)({DATE})\s*(?:-|–|—|to|until|through)\s*({DATE}|{PRESENT})"
 
 
 def parse_date(c: Column) -> Column:
